@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.byte_bpe import op8_byte_bpe
+from quern.llm.mixing import op2_mixing
 from quern.llm.quality import op9_quality_rules
+from quern.llm.sharding import OP1_SQL, op1_sharding
 from quern.llm.simhash import op10_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op2_mixing": op2_mixing,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL}
