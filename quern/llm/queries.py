@@ -11,13 +11,17 @@ from quern.llm.mixing import op2_mixing
 from quern.llm.quality import op9_quality_rules
 from quern.llm.sharding import OP1_SQL, op1_sharding
 from quern.llm.simhash import op10_simhash
+from quern.llm.token_files import op4_token_files
+from quern.llm.warc import OP6_SQL, op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
+    "op4_token_files": op4_token_files,
+    "op6_warc": op6_warc,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op6_warc": OP6_SQL}
