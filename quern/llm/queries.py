@@ -14,6 +14,7 @@ from quern.llm.quality import op9_quality_rules
 from quern.llm.sharding import OP1_SQL, op1_sharding
 from quern.llm.simhash import op10_simhash
 from quern.llm.token_files import op4_token_files
+from quern.llm.tool_calls import OP7_SQL, op7_tool_calls
 from quern.llm.warc import OP6_SQL, op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,9 +24,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_line_dedup": op5_line_dedup,
     "op6_warc": op6_warc,
+    "op7_tool_calls": op7_tool_calls,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op6_warc": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op6_warc": OP6_SQL, "op7_tool_calls": OP7_SQL}
