@@ -195,7 +195,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = marked.join(ranges, marked[key].eqNullSafe(ranges["id"]) & (marked[tie] == ranges["tie"]), "left").select(*[marked[c] for c in docs.columns], "ranges")
     names = [*docs.columns, "__lines", "__deleted"]
     at = names.index(text_col)
-    schema = StructType(docs.schema.fields).add("__lines", "long").add("__deleted", "long")
+    schema = StructType(list(docs.schema.fields)).add("__lines", "long").add("__deleted", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -25,6 +25,8 @@ from quern.llm.words import encoded_words
 
 #: Fingerprints of one key that are compared as one block.
 BLOCK_ROWS = 512
+#: Signatures that a task makes, about.
+SIGNATURES_PER_TASK = 1_000_000
 #: Shingles whose bits are counted at once.
 CHUNK = 16384
 
@@ -79,25 +81,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {key}, fp array<long>")
 
 
-def _variants(fp: Column, words64: int, segments: int) -> Column:
-    """Array of (key, bit) of a fingerprint: for each segment its exact key (bit null) and one
-    wildcard key per bit, beside the bit that the wildcard hides."""
-    width = 64 // segments
-    mask = (1 << width) - 1
-
-    def of(word: int, seg: int) -> list[Column]:
-        value = F.shiftrightunsigned(fp[word], seg * width).bitwiseAND(F.lit(mask))
-        number = word * segments + seg
-        # key: number of the segment, position of the wildcard (width: none), remaining value
-        head = F.lit((number << 6) << 40)
-        exact = F.struct((head.bitwiseOR(F.lit(width << 40)).bitwiseOR(value)).alias("key"), F.lit(None).cast("int").alias("bit"))
-        out = [exact]
-        for b in range(width):
-            rest = value.bitwiseAND(F.lit(mask & ~(1 << b)))
-            out.append(F.struct(F.lit(((number << 6) | b) << 40).bitwiseOR(rest).alias("key"), F.shiftright(value, b).bitwiseAND(F.lit(1)).cast("int").alias("bit")))
-        return out
+def _variants(nodes: DataFrame, words64: int, segments: int) -> DataFrame:
+    """Rows (key, entry) of all signatures of nodes (node, fp).
 
-    return F.array(*[x for w in range(words64) for s in range(segments) for x in of(w, s)])
+    A segment has its exact value and, for each bit, its value without that bit as keys; the number of
+    the segment and the place of the wildcard (its width: none) are part of the key.  ``entry`` is four
+    times the node plus a side: 0 under an exact key, else 1 or 2 by the bit that the wildcard hides.
+    """
+    width = 64 // segments
+    value = lambda w, s: F.shiftrightunsigned(F.col("fp")[w], s * width).bitwiseAND(F.lit((1 << width) - 1))
+    parts = F.array(*[F.struct(F.lit((w * segments + s) << 6).cast("long").alias("number"), value(w, s).alias("value")) for w in range(words64) for s in range(segments)])
+    cut = nodes.select("node", F.inline(parts)).select("node", "number", "value", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("wild"))
+    hidden = F.expr("shiftleft(1L, wild)")
+    exact = F.col("wild") == width
+    rest = F.when(exact, F.col("value")).otherwise(F.col("value").bitwiseAND(F.bitwise_not(hidden)))
+    side = F.when(exact, F.lit(0)).when(F.col("value").bitwiseAND(hidden) == 0, F.lit(1)).otherwise(F.lit(2))
+    return cut.select(F.shiftleft(F.col("number").bitwiseOR(F.col("wild").cast("long")), 40).bitwiseOR(rest).alias("key"), (F.col("node") * 4 + side).alias("entry"))
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,42 +127,46 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def links(nodes: DataFrame, words64: int, segments: int, max_bits: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def links(nodes: DataFrame, words64: int, segments: int, max_bits: int, block_rows: int = BLOCK_ROWS, pairs_upto: int = 0) -> DataFrame:
     """Edges (a, b) between node ids whose fingerprints differ by at most ``max_bits`` bits.
 
-    ``nodes`` has (node long, fp array<long>) with different fingerprints.  Complete for
-    ``max_bits`` < 2 * words64 * segments.  The edges connect what all links connect, but are few: at
-    most two per node and unit of work.
+    ``nodes`` has (node long, fp array<long>) with different fingerprints and ids from 0 to 2**60.
+    Complete for ``max_bits`` < 2 * words64 * segments.  The edges connect what all links connect, but
+    are few: at most two per node and unit of work.  Units of at most ``pairs_upto`` rows return all
+    their links instead.
     """
     nodes = materialize(nodes, "simhash-nodes")
-    keyed = nodes.select("node", "fp", F.inline(_variants(F.col("fp"), words64, segments)))
+    # The table is small, what is made of it is not: tasks by the rows that they will make.
+    width = 64 // segments
+    nodes = nodes.repartition(max(1, nodes.count() * words64 * segments * (width + 1) // SIGNATURES_PER_TASK))
+    keyed = _variants(nodes, words64, segments)
     # A wildcard key at which all agree in the hidden bit has nothing that the exact key has not.
-    useful = (
-        keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("bit").alias("low"), F.max("bit").alias("high")).where("n > 1 and (low is null or low < high)").select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    )
-    members = keyed.join(useful, "key")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    useful = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_or(F.col("entry").bitwiseAND(F.lit(3))).alias("sides")).where("n > 1 and sides in (0, 3)").select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    members = keyed.join(useful, "key").select("key", F.shiftright("entry", 2).alias("node"), F.col("entry").bitwiseAND(F.lit(3)).cast("int").alias("side"), "blocks")
+    members = members.join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Unit (i, j), i <= j: block i against block j. A row goes to the units of its block.
-    units = members.withColumn("block", block).select(
-        "key", "node", "fp", "bit", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select("key", "node", "fp", "bit", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    units = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "fp", "side", "block")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, j, node, fp, bit, blocks in _runs(batches, words64):
-            first, second = blocks == i, blocks == j
+        for i, j, node, fp, side, block in _runs(batches, words64):
+            first, second = block == i, block == j
+            if not side[0]:
+                sides = [(first, second)]
+            else:
+                sides = [(first & (side == 1), second & (side == 2))] + ([] if i == j else [(first & (side == 2), second & (side == 1))])
             pairs: list[tuple[int, int]] = []
-            sides = [(first, second)] if bit[0] < 0 else [(first & (bit == 0), second & (bit == 1))] + ([] if i == j else [(first & (bit == 1), second & (bit == 0))])
             for a, b in sides:
                 na, nb = node[a], node[b]
                 near = _distances(fp[a], fp[b]) <= max_bits
-                if bit[0] < 0 and i == j:
+                if not side[0] and i == j:
                     near &= na[:, None] < nb[None, :]
                 if near.any():
-                    pairs += [(int(na[r]), int(nb[c])) for r, c in _forest(near)]
+                    found = zip(*np.nonzero(near), strict=True) if len(node) <= pairs_upto else _forest(near)
+                    pairs += [(int(na[r]), int(nb[c])) for r, c in found]
             if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["a", "b"])
 
-    sorted_units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "node", "fp", F.coalesce("bit", F.lit(-1)).alias("bit"), "block")
+    sorted_units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return sorted_units.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -209,17 +212,92 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments of 32 bits are complete for at most 3 bits")
     marked = materialize(fingerprints(docs, id_col, text_col, shingle, 1).select("id", F.col("fp")[0].alias("fp")), "simhash-fp")
-    # One node per fingerprint; the fingerprint is the node's id.
+    # One node per fingerprint.
     nodes = marked.groupBy("fp").agg(F.min("id").alias("least_id"))
-    edges = links(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("fp")), 1, 2, max_bits)
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "simhash-groups")
+    edges = links(nodes.select("node", F.array("fp").alias("fp")), 1, 2, max_bits)
     found = components(edges, "a", "b")
-    of_node = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
+    of_node = nodes.join(found, "node", "left").select("fp", "least_id", F.coalesce("component", "node").alias("component"))
     least = of_node.groupBy("component").agg(F.min("least_id").alias("component_id"))
     table = materialize(of_node.join(least, "component").select("fp", "component_id"), "simhash-components")
     out = marked.join(table, "fp").select("id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
     return out.withColumnsRenamed({"id": id_col})
 
 
+#: Fingerprint of ``near_copies``: words of 64 bits, segments of a word, and the bits that a pair may
+#: differ in before it is looked at: those of a similarity of 0.8 (28 of 192 on average) and two
+#: standard deviations.
+WIDE_WORDS, WIDE_SEGMENTS, WIDE_BITS = 3, 3, 38
+#: Units of up to so many rows pass on all their candidates, larger ones a spanning forest of them.
+PAIRS_UPTO = 32
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles array<int>) of rows (node, text): 32 bits of every different shingle's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.unique(shingle_hashes(text, shingle).astype(np.uint32)).view(np.int32) for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<int>")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Groups of near copies by word shingles: rows (id, tie, group), ``tie`` a hash of the text.
+
+    Candidates come from SimHash fingerprints of 192 bits over the shingles, in nine segments of 21 bits
+    of which one may differ by a bit; a candidate links when the shingle sets of its two texts have a
+    Jaccard similarity of at least ``similarity``.  Equal fingerprints are one group.  Links are found
+    with a probability that grows with the similarity: about 0.8 of those at 0.8 and nearly all from
+    0.9 on.  ``group`` is a number; repeated rows share it, and so do all texts without words.
+    """
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    marked = materialize(_with_tie(texts, shingle), "copies-fp")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")
+    nodes = materialize(marked.groupBy("fp").agg(F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()), "copies-nodes")
+    candidates = materialize(links(nodes.select("node", "fp"), WIDE_WORDS, WIDE_SEGMENTS, WIDE_BITS, pairs_upto=PAIRS_UPTO), "copies-candidates")
+    wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct().join(nodes, "node").select("node", F.col("first.id").alias("id"), F.col("first.tie").alias("tie"))
+    tied = texts.withColumn("tie", F.xxhash64("text"))
+    chosen = tied.join(wanted, tied["id"].eqNullSafe(wanted["id"]) & (tied["tie"] == wanted["tie"])).select("node", "text")
+    sets = materialize(shingle_sets(chosen, shingle).dropDuplicates(["node"]), "copies-shingles")
+    both = candidates.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    edges = both.where(common >= similarity * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
+    found = components(edges, "a", "b")
+    table = materialize(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("group")), "copies-groups")
+    return marked.join(table, "fp").select("id", "tie", "group")
+
+
+def _with_tie(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, tie, fp) of rows (id, text)."""
+    keyed = texts.select(F.struct("id", F.xxhash64("text").alias("tie")).alias("key"), "text")
+    return fingerprints(keyed, "key", "text", shingle, WIDE_WORDS).select(F.col("id.id").alias("id"), F.col("id.tie").alias("tie"), "fp")
+
+
+def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, without near copies: of each group of ``near_copies`` the
+    document with the least id stays (nulls last, then the least hash of the text)."""
+    groups = near_copies(docs, id_col, text_col, shingle, similarity)
+    groups = materialize(groups, "copies-members")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")
+    kept = groups.groupBy("group").agg(F.min(order).alias("x")).select("x.id", "x.tie")
+    # Few rows as a rule: keys that go, and keys of repeated rows of which one stays.
+    keys = groups.groupBy("id", "tie").agg(F.count("*").alias("n"))
+    gone = materialize(keys.join(kept, keys["id"].eqNullSafe(kept["id"]) & (keys["tie"] == kept["tie"]), "left_anti"), "copies-gone")
+    twice = keys.where("n > 1").select("id", "tie")
+    key, tie = F.col("__id"), F.col("__tie")
+    tied = docs.withColumn("__id", docs[id_col]).withColumn("__tie", F.xxhash64(docs[text_col]))
+    left = tied.join(gone, key.eqNullSafe(gone["id"]) & (tie == gone["tie"]), "left_anti")
+    again = materialize(twice, "copies-twice")
+    match = key.eqNullSafe(again["id"]) & (tie == again["tie"])
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    return left.join(again, match, "left_anti").union(left.join(again, match, "left_semi").dropDuplicates(["__id", "__tie"])).select(*docs.columns)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all ``documents``; see ``near_duplicates``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
