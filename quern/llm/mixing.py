@@ -163,8 +163,10 @@ def slot_table(spark: SparkSession, plan: MixPlan) -> DataFrame:
                 order = np.random.default_rng([plan.seed, shard]).permutation(int(counts.sum()))
                 yield pd.DataFrame({"out_shard": np.int32(shard), "slot": shard * plan.slots_per_shard + np.arange(len(order)), "source_no": np.concatenate(number)[order], "block": np.concatenate(block)[order], "pass": np.concatenate(turn)[order]})
 
+    # The planner takes the slots for as few as the shards that they are made of and would broadcast
+    # them: they grow with the corpus, so they are always joined by a shuffle.
     ids = spark.range(0, plan.shards, numPartitions=max(1, min(plan.shards, -(-plan.slots // 100_000))))
-    return ids.mapInPandas(fill, "out_shard int, slot long, source_no int, block long, pass int")
+    return ids.mapInPandas(fill, "out_shard int, slot long, source_no int, block long, pass int").hint("merge")
 
 
 def place_documents(docs: DataFrame, plan: MixPlan, source_col: str, id_col: str, size_col: str, tie: list) -> DataFrame:
