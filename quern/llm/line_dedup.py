@@ -192,6 +192,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key, tie = "__key", "__tie"
     marked = docs.withColumn(key, F.col(id_col)).withColumn(tie, F.xxhash64(text_col))
     ranges = materialize(deleted_ranges(marked.select(F.col(key).alias("id"), F.col(tie).alias("tie"), F.col(text_col).alias("text")), rare_holders, least_words), "line-ranges")
+    # Always by a shuffle: a broadcast of the ranges would grow with the corpus.
+    ranges = ranges.hint("merge")
     joined = marked.join(ranges, marked[key].eqNullSafe(ranges["id"]) & (marked[tie] == ranges["tie"]), "left").select(*[marked[c] for c in docs.columns], "ranges")
     names = [*docs.columns, "__lines", "__deleted"]
     at = names.index(text_col)
