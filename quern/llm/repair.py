@@ -36,14 +36,33 @@ class Grammar:
         return out
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        while (inner := symbols >= self.base).any():
-            places = np.cumsum(inner + 1) - (inner + 1)
-            out = np.empty(len(symbols) + int(inner.sum()), symbols.dtype)
-            out[places[~inner]] = symbols[~inner]
-            pairs = self.rules[symbols[inner] - self.base]
-            out[places[inner]], out[places[inner] + 1] = pairs[:, 0], pairs[:, 1]
-            symbols = out
-        return symbols
+        """What the symbols stand for; each rule is written out once, if it is used."""
+        inner = symbols >= self.base
+        if not inner.any():
+            return symbols
+        used, place = np.unique(symbols[inner], return_inverse=True)
+        written: dict[int, list[int]] = {}
+        for k in used.tolist():
+            self._write_out(k, written)
+        table = np.array([x for k in used.tolist() for x in written[k]], symbols.dtype)
+        sizes = self.lengths[used - self.base]
+        starts = np.cumsum(sizes) - sizes
+        lengths, source = np.ones(len(symbols), np.int64), np.empty(len(symbols), np.int64)
+        lengths[inner] = sizes[place]
+        # The table of written-out rules, then the symbols that are ids themselves.
+        source[inner] = starts[place]
+        source[~inner] = len(table) + np.arange(len(symbols) - int(inner.sum()))
+        ends = np.cumsum(lengths)
+        return np.concatenate([table, symbols[~inner]])[np.repeat(source - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
+
+    def _write_out(self, symbol: int, written: dict[int, list[int]]) -> list[int]:
+        """The ids of a symbol.  A rule names only earlier ones, so the rounds bound the depth."""
+        if symbol < self.base:
+            return [symbol]
+        if symbol not in written:
+            left, right = self.rules[symbol - self.base].tolist()
+            written[symbol] = self._write_out(left, written) + self._write_out(right, written)
+        return written[symbol]
 
     def ids(self) -> np.ndarray:
         """All ids."""
@@ -62,6 +81,19 @@ class Grammar:
         return self._expand(part[low:high])[start - before : stop - before]
 
 
+def _ranks(pairs: np.ndarray, frequent: np.ndarray, bits: int = 20) -> np.ndarray:
+    """Place of each pair in ``frequent``, or its length; a pair that shares its slot with a more
+    frequent one has none this time."""
+    table = np.full(1 << bits, len(frequent), np.int32)
+    table[_slots(np.ascontiguousarray(frequent[::-1]), bits)] = np.arange(len(frequent) - 1, -1, -1, dtype=np.int32)
+    here = table[_slots(pairs, bits)]
+    return np.where(np.append(frequent, -1)[here] == pairs, here, np.int32(len(frequent)))
+
+
+def _slots(pairs: np.ndarray, bits: int) -> np.ndarray:
+    return ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def compress(ids: np.ndarray, base: int, rounds: int = 8, rules_per_round: int = 4096, least_count: int = 8) -> Grammar:
     """The grammar of ``ids`` (all below ``base``)."""
     sequence, rules, lengths = ids.astype(np.int32), [], []
@@ -69,27 +101,28 @@ def compress(ids: np.ndarray, base: int, rounds: int = 8, rules_per_round: int =
         if len(sequence) < 2:
             break
         pairs = sequence[:-1].astype(np.int64) << 32 | sequence[1:]
-        found, inverse, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+        ordered = np.sort(pairs)
+        starts = np.nonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))[0]
+        counts = np.diff(starts, append=len(ordered))
         frequent = np.nonzero(counts >= least_count)[0]
         frequent = frequent[np.argsort(-counts[frequent], kind="stable")][:rules_per_round]
         if not len(frequent):
             break
-        rank = np.full(len(found), len(found) + 1, np.int64)
-        rank[frequent] = np.arange(len(frequent))
-        ranks = np.concatenate([[len(found) + 1], rank[inverse], [len(found) + 1]])
-        here = ranks[1:-1]
+        found = ordered[starts[frequent]]
+        here = _ranks(pairs, found)
         # Replaced: pairs that no neighbouring pair outranks; of a run of one pair, the first.
-        chosen = (here < len(frequent)) & (here < ranks[:-2]) & (here <= ranks[2:])
-        uses = np.bincount(here[chosen], minlength=len(frequent))
+        edge = np.array([len(found)], here.dtype)
+        chosen = (here < len(found)) & (here < np.concatenate([edge, here[:-1]])) & (here <= np.concatenate([here[1:], edge]))
+        uses = np.bincount(here[chosen], minlength=len(found))
         kept = np.nonzero(uses >= 3)[0]
         if not len(kept):
             break
-        number = np.full(len(frequent), -1, np.int64)
+        number = np.full(len(found), -1, np.int64)
         number[kept] = base + len(rules) + np.arange(len(kept))
         chosen[chosen] = number[here[chosen]] >= 0
         at = np.nonzero(chosen)[0]
         new = number[here[at]]
-        for pair in found[frequent[kept]].tolist():
+        for pair in found[kept].tolist():
             left, right = pair >> 32, pair & 0xFFFFFFFF
             rules.append((left, right))
             lengths.append((lengths[left - base] if left >= base else 1) + (lengths[right - base] if right >= base else 1))

@@ -7,25 +7,27 @@ Re-Pair grammar of their ids, and marks for random access; see ``repair``.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.llm import repair
 from quern.llm.files import whole_file
 from quern.llm.numbering import with_offsets
-from quern.llm.storage import new_folder
+from quern.llm.storage import materialize, new_folder
 
 END_ID = 2
 #: UTF-8 bytes of text in a shard, about.
 SHARD_BYTES = 6_000_000
-#: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 150_000
+#: Parts of words whose ids a worker remembers, in each of two generations.
+REMEMBERED = 300_000
 #: Shards whose starts are summed by one task.
 SHARDS_PER_CHUNK = 4096
 
@@ -34,8 +36,10 @@ class WordEncoder:
     """Ids of whole texts under a vocabulary that never joins across white space.
 
     The splitting pattern of such a vocabulary matches no white space, and none of its normalisers
-    looks across it.  The ids of a text are hence those of its white-space separated words, one after
-    the other, and a word that was seen lately needs no new encoding.
+    looks across it: the ids of a text are those of its white-space separated words, one after the
+    other.  For the same reason a word that ends in a letter and then stops is the word and the stop,
+    and a text of words that are letters alone falls apart at the tokens that end a word.  The library
+    encodes every word or part once while it is remembered.
     """
 
     def __init__(self, path: str):
@@ -44,28 +48,90 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.base = self.tokenizer.get_vocab_size()
-        self.young: dict[bytes, tuple[int, ...]] = {}
-        self.old: dict[bytes, tuple[int, ...]] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").split()
-        young, old = self.young, self.old
-        missing = {w for w in words if w not in young}
-        fresh = []
-        for word in missing:
-            if (ids := old.get(word)) is not None:
-                young[word] = ids
-            else:
-                fresh.append(word)
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
-            young.update((w, tuple(e.ids)) for w, e in zip(part, found, strict=True))
-        out = [n for w in words for n in young[w]]
-        if len(young) > REMEMBERED:
-            self.old, self.young = young, {}
-        return np.array(out, np.int32)
+        vocabulary = self.tokenizer.get_vocab()
+        self.base = max(vocabulary.values()) + 1
+        self.kind = "<u2" if self.base < 1 << 16 else "<u4"
+        self.ends = np.zeros(self.base, bool)
+        self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
+        self.parts = Remembered()
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text (null: none)."""
+        listed = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        words = listed.flatten().dictionary_encode()
+        # Capitals of ASCII become small ones under any normaliser that folds case at all.
+        different = pc.ascii_lower(words.dictionary)
+        found = pc.extract_regex(different, STOPPED)
+        cores = pc.coalesce(pc.struct_field(found, "core"), different).dictionary_encode()
+        tails = pc.coalesce(pc.struct_field(found, "tail"), pa.scalar("", pa.large_string())).dictionary_encode()
+        parts = cores.dictionary.to_pylist() + tails.dictionary.to_pylist()
+        known = self.parts.of(parts, self._encode_parts)
+        values = list(map(known.__getitem__, parts))
+        table = np.frombuffer(b"".join(values), self.kind)
+        lengths = np.fromiter(map(len, values), np.int64, len(values)) // table.itemsize
+        # Every word is its core and its tail, both looked up in the table.
+        number = words.indices.to_numpy()
+        codes = np.empty(2 * len(number), np.int64)
+        codes[0::2] = cores.indices.to_numpy()[number]
+        codes[1::2] = tails.indices.to_numpy()[number] + len(cores.dictionary)
+        sizes = lengths[codes]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        shift = (np.cumsum(lengths) - lengths)[codes] - ends[:-1]
+        ids = table[np.repeat(shift, sizes) + np.arange(ends[-1])]
+        self.parts.turn()
+        offsets = listed.offsets.to_numpy()
+        return np.split(ids, ends[2 * (offsets - offsets[0])[1:-1]]) if len(texts) else []
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        out: dict[str, bytes] = {"": b""}
+        plain = [p for p in parts if _letters(p)]
+        for at in range(0, len(plain), 1024):
+            some = plain[at : at + 1024]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
+            ends = np.nonzero(self.ends[ids])[0] + 1
+            if len(ends) == len(some):
+                data, width = ids.tobytes(), ids.itemsize
+                places = [0, *(ends * width).tolist()]
+                out.update((p, data[a:b]) for p, a, b in zip(some, places, places[1:], strict=False))
+        rest = [p for p in parts if p not in out]
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            out.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(some, found, strict=True))
+        return [out[p] for p in parts]
+
+
+#: A word that ends in a letter before the stops that end a sentence or its parts: two parts.
+STOPPED = r"^(?P<core>.*?\pL)(?P<tail>[.,;:!?]+)$"
+
+
+def _letters(part: str) -> bool:
+    return part.isalpha() and (part.isascii() or unicodedata.normalize("NFC", part.lower()).isalpha())
+
+
+class Remembered:
+    """Values by key, in two generations: what was not asked for lately is forgotten."""
+
+    def __init__(self, most: int = REMEMBERED):
+        self.most, self.young, self.old = most, {}, {}
+
+    def of(self, keys, make) -> dict[str, bytes]:
+        """A table that holds all ``keys`` (each given once); valid until ``turn``."""
+        young, old, fresh = self.young, self.old, []
+        for key in keys:
+            if key not in young:
+                value = old.get(key)
+                if value is None:
+                    fresh.append(key)
+                else:
+                    young[key] = value
+        if fresh:
+            young.update(zip(fresh, make(fresh), strict=True))
+        return young
+
+    def turn(self) -> None:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
 
 
 @lru_cache(maxsize=1)
@@ -75,6 +141,17 @@ def load_encoder(path: str | None) -> WordEncoder:
     return WordEncoder(path or public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _by_bytes(texts: pa.Array, most: int = 4_000_000) -> Iterator[pa.Array]:
+    """Slices of about ``most`` bytes of text, of one row at least."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(texts):
+        before = int(upto[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, before + most, "right")))
+        yield texts.slice(first, last - first)
+        first = last
+
+
 def write_token_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, folder: str | None = None) -> str:
     """Encode every whole text, append ``end_id``, write shard files; returns their folder.
 
@@ -90,15 +167,15 @@ def write_token_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, keys, counts, parts = load_encoder(vocabulary), [], [], []
+        end = np.array([end_id], np.int32)
         for batch in batches:
             keys.append(batch.column(0))
-            for at in range(0, batch.num_rows, 256):
-                for text in batch.column(1).slice(at, 256).to_pylist():
-                    ids = np.append(encoder.encode(text or ""), np.int32(end_id))
-                    counts.append(len(ids))
-                    parts.append(ids)
+            for texts in _by_bytes(batch.column(1)):
+                for ids in encoder.encode(texts):
+                    counts.append(len(ids) + 1)
+                    parts += [ids, end]
         shard = TaskContext.get().partitionId()
-        ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        ids = np.concatenate(parts, dtype=np.int32) if parts else np.empty(0, np.int32)
         parts.clear()
         table = pa.table({"id": pa.chunked_array(keys) if keys else pa.array([], pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
         sink = pa.BufferOutputStream()
@@ -146,7 +223,7 @@ def read_token_shards(spark: SparkSession, folder: str, id_type: str = "bigint",
 def token_index(spark: SparkSession, folder: str, id_type: str = "bigint") -> DataFrame:
     """Rows (id, start, n_tokens, ids_crc32) read from the files; ``start`` counts the ids of all
     documents before it over all shards."""
-    found = read_token_shards(spark, folder, id_type)
+    found = materialize(read_token_shards(spark, folder, id_type), "token-index")
     totals = found.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("one", F.lit(0)).withColumn("chunk", F.floor(F.col("shard") / SHARDS_PER_CHUNK).cast("int"))
     starts = with_offsets(totals, "one", "chunk", [F.col("shard")], "n", "shard_start").select("shard", "shard_start")
     return found.join(starts, "shard").select("id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
