@@ -112,5 +112,5 @@ def bootstrap_gini(df: DataFrame, by: list[str], value: str, replicates: int = 3
     group = Window.partitionBy(*by, "rep")
     upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = drawn.withColumn("upto", F.sum("w").over(upto)).withColumn("n", F.sum("w").over(group))
-    per = ranked.groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col(value) * F.col("w") * (2 * F.col("upto") - F.col("w") - F.col("n"))), F.max("n") * F.sum(F.col(value) * F.col("w"))).alias("g"))
-    return per.groupBy(*by).agg(F.percentile("g", F.lit(0.025)).alias("low"), F.percentile("g", F.lit(0.975)).alias("high"))
+    per = ranked.groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col(value) * F.col("w") * (2 * F.col("upto") - F.col("w") - F.col("n"))), F.max("n") * F.sum(F.col(value) * F.col("w"))).alias("__gini"))
+    return per.groupBy(*by).agg(F.percentile("__gini", F.lit(0.025)).alias("low"), F.percentile("__gini", F.lit(0.975)).alias("high"))
