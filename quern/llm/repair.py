@@ -105,7 +105,8 @@ def compress(ids: np.ndarray, base: int, rounds: int = 8, rules_per_round: int =
         starts = np.nonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))[0]
         counts = np.diff(starts, append=len(ordered))
         frequent = np.nonzero(counts >= least_count)[0]
-        frequent = frequent[np.argsort(-counts[frequent], kind="stable")][:rules_per_round]
+        # Ties in no order of their symbols: in a repeated stretch, many pairs outrank their neighbours.
+        frequent = frequent[np.lexsort((_slots(ordered[starts[frequent]], 30), -counts[frequent]))][:rules_per_round]
         if not len(frequent):
             break
         found = ordered[starts[frequent]]
