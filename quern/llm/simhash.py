@@ -81,14 +81,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {key}, fp array<long>")
 
 
-def _variants(nodes: DataFrame, words64: int, segments: int) -> DataFrame:
+def _variants(nodes: DataFrame, words64: int, segments: int, width: int) -> DataFrame:
     """Rows (key, entry) of all signatures of nodes (node, fp).
 
     A segment has its exact value and, for each bit, its value without that bit as keys; the number of
     the segment and the place of the wildcard (its width: none) are part of the key.  ``entry`` is four
     times the node plus a side: 0 under an exact key, else 1 or 2 by the bit that the wildcard hides.
     """
-    width = 64 // segments
     value = lambda w, s: F.shiftrightunsigned(F.col("fp")[w], s * width).bitwiseAND(F.lit((1 << width) - 1))
     parts = F.array(*[F.struct(F.lit((w * segments + s) << 6).cast("long").alias("number"), value(w, s).alias("value")) for w in range(words64) for s in range(segments)])
     cut = nodes.select("node", F.inline(parts)).select("node", "number", "value", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("wild"))
@@ -127,7 +126,7 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def links(nodes: DataFrame, words64: int, segments: int, max_bits: int, block_rows: int = BLOCK_ROWS, pairs_upto: int = 0) -> DataFrame:
+def links(nodes: DataFrame, words64: int, segments: int, max_bits: int, block_rows: int = BLOCK_ROWS, pairs_upto: int = 0, width: int | None = None) -> DataFrame:
     """Edges (a, b) between node ids whose fingerprints differ by at most ``max_bits`` bits.
 
     ``nodes`` has (node long, fp array<long>) with different fingerprints and ids from 0 to 2**60.
@@ -137,9 +136,9 @@ def links(nodes: DataFrame, words64: int, segments: int, max_bits: int, block_ro
     """
     nodes = materialize(nodes, "simhash-nodes")
     # The table is small, what is made of it is not: tasks by the rows that they will make.
-    width = 64 // segments
+    width = width or 64 // segments
     nodes = nodes.repartition(max(1, nodes.count() * words64 * segments * (width + 1) // SIGNATURES_PER_TASK))
-    keyed = _variants(nodes, words64, segments)
+    keyed = _variants(nodes, words64, segments, width)
     # A wildcard key at which all agree in the hidden bit has nothing that the exact key has not.
     useful = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_or(F.col("entry").bitwiseAND(F.lit(3))).alias("sides")).where("n > 1 and sides in (0, 3)").select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
     members = keyed.join(useful, "key").select("key", F.shiftright("entry", 2).alias("node"), F.col("entry").bitwiseAND(F.lit(3)).cast("int").alias("side"), "blocks")
@@ -224,10 +223,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumnsRenamed({"id": id_col})
 
 
-#: Fingerprint of ``near_copies``: words of 64 bits, segments of a word, and the bits that a pair may
-#: differ in before it is looked at: those of a similarity of 0.8 (28 of 192 on average) and two
-#: standard deviations.
-WIDE_WORDS, WIDE_SEGMENTS, WIDE_BITS = 3, 3, 38
+#: Fingerprint of ``near_copies``: runs of words that it is made of, words of 64 bits, segments of a
+#: word and their bits, and the bits that a pair may differ in before it is looked at.  Runs of two words
+#: change less by an edit than the five-word shingles that decide: texts at a similarity of 0.8 differ in
+#: 24 of the 256 bits on average, at most 39 on the sample tables; others in about 127.
+WIDE_SHINGLE, WIDE_WORDS, WIDE_SEGMENTS, WIDE_WIDTH, WIDE_BITS = 2, 4, 2, 28, 48
 #: Units of up to so many rows pass on all their candidates, larger ones a spanning forest of them.
 PAIRS_UPTO = 32
 
@@ -248,17 +248,17 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Groups of near copies by word shingles: rows (id, tie, group), ``tie`` a hash of the text.
 
-    Candidates come from SimHash fingerprints of 192 bits over the shingles, in nine segments of 21 bits
-    of which one may differ by a bit; a candidate links when the shingle sets of its two texts have a
-    Jaccard similarity of at least ``similarity``.  Equal fingerprints are one group.  Links are found
-    with a probability that grows with the similarity: about 0.8 of those at 0.8 and nearly all from
-    0.9 on.  ``group`` is a number; repeated rows share it, and so do all texts without words.
+    Candidates come from SimHash fingerprints of 256 bits over runs of two words, in eight segments of 28
+    bits of which one may differ by a bit; a candidate links when the sets of word shingles of its two
+    texts have a Jaccard similarity of at least ``similarity``.  Equal fingerprints are one group.  Links
+    are found with a probability that grows with the similarity: about 0.93 of those at 0.8 and nearly
+    all from 0.85 on.  ``group`` is a number; repeated rows share it, and so do all texts without words.
     """
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    marked = materialize(_with_tie(texts, shingle), "copies-fp")
+    marked = materialize(_with_tie(texts), "copies-fp")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")
     nodes = materialize(marked.groupBy("fp").agg(F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()), "copies-nodes")
-    candidates = materialize(links(nodes.select("node", "fp"), WIDE_WORDS, WIDE_SEGMENTS, WIDE_BITS, pairs_upto=PAIRS_UPTO), "copies-candidates")
+    candidates = materialize(links(nodes.select("node", "fp"), WIDE_WORDS, WIDE_SEGMENTS, WIDE_BITS, pairs_upto=PAIRS_UPTO, width=WIDE_WIDTH), "copies-candidates")
     wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct().join(nodes, "node").select("node", F.col("first.id").alias("id"), F.col("first.tie").alias("tie"))
     tied = texts.withColumn("tie", F.xxhash64("text"))
     chosen = tied.join(wanted, tied["id"].eqNullSafe(wanted["id"]) & (tied["tie"] == wanted["tie"])).select("node", "text")
@@ -271,10 +271,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(table, "fp").select("id", "tie", "group")
 
 
-def _with_tie(texts: DataFrame, shingle: int) -> DataFrame:
+def _with_tie(texts: DataFrame) -> DataFrame:
     """(id, tie, fp) of rows (id, text)."""
     keyed = texts.select(F.struct("id", F.xxhash64("text").alias("tie")).alias("key"), "text")
-    return fingerprints(keyed, "key", "text", shingle, WIDE_WORDS).select(F.col("id.id").alias("id"), F.col("id.tie").alias("tie"), "fp")
+    return fingerprints(keyed, "key", "text", WIDE_SHINGLE, WIDE_WORDS).select(F.col("id.id").alias("id"), F.col("id.tie").alias("tie"), "fp")
 
 
 def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
