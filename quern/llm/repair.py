@@ -36,11 +36,14 @@ class Grammar:
         return out
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        """What the symbols stand for; each rule is written out once, if it is used."""
+        """What the symbols stand for; each rule is written out once, in a short stretch only if used."""
         inner = symbols >= self.base
         if not inner.any():
             return symbols
-        used, place = np.unique(symbols[inner], return_inverse=True)
+        if len(symbols) > len(self.rules):
+            used, place = np.arange(self.base, self.base + len(self.rules)), symbols[inner] - self.base
+        else:
+            used, place = np.unique(symbols[inner], return_inverse=True)
         written: dict[int, list[int]] = {}
         for k in used.tolist():
             self._write_out(k, written)
@@ -95,10 +98,16 @@ def _slots(pairs: np.ndarray, bits: int) -> np.ndarray:
 
 
 def compress(ids: np.ndarray, base: int, rounds: int = 8, rules_per_round: int = 4096, least_count: int = 8) -> Grammar:
-    """The grammar of ``ids`` (all below ``base``)."""
+    """The grammar of ``ids`` (all below ``base``).
+
+    Where ids fit into two bytes there are only as many rules as leave symbols of two bytes: one more
+    byte for every symbol would cost more than further rules save.
+    """
     sequence, rules, lengths = ids.astype(np.int32), [], []
+    most_rules = (1 << 16) - base if base < 1 << 16 else (1 << 31) - 1 - base
     for _ in range(rounds):
-        if len(sequence) < 2:
+        left = min(rules_per_round, most_rules - len(rules))
+        if len(sequence) < 2 or left < 1:
             break
         pairs = sequence[:-1].astype(np.int64) << 32 | sequence[1:]
         ordered = np.sort(pairs)
@@ -106,7 +115,7 @@ def compress(ids: np.ndarray, base: int, rounds: int = 8, rules_per_round: int =
         counts = np.diff(starts, append=len(ordered))
         frequent = np.nonzero(counts >= least_count)[0]
         # Ties in no order of their symbols: in a repeated stretch, many pairs outrank their neighbours.
-        frequent = frequent[np.lexsort((_slots(ordered[starts[frequent]], 30), -counts[frequent]))][:rules_per_round]
+        frequent = frequent[np.lexsort((_slots(ordered[starts[frequent]], 30), -counts[frequent]))][:left]
         if not len(frequent):
             break
         found = ordered[starts[frequent]]

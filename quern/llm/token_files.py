@@ -25,9 +25,9 @@ from quern.llm.storage import materialize, new_folder
 
 END_ID = 2
 #: UTF-8 bytes of text in a shard, about.
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 12_000_000
 #: Parts of words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Shards whose starts are summed by one task.
 SHARDS_PER_CHUNK = 4096
 
@@ -65,19 +65,19 @@ class WordEncoder:
         cores = pc.coalesce(pc.struct_field(found, "core"), different).dictionary_encode()
         tails = pc.coalesce(pc.struct_field(found, "tail"), pa.scalar("", pa.large_string())).dictionary_encode()
         parts = cores.dictionary.to_pylist() + tails.dictionary.to_pylist()
-        known = self.parts.of(parts, self._encode_parts)
-        values = list(map(known.__getitem__, parts))
+        values = self.parts.of(parts, self._encode_parts)
         table = np.frombuffer(b"".join(values), self.kind)
-        lengths = np.fromiter(map(len, values), np.int64, len(values)) // table.itemsize
+        lengths = np.fromiter(map(len, values), np.int32, len(values)) // table.itemsize
         # Every word is its core and its tail, both looked up in the table.
         number = words.indices.to_numpy()
-        codes = np.empty(2 * len(number), np.int64)
+        codes = np.empty(2 * len(number), np.int32)
         codes[0::2] = cores.indices.to_numpy()[number]
         codes[1::2] = tails.indices.to_numpy()[number] + len(cores.dictionary)
         sizes = lengths[codes]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         shift = (np.cumsum(lengths) - lengths)[codes] - ends[:-1]
-        ids = table[np.repeat(shift, sizes) + np.arange(ends[-1])]
+        kind = np.int32 if max(int(ends[-1]), len(table)) < 1 << 31 else np.int64
+        ids = table[np.repeat(shift.astype(kind), sizes) + np.arange(ends[-1], dtype=kind)]
         self.parts.turn()
         offsets = listed.offsets.to_numpy()
         return np.split(ids, ends[2 * (offsets - offsets[0])[1:-1]]) if len(texts) else []
@@ -87,7 +87,7 @@ class WordEncoder:
         plain = [p for p in parts if _letters(p)]
         for at in range(0, len(plain), 1024):
             some = plain[at : at + 1024]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
             ends = np.nonzero(self.ends[ids])[0] + 1
             if len(ends) == len(some):
                 data, width = ids.tobytes(), ids.itemsize
@@ -115,19 +115,21 @@ class Remembered:
     def __init__(self, most: int = REMEMBERED):
         self.most, self.young, self.old = most, {}, {}
 
-    def of(self, keys, make) -> dict[str, bytes]:
-        """A table that holds all ``keys`` (each given once); valid until ``turn``."""
-        young, old, fresh = self.young, self.old, []
-        for key in keys:
-            if key not in young:
-                value = old.get(key)
+    def of(self, keys: list[str], make) -> list[bytes]:
+        """The values of ``keys``; what is not remembered is made, each once."""
+        values = list(map(self.young.get, keys))
+        missing = [k for k, value in enumerate(values) if value is None]
+        if missing:
+            fresh = []
+            for k in missing:
+                values[k] = value = self.old.get(keys[k])
                 if value is None:
-                    fresh.append(key)
-                else:
-                    young[key] = value
-        if fresh:
-            young.update(zip(fresh, make(fresh), strict=True))
-        return young
+                    fresh.append(k)
+            if fresh:
+                for k, value in zip(fresh, make([keys[k] for k in fresh]), strict=True):
+                    values[k] = value
+            self.young.update((keys[k], values[k]) for k in missing)
+        return values
 
     def turn(self) -> None:
         if len(self.young) > self.most:
@@ -141,7 +143,7 @@ def load_encoder(path: str | None) -> WordEncoder:
     return WordEncoder(path or public_tokenizers.path("word_bpe_49k.json"))
 
 
-def _by_bytes(texts: pa.Array, most: int = 4_000_000) -> Iterator[pa.Array]:
+def _by_bytes(texts: pa.Array, most: int = 12_000_000) -> Iterator[pa.Array]:
     """Slices of about ``most`` bytes of text, of one row at least."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     first = 0
