@@ -25,6 +25,8 @@ from quern.llm.storage import materialize, new_folder
 LEAST_REVISIT_BYTES = 0
 #: Bytes of payload in an archive, about.
 ARCHIVE_BYTES = 16_000_000
+#: Compressed bytes that are read at a time.
+PIECE = 4096
 #: The same for all records: archives of equal pages are equal.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -103,14 +105,18 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 def parse_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, headers in lower case, block) of the records of an archive, one gzip member each."""
-    at = 0
+    at, view = 0, memoryview(data)
     while at < len(data):
-        unpacker = zlib.decompressobj(31)
-        text = unpacker.decompress(memoryview(data)[at:])
-        start, at = at, len(data) - len(unpacker.unused_data)
-        if not unpacker.eof:
-            raise ValueError("the archive ends inside of a record")
-        head, _, rest = text.partition(b"\r\n\r\n")
+        unpacker, parts, start = zlib.decompressobj(31), [], at
+        # By pieces: what a call does not use it copies, which must not be the rest of the archive.
+        while not unpacker.eof:
+            piece = view[at : at + PIECE]
+            if not piece:
+                raise ValueError("the archive ends inside of a record")
+            parts.append(unpacker.decompress(piece))
+            at += len(piece)
+        at -= len(unpacker.unused_data)
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("not a WARC record")
