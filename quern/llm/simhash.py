@@ -223,13 +223,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumnsRenamed({"id": id_col})
 
 
-#: Fingerprint of ``near_copies``: runs of words that it is made of, words of 64 bits, segments of a
-#: word and their bits, and the bits that a pair may differ in before it is looked at.  Runs of two words
-#: change less by an edit than the five-word shingles that decide: texts at a similarity of 0.8 differ in
-#: 24 of the 256 bits on average, at most 39 on the sample tables; others in about 127.
-WIDE_SHINGLE, WIDE_WORDS, WIDE_SEGMENTS, WIDE_WIDTH, WIDE_BITS = 2, 4, 2, 28, 48
-#: Units of up to so many rows pass on all their candidates, larger ones a spanning forest of them.
-PAIRS_UPTO = 32
+#: Texts, about, whose shingles are counted to tell frequent ones, and how many of those are kept.
+SAMPLED_TEXTS, FREQUENT_SHINGLES = 20_000, 1 << 17
+#: Nodes of a key up to which its pairs are listed; more are compared in blocks of so many rows.
+PAIRS_UPTO, SET_BLOCK_ROWS = 32, 256
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -245,36 +242,140 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, shingles array<int>")
 
 
+def prefix_size(n: int, similarity: float) -> int:
+    """Two sets at or above ``similarity`` share one of so many least elements of each, in any common order."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+
+
+def _prefixes(texts: DataFrame, shingle: int, similarity: float, frequent: np.ndarray) -> DataFrame:
+    """(id, tie, node, n, prefix array<int>) of rows (id, tie, text): a hash of the set of shingles, its
+    size and its least elements, where ``frequent`` shingles (the most frequent first) come last."""
+    values = np.sort(frequent)
+    ranks = (len(frequent) - np.argsort(frequent)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                nodes, sizes, prefixes = [], [], []
+                for text in batch.column(2).to_pylist():
+                    found = np.unique(shingle_hashes(text, shingle).astype(np.uint32).view(np.int32))
+                    rank = np.zeros(len(found), np.int64)
+                    if len(values):
+                        place = np.minimum(np.searchsorted(values, found), len(values) - 1)
+                        rank = np.where(values[place] == found, ranks[place], 0)
+                    order = np.lexsort((found.view(np.uint32) * np.uint32(0x9E3779B1), rank))
+                    nodes.append(xxh3_64_intdigest(found.tobytes()) - (1 << 63))
+                    sizes.append(len(found))
+                    prefixes.append(found[order[: prefix_size(len(found), similarity)]])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int32()))], names=["id", "tie", "node", "n", "prefix"])
+
+    return texts.select("id", "tie", "text").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, tie long, node long, n int, prefix array<int>")
+
+
+def _frequent_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
+    """The most frequent shingles of a sample of different texts, the most frequent first."""
+    share = min(1.0, SAMPLED_TEXTS / max(1, texts.count()))
+    sample = texts.where(F.pmod("tie", F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col("tie").alias("node"), "text").dropDuplicates(["node"])
+    counts = shingle_sets(sample, shingle).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 3")
+    return np.array([r["s"] for r in counts.orderBy(F.desc("n"), "s").limit(FREQUENT_SHINGLES).select("s").collect()], np.int32)
+
+
+def _similar_sets(a: list[np.ndarray], b: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which sets of a (rows) and b (columns) have a Jaccard similarity of at least ``similarity``."""
+    sizes = np.array([len(x) for x in b])
+    values, owner = np.concatenate(b), np.repeat(np.arange(len(b)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    out = np.zeros((len(a), len(b)), bool)
+    for r, x in enumerate(a):
+        first, last = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+        length = last - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+        common = np.bincount(owner[at], minlength=len(b))
+        out[r] = common >= similarity * (len(x) + sizes - common)
+    return out
+
+
+def _block_links(members: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect what all links between the components of each key connect.
+
+    Rows (key, m, node, component, shingles), ``m`` rows of a key.  Every two blocks of a key are one unit;
+    in it every pair of different components is verified and a spanning forest of the links returned."""
+    blocks = F.ceil(F.col("m") / SET_BLOCK_ROWS).cast("int")
+    cut = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    units = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "shingles")
+
+    def compare(unit: pa.Table) -> pa.Table:
+        block, i, j, node, component = (unit.column(c).to_numpy() for c in ("block", "i", "j", "node", "component"))
+        sets = [x.values.to_numpy(zero_copy_only=False) for x in unit.column("shingles")]
+        first, second = np.nonzero(block == i)[0], np.nonzero(block == j)[0]
+        above, edges = {}, []
+
+        def root(x: int) -> int:
+            while x in above:
+                x = above[x]
+            return x
+
+        if len(first) and len(second):
+            linked = _similar_sets([sets[k] for k in first], [sets[k] for k in second], similarity) & (component[first][:, None] != component[second][None, :])
+            for r, c in zip(*np.nonzero(linked), strict=True):
+                one, two = root(int(component[first[r]])), root(int(component[second[c]]))
+                if one != two:
+                    above[one] = two
+                    edges.append((int(node[first[r]]), int(node[second[c]])))
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return units.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Groups of near copies by word shingles: rows (id, tie, group), ``tie`` a hash of the text.
 
-    Candidates come from SimHash fingerprints of 256 bits over runs of two words, in eight segments of 28
-    bits of which one may differ by a bit; a candidate links when the sets of word shingles of its two
-    texts have a Jaccard similarity of at least ``similarity``.  Equal fingerprints are one group.  Links
-    are found with a probability that grows with the similarity: about 0.93 of those at 0.8 and nearly
-    all from 0.85 on.  ``group`` is a number; repeated rows share it, and so do all texts without words.
+    Two texts link when their sets of word shingles (32 bits of each) have a Jaccard similarity of at
+    least ``similarity``; a group is what links connect.  Complete: such sets share one of their few
+    first shingles in any common order, here the rare ones first.  Of the nodes with a common first
+    shingle, each is verified with the one whose shingles are shared most; then every pair that this left
+    in different components is verified as well.  Equal sets are one node, and so are all texts without
+    words.  ``group`` is a number; repeated rows share it.
     """
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    marked = materialize(_with_tie(texts), "copies-fp")
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("tie", F.xxhash64("text"))
+    marked = materialize(_prefixes(texts, shingle, similarity, _frequent_shingles(texts, shingle)), "copies-prefixes")
+    keys = marked.select("node", "n", "prefix").dropDuplicates(["node"]).select("node", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("key"))
+    keys = materialize(keys, "copies-keys")
+    shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    members = materialize(keys.join(shared, "key"), "copies-members-of-keys")
+
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")
-    nodes = materialize(marked.groupBy("fp").agg(F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()), "copies-nodes")
-    candidates = materialize(links(nodes.select("node", "fp"), WIDE_WORDS, WIDE_SEGMENTS, WIDE_BITS, pairs_upto=PAIRS_UPTO, width=WIDE_WIDTH), "copies-candidates")
-    wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct().join(nodes, "node").select("node", F.col("first.id").alias("id"), F.col("first.tie").alias("tie"))
-    tied = texts.withColumn("tie", F.xxhash64("text"))
-    chosen = tied.join(wanted, tied["id"].eqNullSafe(wanted["id"]) & (tied["tie"] == wanted["tie"])).select("node", "text")
+    wanted = marked.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(order).alias("first")).select("node", F.col("first.id").alias("of_id"), F.col("first.tie").alias("of_tie"))
+    chosen = texts.join(wanted, texts["id"].eqNullSafe(F.col("of_id")) & (texts["tie"] == F.col("of_tie"))).select("node", "text")
     sets = materialize(shingle_sets(chosen, shingle).dropDuplicates(["node"]), "copies-shingles")
-    both = candidates.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    edges = both.where(common >= similarity * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
-    found = components(edges, "a", "b")
-    table = materialize(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("group")), "copies-groups")
-    return marked.join(table, "fp").select("id", "tie", "group")
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+        common = F.size(F.array_intersect("of_a", "of_b"))
+        return both.where(common >= similarity * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
-def _with_tie(texts: DataFrame) -> DataFrame:
-    """(id, tie, fp) of rows (id, text)."""
-    keyed = texts.select(F.struct("id", F.xxhash64("text").alias("tie")).alias("key"), "text")
-    return fingerprints(keyed, "key", "text", WIDE_SHINGLE, WIDE_WORDS).select(F.col("id.id").alias("id"), F.col("id.tie").alias("tie"), "fp")
+    # A set is never similar to one of less than this share of its size.
+    near_size = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
+    score = members.groupBy("node").agg((F.count("*") / F.first("p")).alias("score"))
+    centres = members.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
+    centred = materialize(members.join(centres, "key"), "copies-centred")
+    stars = centred.where(F.col("node") != F.col("centre")).where(near_size("n", "centre_n")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    edges = materialize(verified(stars), "copies-stars")
+
+    found = components(edges, "a", "b")
+    placed = materialize(centred.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "copies-placed")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    rest = placed.join(open_keys, "key")
+    x, y = (rest.where(F.col("m") <= PAIRS_UPTO).where("node <> centre").select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "component")]) for k in "xy")
+    few = x.join(y, "key").where("node_x < node_y and component_x <> component_y").where(near_size("n_x", "n_y")).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    many = rest.where(F.col("m") > PAIRS_UPTO).select("key", "m", "node", "component").join(sets, "node")
+    edges = materialize(edges.union(verified(few)).union(_block_links(many, similarity)), "copies-links")
+    table = materialize(components(edges, "a", "b"), "copies-groups")
+    return marked.select("id", "tie", "node").join(table, "node", "left").select("id", "tie", F.coalesce("component", "node").alias("group"))
 
 
 def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -521,3 +521,31 @@ def test_near_copies(spark):
     twice = table(spark, ["a b c d e f g h"] * 1).union(table(spark, ["a b c d e f g h"]))
     assert simhash.keep_one_copy(twice).count() == 1
     assert simhash.keep_one_copy(table(spark, [])).count() == 0
+
+
+def brute_groups(texts, size=5, similarity=0.8):
+    """Groups by the Jaccard similarity of all pairs of texts."""
+    sets = []
+    for t in texts:
+        w = (t or "").split()
+        sets.append({tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set())
+    linked = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) > 0]
+    return groups_of(linked, range(len(sets)))
+
+
+@pytest.mark.parametrize("upto", [32, 1])
+def test_near_copies_of_a_large_family(spark, monkeypatch, upto):
+    # Each of 80 variants links with the base only, whose id is the greatest of all.
+    monkeypatch.setattr(simhash, "PAIRS_UPTO", upto)
+    monkeypatch.setattr(simhash, "SET_BLOCK_ROWS", 16, raising=False)
+    rng = random.Random(21)
+    base, texts = words(rng, 300, 10**6).split(), []
+    for k in range(80):
+        w = list(base)
+        for at in rng.sample(range(10, 290), 6):
+            w[at] = f"v{k}x{at}"
+        texts.append(" ".join(w))
+    texts.append(" ".join(base))
+    want = brute_groups(texts)
+    assert len(set(want.values())) == 1 and len(set(brute_groups(texts[:80]).values())) > 40
+    assert [r["doc_id"] for r in simhash.keep_one_copy(table(spark, texts)).collect()] == [0]
