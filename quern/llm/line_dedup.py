@@ -7,6 +7,10 @@ over.  A pair is aligned by patience diff: lines that occur once in both documen
 increasing order, are the anchors, and repeated lines are aligned by occurrence between them.  Runs of
 lines that are aligned without a gap are common blocks; those with enough words are deleted from the
 later document.  Documents are ordered by id, so the first holder of a line always keeps it.
+
+Pairs through first holders miss passages whose lines have different ones.  ``repeated_ranges`` misses
+none: it looks up hashes of runs of adjacent lines and needs no pairs.  It deletes all that alignments of
+whole documents would, whatever the number of holders, and passages that stand in another order besides.
 """
 
 from __future__ import annotations
@@ -167,6 +171,63 @@ def deleted_ranges(docs: DataFrame, rare_holders: int = RARE_HOLDERS, least_word
     return found.groupBy("id", "tie").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
 
 
+def least_runs(words: list[int], least_words: int = LEAST_BLOCK_WORDS) -> list[tuple[int, int]]:
+    """Ranges (first, last) of the shortest runs with enough words from every line on and up to every line.
+
+    Those inside of any longer run with enough words cover all of it."""
+    out, last, total = set(), -1, 0
+    for first in range(len(words)):
+        while total < least_words and last + 1 < len(words):
+            last += 1
+            total += words[last]
+        if total < least_words:
+            break
+        out.add((first, last))
+        total -= words[first]
+    first, total = 0, 0
+    for last, n in enumerate(words):
+        total += n
+        while total - words[first] >= least_words:
+            total -= words[first]
+            first += 1
+        if total >= least_words:
+            out.add((first, last))
+    return sorted(out)
+
+
+def run_table(docs: DataFrame, least_words: int = LEAST_BLOCK_WORDS) -> DataFrame:
+    """``least_runs`` of rows (id, tie, text): + h1, h2 (128-bit hash of the lines), first, last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_intdigest
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
+                row, out = [], []
+                for k, text in enumerate(batch.column(2).to_pylist()):
+                    lines = worded_lines(text)
+                    for first, last in least_runs([n for _, _, n in lines], least_words):
+                        h = xxh3_128_intdigest(b"\n".join(line for _, line, _ in lines[first : last + 1]))
+                        row.append(k)
+                        out.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), first, last))
+                if row:
+                    columns = zip(*out, strict=True)
+                    taken = batch.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), *(pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True))], names=["id", "tie", "h1", "h2", "first", "last"])
+
+    return docs.mapInArrow(run, f"id {key_type(docs)}, tie long, h1 long, h2 long, first int, last int")
+
+
+def repeated_ranges(docs: DataFrame, least_words: int = LEAST_BLOCK_WORDS) -> DataFrame:
+    """Rows (id, tie, ranges array<struct<first, last>>) for rows (id, tie, text): the runs of adjacent
+    lines with enough words that an earlier document has as well."""
+    held = materialize(run_table(docs, least_words), "line-runs").withColumn("holder", F.struct(F.col("id").isNull().alias("no_id"), "id", "tie"))
+    shared = held.groupBy("h1", "h2").agg(F.min("holder").alias("earliest"), F.max("holder").alias("latest")).where("earliest < latest").select("h1", "h2", "earliest")
+    later = held.join(shared, ["h1", "h2"]).where("earliest < holder")
+    return later.groupBy("id", "tie").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+
+
 def key_type(docs: DataFrame) -> str:
     return docs.schema["id"].dataType.simpleString()
 
@@ -181,17 +242,18 @@ def without_ranges(text: str | None, ranges: list[dict] | None) -> tuple[str | N
     return "\n".join(line for at, line in enumerate(text.split("\n")) if at not in numbers), len(lines), len(gone)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_holders: int = RARE_HOLDERS, least_words: int = LEAST_BLOCK_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_holders: int = RARE_HOLDERS, least_words: int = LEAST_BLOCK_WORDS, every_run: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with common blocks deleted from ``text``, + __lines, __deleted.
 
     Lines are compared without white space at their ends; blank lines never part a block.  Null and
     empty texts have no lines and stay as they are.  Documents are ordered by id, nulls last, then by a
     hash of the text; repeated rows are one document and lose the same lines.  The longest document
-    is one row of work.
+    is one row of work.  ``every_run``: by ``repeated_ranges`` instead of by pairs of documents.
     """
     key, tie = "__key", "__tie"
     marked = docs.withColumn(key, F.col(id_col)).withColumn(tie, F.xxhash64(text_col))
-    ranges = materialize(deleted_ranges(marked.select(F.col(key).alias("id"), F.col(tie).alias("tie"), F.col(text_col).alias("text")), rare_holders, least_words), "line-ranges")
+    keyed = marked.select(F.col(key).alias("id"), F.col(tie).alias("tie"), F.col(text_col).alias("text"))
+    ranges = materialize(repeated_ranges(keyed, least_words) if every_run else deleted_ranges(keyed, rare_holders, least_words), "line-ranges")
     # Always by a shuffle: a broadcast of the ranges would grow with the corpus.
     ranges = ranges.hint("merge")
     joined = marked.join(ranges, marked[key].eqNullSafe(ranges["id"]) & (marked[tie] == ranges["tie"]), "left").select(*[marked[c] for c in docs.columns], "ranges")
@@ -214,4 +276,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` with their remaining text: (doc_id, n_lines, n_deleted, text)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__deleted").alias("n_deleted"), "text")
+    return dedup_lines(docs, every_run=True).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__deleted").alias("n_deleted"), "text")

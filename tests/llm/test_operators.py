@@ -452,6 +452,58 @@ def test_order_by_rejection_per_cost(spark):
     assert [r.name for r in quality.order_rules(docs, (never, slow, fast))] == ["fast", "slow", "never"]
 
 
+def brute_runs(texts, least=20):
+    """Places of lines in runs of adjacent lines with enough words that an earlier text has as well."""
+    docs = [[line.strip() for line in (t or "").split("\n") if line.strip()] for t in texts]
+    seen, out = set(), []
+    for lines in docs:
+        runs = [(a, b) for a in range(len(lines)) for b in range(a, len(lines)) if sum(len(x.split()) for x in lines[a : b + 1]) >= least]
+        out.append({p for a, b in runs if tuple(lines[a : b + 1]) in seen for p in range(a, b + 1)})
+        seen |= {tuple(lines[a : b + 1]) for a, b in runs}
+    return out
+
+
+def remaining(texts, gone):
+    """The texts without the lines at these places among those with words."""
+    out = []
+    for text, places in zip(texts, gone, strict=True):
+        lines, kept, place = (text or "").split("\n"), [], 0
+        for line in lines:
+            if not line.strip() or place not in places:
+                kept.append(line)
+            place += bool(line.strip())
+        out.append("\n".join(kept) if places else text)
+    return out
+
+
+def op5(spark, path, texts):
+    table(spark, texts).write.parquet(f"{path}/documents.parquet")
+    return {r["doc_id"]: r for r in line_dedup.op5_line_dedup(spark, str(path)).collect()}
+
+
+def test_op5_deletes_passages_of_lines_with_different_first_holders(spark, tmp_path):
+    a, b, rare = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 12), ("b", 12), ("r", 6)))
+    texts = [f"one\n{a}", f"two\n{b}"] + [f"own {k}\n{a}\n{b}\nlast {k}" for k in range(11)]
+    # Rare, common and rare lines: below 20 words without the common one.
+    common = "c1 c2 c3 c4 c5 c6 c7 c8"
+    texts += [f"it {k}\n{common}" for k in range(12)] + [f"x {k}\n{rare}\n{common}\nz{rare}\ny {k}" for k in range(2)]
+    got = op5(spark, tmp_path, texts)
+    assert [got[k]["text"] for k in range(3)] == texts[:3]
+    assert all(got[k]["text"] == f"own {k - 2}\nlast {k - 2}" for k in range(3, 13))
+    assert got[25]["text"] == texts[25] and got[26]["text"] == "x 1\ny 1"
+
+
+def test_op5_deletes_every_repeated_run(spark, tmp_path):
+    rng = random.Random(16)
+    passages = [words(rng, rng.randint(3, 30), 5000) for _ in range(25)]
+    order = [rng.sample(passages, 4) for _ in range(8)]
+    texts = ["\n".join([words(rng, 5, 10**6), *rng.choice(order)[: rng.randint(1, 4)], rng.choice(passages), words(rng, 4, 10**6)]) for _ in range(150)]
+    texts += [texts[3], texts[5] + "\n\nmore of it", None, "", "\n \n"]
+    got, want = op5(spark, tmp_path, texts), brute_runs(texts)
+    assert [got[k]["text"] for k in range(len(texts))] == remaining(texts, want)
+    assert [got[k]["n_deleted"] for k in range(len(texts))] == [len(x) for x in want] and sum(map(bool, want)) > 50
+
+
 # ---- 10 SimHash -------------------------------------------------------------------------------
 
 
