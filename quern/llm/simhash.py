@@ -233,9 +233,13 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """(node, shingles array<int>) of rows (node, text): 32 bits of every different shingle's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
+                # Repeated rows meet in a task as a rule.
+                fresh = [k for k, node in enumerate(part.column(0).to_pylist()) if not (node in seen or seen.add(node))]
+                part = part.take(pa.array(fresh, pa.int32()))
                 sets = [np.unique(shingle_hashes(text, shingle).astype(np.uint32)).view(np.int32) for text in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
 
@@ -248,8 +252,8 @@ def prefix_size(n: int, similarity: float) -> int:
 
 
 def _prefixes(texts: DataFrame, shingle: int, similarity: float, frequent: np.ndarray) -> DataFrame:
-    """(id, tie, node, n, prefix array<int>) of rows (id, tie, text): a hash of the set of shingles, its
-    size and its least elements, where ``frequent`` shingles (the most frequent first) come last."""
+    """(id, tie, node, n, prefix array<long>) of rows (id, tie, text): a hash of the set of shingles, its
+    size and 48 bits of its least elements, where ``frequent`` shingles (the most frequent first) come last."""
     values = np.sort(frequent)
     ranks = (len(frequent) - np.argsort(frequent)).astype(np.int64)
 
@@ -261,18 +265,19 @@ def _prefixes(texts: DataFrame, shingle: int, similarity: float, frequent: np.nd
                 batch = whole.slice(at, 256)
                 nodes, sizes, prefixes = [], [], []
                 for text in batch.column(2).to_pylist():
-                    found = np.unique(shingle_hashes(text, shingle).astype(np.uint32).view(np.int32))
+                    found = np.unique(shingle_hashes(text, shingle))
                     rank = np.zeros(len(found), np.int64)
                     if len(values):
-                        place = np.minimum(np.searchsorted(values, found), len(values) - 1)
-                        rank = np.where(values[place] == found, ranks[place], 0)
-                    order = np.lexsort((found.view(np.uint32) * np.uint32(0x9E3779B1), rank))
+                        low = found.astype(np.uint32).view(np.int32)
+                        place = np.minimum(np.searchsorted(values, low), len(values) - 1)
+                        rank = np.where(values[place] == low, ranks[place], 0)
+                    order = np.lexsort((found * np.uint64(0x9E3779B97F4A7C15), rank))
                     nodes.append(xxh3_64_intdigest(found.tobytes()) - (1 << 63))
                     sizes.append(len(found))
-                    prefixes.append(found[order[: prefix_size(len(found), similarity)]])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int32()))], names=["id", "tie", "node", "n", "prefix"])
+                    prefixes.append((found[order[: prefix_size(len(found), similarity)]] >> np.uint64(16)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "tie", "node", "n", "prefix"])
 
-    return texts.select("id", "tie", "text").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, tie long, node long, n int, prefix array<int>")
+    return texts.select("id", "tie", "text").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, tie long, node long, n int, prefix array<long>")
 
 
 def _frequent_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
@@ -343,27 +348,29 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("tie", F.xxhash64("text"))
     marked = materialize(_prefixes(texts, shingle, similarity, _frequent_shingles(texts, shingle)), "copies-prefixes")
-    keys = marked.select("node", "n", "prefix").dropDuplicates(["node"]).select("node", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("key"))
-    keys = materialize(keys, "copies-keys")
+    nodes = materialize(marked.select("node", "n", "prefix").dropDuplicates(["node"]), "copies-nodes")
+    keys = nodes.select("node", F.explode("prefix").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = materialize(keys.join(shared, "key"), "copies-members-of-keys")
+    members = materialize(keys.join(shared, "key").join(nodes.select("node", "n", F.size("prefix").alias("p")), "node"), "copies-members-of-keys")
 
+    # A set is never similar to one of less than this share of its size.
+    near_size = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
+    score = members.groupBy("node").agg((F.count("*") / F.first("p")).alias("score"))
+    centres = members.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
+    centred = materialize(members.join(centres, "key"), "copies-centred")
+    stars = materialize(centred.where(F.col("node") != F.col("centre")).where(near_size("n", "centre_n")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "copies-pairs")
+    # A key of two has no pair but that with its centre.
+    compared = stars.select(F.col("a").alias("node")).union(stars.select("b")).union(centred.where("m > 2").select("node")).distinct()
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")
-    wanted = marked.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(order).alias("first")).select("node", F.col("first.id").alias("of_id"), F.col("first.tie").alias("of_tie"))
+    wanted = marked.join(compared, "node", "left_semi").groupBy("node").agg(F.min(order).alias("first")).select("node", F.col("first.id").alias("of_id"), F.col("first.tie").alias("of_tie"))
     chosen = texts.join(wanted, texts["id"].eqNullSafe(F.col("of_id")) & (texts["tie"] == F.col("of_tie"))).select("node", "text")
-    sets = materialize(shingle_sets(chosen, shingle).dropDuplicates(["node"]), "copies-shingles")
+    sets = materialize(shingle_sets(chosen, shingle), "copies-shingles")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
         common = F.size(F.array_intersect("of_a", "of_b"))
         return both.where(common >= similarity * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
-    # A set is never similar to one of less than this share of its size.
-    near_size = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
-    score = members.groupBy("node").agg((F.count("*") / F.first("p")).alias("score"))
-    centres = members.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
-    centred = materialize(members.join(centres, "key"), "copies-centred")
-    stars = centred.where(F.col("node") != F.col("centre")).where(near_size("n", "centre_n")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     edges = materialize(verified(stars), "copies-stars")
 
     found = components(edges, "a", "b")

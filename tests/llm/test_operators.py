@@ -601,3 +601,21 @@ def test_near_copies_of_a_large_family(spark, monkeypatch, upto):
     want = brute_groups(texts)
     assert len(set(want.values())) == 1 and len(set(brute_groups(texts[:80]).values())) > 40
     assert [r["doc_id"] for r in simhash.keep_one_copy(table(spark, texts)).collect()] == [0]
+
+
+def test_near_copies_are_complete(spark):
+    # Pairs from 0.6 to 0.95, many of them just at 0.8, short ones included, and two texts of equal word pairs.
+    rng = random.Random(22)
+    texts = []
+    for _ in range(150):
+        w = words(rng, rng.choice([12, 30, 60, 200]), 10**6).split()
+        other = list(w)
+        for at in rng.sample(range(len(w)), max(1, len(w) // 60) + rng.randrange(2)):
+            other[at] = f"v{rng.randrange(10**6)}"
+        texts += [" ".join(w), " ".join(other), " ".join(w[: len(w) - len(w) // 6])]
+    texts += ["", None, " \n", "a b c d e f", "a a a a a a a", "a a", "a a a a a a a a a"]
+    docs = table(spark, texts)
+    got = {r["id"]: r["group"] for r in simhash.near_copies(docs).collect()}
+    want = brute_groups(texts)
+    assert groups_of([(a, b) for a in got for b in got if got[a] == got[b]], range(len(texts))) == want
+    assert 200 < len(set(want.values())) < len(texts) - 50
