@@ -1,8 +1,8 @@
 """Re-Pair grammars over arrays of ids.
 
-Frequent pairs of neighbours are replaced by new symbols (nonterminals), again and again.  A round
-counts all pairs, makes a rule of each of the most frequent ones and replaces what does not overlap a
-more frequent pair.  Every nonterminal knows how many ids it stands for, and the sequence has a mark
+Frequent pairs of neighbours are replaced by new symbols (nonterminals) until no pair is frequent.  A
+round counts all pairs, makes a rule of each frequent one and replaces what does not overlap a more
+frequent pair.  Every nonterminal knows how many ids it stands for, and the sequence has a mark
 at regular steps of how many ids stand before it, so any stretch is decoded without the rest.
 """
 
@@ -84,62 +84,70 @@ class Grammar:
         return self._expand(part[low:high])[start - before : stop - before]
 
 
-def _ranks(pairs: np.ndarray, frequent: np.ndarray, bits: int = 20) -> np.ndarray:
-    """Place of each pair in ``frequent``, or its length; a pair that shares its slot with a more
-    frequent one has none this time."""
-    table = np.full(1 << bits, len(frequent), np.int32)
-    table[_slots(np.ascontiguousarray(frequent[::-1]), bits)] = np.arange(len(frequent) - 1, -1, -1, dtype=np.int32)
-    here = table[_slots(pairs, bits)]
-    return np.where(np.append(frequent, -1)[here] == pairs, here, np.int32(len(frequent)))
+#: Bits of the slots that pairs are counted in first, and a pair's least share of the ids to be frequent.
+SLOT_BITS, FREQUENT_SHARE = 18, 1 << 15
 
 
-def _slots(pairs: np.ndarray, bits: int) -> np.ndarray:
-    return ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+def _frequent_pairs(sequence: np.ndarray, least_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, places, ranks): the pairs of neighbours found at least so often, the most frequent first,
+    the places in ``sequence`` where one starts, rising, and which pair each of them is.
 
-
-def compress(ids: np.ndarray, base: int, rounds: int = 8, rules_per_round: int = 4096, least_count: int = 8) -> Grammar:
+    Pairs are first counted in hashed slots, so that only those of full slots are sorted.
+    """
+    mixed = sequence.astype(np.uint32)
+    slots = ((mixed[:-1] * np.uint32(0x9E3779B1)) ^ (mixed[1:] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - SLOT_BITS)
+    slots = slots.view(np.int32)
+    at = np.nonzero((np.bincount(slots, minlength=1 << SLOT_BITS) >= least_count)[slots])[0]
+    pairs = sequence[at].astype(np.int64) << 32 | sequence[at + 1]
+    order = np.argsort(pairs)
+    ordered = pairs[order]
+    starts = np.nonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))[0] if len(at) else np.empty(0, np.int64)
+    counts = np.diff(starts, append=len(ordered))
+    frequent = np.nonzero(counts >= least_count)[0]
+    # Ties in no order of their symbols: in a repeated stretch, many pairs outrank their neighbours.
+    frequent = frequent[np.lexsort((ordered[starts[frequent]] * 0x9E3779B97F4A7C1 % 1000003, -counts[frequent]))]
+    rank = np.full(len(starts), -1, np.int32)
+    rank[frequent] = np.arange(len(frequent), dtype=np.int32)
+    ranks = np.empty(len(at), np.int32)
+    ranks[order] = np.repeat(rank, counts)
+    return ordered[starts[frequent]], at[ranks >= 0], ranks[ranks >= 0]
+
+
+def compress(ids: np.ndarray, base: int, least_count: int | None = None) -> Grammar:
     """The grammar of ``ids`` (all below ``base``).
 
-    Where ids fit into two bytes there are only as many rules as leave symbols of two bytes: one more
-    byte for every symbol would cost more than further rules save.
+    A round replaces every frequent pair where no neighbouring pair is more frequent, and rounds go on
+    until no pair is frequent: found at least ``least_count`` times, which is 8 and one in 32768 ids if it
+    is not given.
     """
-    sequence, rules, lengths = ids.astype(np.int32), [], []
-    most_rules = (1 << 16) - base if base < 1 << 16 else (1 << 31) - 1 - base
-    for _ in range(rounds):
-        left = min(rules_per_round, most_rules - len(rules))
-        if len(sequence) < 2 or left < 1:
-            break
-        pairs = sequence[:-1].astype(np.int64) << 32 | sequence[1:]
-        ordered = np.sort(pairs)
-        starts = np.nonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))[0]
-        counts = np.diff(starts, append=len(ordered))
-        frequent = np.nonzero(counts >= least_count)[0]
-        # Ties in no order of their symbols: in a repeated stretch, many pairs outrank their neighbours.
-        frequent = frequent[np.lexsort((_slots(ordered[starts[frequent]], 30), -counts[frequent]))][:left]
-        if not len(frequent):
-            break
-        found = ordered[starts[frequent]]
-        here = _ranks(pairs, found)
-        # Replaced: pairs that no neighbouring pair outranks; of a run of one pair, the first.
-        edge = np.array([len(found)], here.dtype)
-        chosen = (here < len(found)) & (here < np.concatenate([edge, here[:-1]])) & (here <= np.concatenate([here[1:], edge]))
-        uses = np.bincount(here[chosen], minlength=len(found))
-        kept = np.nonzero(uses >= 3)[0]
-        if not len(kept):
+    least = least_count or max(8, len(ids) // FREQUENT_SHARE)
+    sequence, rules, lengths = ids.astype(np.int32), [np.empty((0, 2), np.int32)], np.empty(0, np.int64)
+    while len(sequence) > 1:
+        found, at, ranks = _frequent_pairs(sequence, least)
+        here = np.full(len(sequence) + 1, len(found), np.int32)
+        here[at + 1] = ranks
+        chosen = (ranks <= here[at]) & (ranks <= here[at + 2]) if len(sequence) > 2 else np.ones(len(at), bool)
+        # A run of one pair (of a symbol with itself): every other one.
+        same = ranks == here[at]
+        if same.any():
+            place = np.arange(len(at))
+            chosen &= (place - np.maximum.accumulate(np.where(same, 0, place))) % 2 == 0
+        at, ranks = at[chosen], ranks[chosen]
+        kept = np.bincount(ranks, minlength=len(found)) >= 2
+        if not kept.any():
             break
         number = np.full(len(found), -1, np.int64)
-        number[kept] = base + len(rules) + np.arange(len(kept))
-        chosen[chosen] = number[here[chosen]] >= 0
-        at = np.nonzero(chosen)[0]
-        new = number[here[at]]
-        for pair in found[kept].tolist():
-            left, right = pair >> 32, pair & 0xFFFFFFFF
-            rules.append((left, right))
-            lengths.append((lengths[left - base] if left >= base else 1) + (lengths[right - base] if right >= base else 1))
-        sequence = sequence.copy()
-        sequence[at] = new
-        sequence = np.delete(sequence, at + 1)
-    grammar = Grammar(base, np.array(rules, np.int32).reshape(-1, 2), np.array(lengths, np.int64), sequence, np.empty(0, np.int64))
+        number[kept] = base + len(lengths) + np.arange(int(kept.sum()))
+        at, ranks = at[kept[ranks]], ranks[kept[ranks]]
+        pairs = np.stack([found[kept] >> 32, found[kept] & 0xFFFFFFFF], axis=1)
+        known = np.concatenate([np.ones(base, np.int64), lengths])
+        rules.append(pairs.astype(np.int32))
+        lengths = np.concatenate([lengths, known[pairs].sum(axis=1)])
+        sequence[at] = number[ranks]
+        left = np.ones(len(sequence), bool)
+        left[at + 1] = False
+        sequence = sequence[left]
+    grammar = Grammar(base, np.concatenate(rules), lengths, sequence, np.empty(0, np.int64))
     before = np.concatenate([[0], np.cumsum(grammar.symbol_lengths(sequence))[:-1]]) if len(sequence) else np.empty(0, np.int64)
     grammar.marks = before[::STEP].astype(np.int64)
     return grammar

@@ -7,6 +7,7 @@ Re-Pair grammar of their ids, and marks for random access; see ``repair``.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ class WordEncoder:
 
     The splitting pattern of such a vocabulary matches no white space, and none of its normalisers
     looks across it: the ids of a text are those of its white-space separated words, one after the
-    other.  For the same reason a word that ends in a letter and then stops is the word and the stop,
+    other.  For the same reason a word that ends in a letter and then marks is the word and the marks,
     and a text of words that are letters alone falls apart at the tokens that end a word.  The library
     encodes every word or part once while it is remembered.
     """
@@ -47,7 +48,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Small and capital letters of ASCII are one only under a vocabulary that folds case.
+        self.folds = self.tokenizer.encode(CAPITALS, add_special_tokens=False).ids == self.tokenizer.encode(CAPITALS.lower(), add_special_tokens=False).ids
+        self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         vocabulary = self.tokenizer.get_vocab()
         self.base = max(vocabulary.values()) + 1
         self.kind = "<u2" if self.base < 1 << 16 else "<u4"
@@ -59,9 +62,15 @@ class WordEncoder:
         """Ids of each text (null: none)."""
         listed = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         words = listed.flatten().dictionary_encode()
-        # Capitals of ASCII become small ones under any normaliser that folds case at all.
-        different = pc.ascii_lower(words.dictionary)
-        found = pc.extract_regex(different, STOPPED)
+        different = words.dictionary
+        # Words that hold a special token are looked up as they stand: its case counts, and it parts a word.
+        special = pc.match_substring_regex(different, self.special) if self.special else None
+        folded = pc.ascii_lower(different) if self.folds else different
+        stopped = pc.extract_regex(folded, STOPPED)
+        if special is not None and pc.any(special).as_py():
+            folded = pc.if_else(special, different, folded)
+            stopped = pc.if_else(special, pa.scalar(None, stopped.type), stopped)
+        different, found = folded, stopped
         cores = pc.coalesce(pc.struct_field(found, "core"), different).dictionary_encode()
         tails = pc.coalesce(pc.struct_field(found, "tail"), pa.scalar("", pa.large_string())).dictionary_encode()
         parts = cores.dictionary.to_pylist() + tails.dictionary.to_pylist()
@@ -101,8 +110,9 @@ class WordEncoder:
         return [out[p] for p in parts]
 
 
-#: A word that ends in a letter before the stops that end a sentence or its parts: two parts.
-STOPPED = r"^(?P<core>.*?\pL)(?P<tail>[.,;:!?]+)$"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A word that ends in a letter before marks of ASCII (but the apostrophe, which shortened words need): two parts.
+STOPPED = r"^(?P<core>.*?\pL)(?P<tail>[!-&(-/:-@\[-`{-~]+)$"
 
 
 def _letters(part: str) -> bool:

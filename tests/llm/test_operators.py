@@ -194,14 +194,13 @@ def test_repair_finds_rules():
     assert len(grammar.rules) and len(grammar.sequence) < len(ids) / 4 and (grammar.ids() == ids).all()
 
 
-ODD = ["", None, " ", "don't we'll 'S x's… é é. İstanbul Σας! 12.5,7 ?!..", "a \x1c y\x85z ÀÉ, “q”. <|endoftext|>. ß. 漢字 हिन्दी. ́a .́ a.́", "a" * 3000 + ".", "日本。 x", "\n\nx\ty\n", "I'm. I'M; can't! 'll. o'. '"]
+ODD = ["", None, " ", "don't we'll 'S x's… é é. İstanbul Σας! 12.5,7 ?!..", "a \x1c y\x85z ÀÉ, “q”. <|endoftext|>. ß. 漢字 हिन्दी. ́a .́ a.́", "a" * 3000 + ".", "hello <|endoftext|> world x<|endoftext|>y. <|ENDOFTEXT|> q<|startoftext|>!", "A1.B2! c%% 9. é.) x<| y|> \u212a. =\u0338 a=\u0338", "word " * 30000, "日本。 x", "\n\nx\ty\n", "I'm. I'M; can't! 'll. o'. '"]
 
 
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     rng = random.Random(2)
     texts = ODD + [words(rng, 200) for _ in range(60)]
     folder = token_files.write_token_shards(table(spark, texts), shard_bytes=9000)
