@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quern.llm.storage import materialize
+from quern.llm.storage import materialize, new_folder
 
 #: Arguments of a plain message.
 CHAT_SCHEMA = {
@@ -42,16 +43,42 @@ _TYPES = {
 }
 
 
+#: Keywords that ``violations`` checks, and those that say nothing about a value.
+CHECKED = frozenset(["type", "enum", "const", "minLength", "maxLength", "minimum", "maximum", "required", "properties", "additionalProperties", "items", "minItems", "maxItems"])
+REMARKS = frozenset(["$schema", "$id", "$comment", "title", "description", "default", "examples"])
+#: JSON that is nested deeper is no call or result: nothing here recurses further.
+MOST_DEPTH = 100
+
+
+def require_known(schema: dict, at: str = "$") -> None:
+    """Raise ValueError for a keyword that ``violations`` could not check."""
+    unknown = sorted(set(schema) - CHECKED - REMARKS)
+    if unknown or not isinstance(schema.get("additionalProperties", True), bool):
+        raise ValueError(f"{at}: cannot check {', '.join(unknown) or 'additionalProperties as a schema'}")
+    for name, inner in schema.get("properties", {}).items():
+        require_known(inner, f"{at}.{name}")
+    if "items" in schema:
+        require_known(schema["items"], f"{at}[]")
+
+
+def _same(a, b) -> bool:
+    """Equality of JSON values: true and false are no numbers."""
+    return type(a) is type(b) and a == b if isinstance(a, bool) or isinstance(b, bool) else a == b
+
+
 def violations(value, schema: dict, at: str = "$") -> list[str]:
     """What keeps ``value`` from the schema: 'place: keyword', in a fixed order."""
     out = []
     kinds = schema.get("type")
     if kinds is not None and not any(_TYPES[k](value) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return [f"{at}: type"]
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]):
         out.append(f"{at}: enum")
-    if isinstance(value, str) and len(value) < schema.get("minLength", 0):
-        out.append(f"{at}: minLength")
+    if "const" in schema and not _same(value, schema["const"]):
+        out.append(f"{at}: const")
+    for kind, least, most in ((str, "minLength", "maxLength"), (list, "minItems", "maxItems")):
+        if isinstance(value, kind):
+            out += [f"{at}: {least}"] * (len(value) < schema.get(least, 0)) + [f"{at}: {most}"] * (len(value) > schema.get(most, math.inf))
     if isinstance(value, int | float) and not isinstance(value, bool):
         if value < schema.get("minimum", -math.inf):
             out.append(f"{at}: minimum")
@@ -71,6 +98,11 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+def storable(text: str) -> str:
+    """``text`` with lone surrogates, which UTF-8 does not have, as \\u escapes: in JSON the same string."""
+    return text if text.isascii() else re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
     """JSON with sorted keys, no spaces, whole floats as integers and no non-finite numbers."""
 
@@ -85,7 +117,15 @@ def canonical(value) -> str:
             return int(v) if v.is_integer() and abs(v) < 1 << 53 else v
         return v
 
-    return json.dumps(plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return storable(json.dumps(plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+
+
+def _depth(value) -> int:
+    depth, layer = 0, [value]
+    while layer:
+        depth += 1
+        layer = [x for v in layer if isinstance(v, dict | list) for x in (v.values() if isinstance(v, dict) else v)]
+    return depth
 
 
 def read_message(turn: int | None, role: str | None, text: str | None) -> list[tuple]:
@@ -95,11 +135,13 @@ def read_message(turn: int | None, role: str | None, text: str | None) -> list[t
             found = json.loads(text)
         except (ValueError, RecursionError):
             found = None
+        if isinstance(found, dict) and _depth(found) > MOST_DEPTH:
+            found = None
         if isinstance(found, dict) and isinstance(found.get("tool_calls"), list):
             calls = [c for c in found["tool_calls"] if isinstance(c, dict) and c.get("id") is not None]
-            return [("call", str(c["id"]), str(c.get("name")), json.dumps(c.get("arguments")), [str(x) for x in c["depends_on"]] if isinstance(c.get("depends_on"), list) else []) for c in calls]
+            return [("call", _name(c["id"]), _name(c.get("name")), json.dumps(c.get("arguments")), [_name(x) for x in c["depends_on"]] if isinstance(c.get("depends_on"), list) else []) for c in calls]
         if isinstance(found, dict) and found.get("tool_call_id") is not None:
-            return [("result", str(found["tool_call_id"]), None, json.dumps(found.get("content")), [])]
+            return [("result", _name(found["tool_call_id"]), None, json.dumps(found.get("content")), [])]
     if role in ("user", "system"):
         arguments = {"role": role, "text": text, "turn": turn}
         return [("call", f"turn-{turn}", "chat.turn", json.dumps(arguments), [] if turn is None else [f"turn-{turn - 2}"])]
@@ -107,6 +149,10 @@ def read_message(turn: int | None, role: str | None, text: str | None) -> list[t
     return [("result", f"turn-{before}", None, json.dumps({"role": role, "text": text}), [])]
 
 
+def _name(value) -> str:
+    return storable(str(value))
+
+
 def read_events(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     """Rows (conv, turn, kind, call_id, name, body, depends_on) of all messages."""
 
@@ -131,28 +177,47 @@ def call_levels(calls: DataFrame) -> DataFrame:
     """(conv, call_id, level) of calls (conv, call_id, depends_on): 0 without a known dependency, else
     one more than the highest of them; null on a cycle or behind one.
 
-    One round of joins per level; a round handles only the calls that still wait.
+    Chains of calls with one dependency each are contracted by pointer doubling: in every round a call
+    takes over the target of its target, until that is an *anchor*, a call with no dependency or with
+    several.  A chain of n calls takes log2(n) rounds.  Only anchors with several dependencies are then
+    placed one level of them after the other.
     """
-    known = calls.select("conv", "call_id").distinct()
-    waits = calls.select("conv", "call_id", F.explode("depends_on").alias("on")).distinct()
-    edges = materialize(waits.join(known.withColumnRenamed("call_id", "on"), ["conv", "on"], "left_semi"), "tool-edges")
-    done = materialize(known.join(edges.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_anti").withColumn("level", F.lit(0)), "tool-levels")
-    parts, last, level = [done], done, 0
-    while not edges.isEmpty():
-        level += 1
-        passed = last.select("conv", F.col("call_id").alias("on"))
-        # An edge goes when its dependency is placed; a call is ready when it has none left.
-        left = materialize(edges.join(passed, ["conv", "on"], "left_anti"), "tool-edges")
-        ready = edges.select("conv", "call_id").distinct().join(left.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_anti")
-        last = materialize(ready.withColumn("level", F.lit(level)), "tool-levels")
-        if last.isEmpty():
+    spark = calls.sparkSession
+    call, on = ["conv", "call_id"], ["conv", "on"]
+    waits = calls.select(*call, F.explode("depends_on").alias("on")).distinct()
+    known = materialize(calls.select(*call).distinct(), "tool-known")
+    edges = materialize(waits.join(known.withColumnRenamed("call_id", "on"), on, "left_semi"), "tool-edges")
+    degree = edges.groupBy(*call).agg(F.count("*").alias("n"), F.min("on").alias("on"))
+    placed = known.join(degree, call, "left")
+    single = F.coalesce(F.col("n") == 1, F.lit(False))
+    step = placed.select(*call, F.when(single, F.col("on")).otherwise(F.col("call_id")).alias("on"), single.cast("int").alias("dist"), (~single).alias("done"))
+    step = materialize(step, "tool-steps")
+    waiting = step.where("not done").count()
+    while waiting:
+        target = step.select("conv", F.col("call_id").alias("on"), F.col("on").alias("next"), F.col("dist").alias("more"), F.col("done").alias("reached"))
+        jumped = step.where("not done").join(target, on).select(*call, F.col("next").alias("on"), (F.col("dist") + F.col("more")).alias("dist"), F.col("reached").alias("done"))
+        step = materialize(step.where("done").union(jumped), "tool-steps")
+        left = step.where("not done").count()
+        if left == waiting:  # what no round brings to an anchor is on a cycle of single dependencies or behind one
+            break
+        waiting = left
+    step = step.where("done")
+    # Levels of the anchors, one file per round in one folder.
+    folder = new_folder(spark, "tool-levels")
+    placed.where("n is null").select(*call, F.lit(0).alias("level")).write.parquet(folder)
+    levels = spark.read.schema(f"conv {known.schema['conv'].dataType.simpleString()}, call_id string, level int")
+    joins = materialize(edges.join(degree.where("n > 1").select(*call), call).join(step.select("conv", F.col("call_id").alias("on"), F.col("on").alias("anchor"), "dist"), on, "left").select(*call, "anchor", "dist"), "tool-joins")
+    while not joins.isEmpty():
+        known_levels = levels.parquet(folder).select("conv", F.col("call_id").alias("anchor"), "level")
+        # A call is ready when all of its anchors are placed; one on a cycle never is.
+        ready = joins.join(known_levels, ["conv", "anchor"], "left").groupBy(*call).agg(F.max(F.col("level") + F.col("dist") + 1).alias("level"), F.count_if(F.col("level").isNull()).alias("open")).where("open = 0").select(*call, F.col("level").cast("int").alias("level"))
+        ready = materialize(ready, "tool-ready")
+        if ready.isEmpty():
             break
-        parts.append(last)
-        edges = left
-    levels = parts[0]
-    for part in parts[1:]:
-        levels = levels.union(part)
-    return known.join(levels, ["conv", "call_id"], "left")
+        ready.write.mode("append").parquet(folder)
+        joins = materialize(joins.join(ready, call, "left_anti"), "tool-joins")
+    reached = step.join(levels.parquet(folder).select("conv", F.col("call_id").alias("on"), F.col("level").alias("above")), on).select(*call, (F.col("above") + F.col("dist")).cast("int").alias("level"))
+    return known.join(reached, call, "left")
 
 
 def link_calls(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", schemas: dict[str, dict] = SCHEMAS) -> DataFrame:
@@ -163,14 +228,17 @@ def link_calls(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     with null turn, level and valid).  Ordering by (conv, level, turn, call_id) is topological.
     ``errors`` lists schema violations, joined by '; '; a tool without schema gives 'unknown tool'.
     Null conversations never link; a null turn is carried; repeated messages give repeated rows, each
-    with each of the results that share its identifier.
+    with each of the results that share its identifier.  JSON nested deeper than 100 is plain chat, and
+    lone surrogates stay escaped.  A schema with a keyword that cannot be checked raises ValueError.
     """
+    for schema in schemas.values():
+        require_known(schema)
     events = materialize(read_events(messages, conv_col, turn_col, role_col, text_col), "tool-events")
     calls = events.where("kind = 'call'")
     levels = call_levels(calls.where("conv is not null"))
     calls = calls.join(levels, ["conv", "call_id"], "left").select("conv", "call_id", "turn", "name", "body", "depends_on", F.when(F.col("conv").isNull(), 0).otherwise(F.col("level")).alias("level"))
     results = events.where("kind = 'result'").select("conv", "call_id", F.col("turn").alias("result_turn"), F.col("body").alias("result"))
-    both = calls.join(results, ["conv", "call_id"], "full")
+    both = calls.join(results.hint("shuffle_hash"), ["conv", "call_id"], "full")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

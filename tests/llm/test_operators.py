@@ -374,6 +374,36 @@ def test_links(spark):
     assert tool_calls.link_calls(messages.limit(0)).count() == 0
 
 
+def test_odd_calls(spark):
+    import json
+
+    deep = json.dumps({"tool_calls": [{"id": "d", "name": "n", "arguments": json.loads("[" * 900 + "]" * 900)}]})
+    rows = [(1, 0, "assistant", '{"tool_calls": [{"id": "a\\ud800", "name": "n", "arguments": "x\\ud800"}]}'), (1, 1, "tool", '{"tool_call_id": "a\\ud800", "content": "\\udfff"}'), (2, 0, "user", deep), (2, 1, "assistant", "[" * 5000)]
+    got = {r["conv_id"]: r for r in tool_calls.link_calls(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert json.loads(got[1]["json"]) == {"arguments": "x\ud800", "depends_on": [], "id": "a\\ud800", "name": "n", "result": "\udfff"} and got[1]["linked"]
+    assert got[2]["linked"] and json.loads(got[2]["json"])["arguments"]["text"] == deep
+    with pytest.raises(ValueError, match="pattern"):
+        tool_calls.link_calls(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), schemas={"n": {"properties": {"a": {"pattern": "x"}}}})
+
+
+def test_levels_of_random_calls(spark):
+    # A long chain, random graphs with cycles, and chains that meet in calls of several dependencies.
+    rng, rows = random.Random(31), [(0, f"c{k}", [f"c{k - 1}", "unknown"]) for k in range(150)]
+    for conv in range(1, 12):
+        size = rng.randint(1, 25)
+        rows += [(conv, f"c{k}", [f"c{rng.randrange(size if conv % 3 == 0 else max(1, k))}" for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))] if k or conv % 3 == 0 else []) for k in range(size)]
+    known = {(c, i): {(c, d) for d in deps} for c, i, deps in rows}
+    want = dict.fromkeys(known)
+    for _ in range(len(known)):
+        for call, deps in known.items():
+            deps = [d for d in deps if d in known]
+            if want[call] is None and all(want[d] is not None for d in deps):
+                want[call] = max((want[d] + 1 for d in deps), default=0)
+    got = tool_calls.call_levels(spark.createDataFrame(rows + rows[:3], "conv bigint, call_id string, depends_on array<string>")).collect()
+    assert {(r["conv"], r["call_id"]): r["level"] for r in got} == want and len(got) == len(known)
+    assert max(x or 0 for x in want.values()) == 149 and None in want.values()
+
+
 # ---- 8 byte-level BPE -------------------------------------------------------------------------
 
 
