@@ -88,17 +88,18 @@ class Grammar:
 SLOT_BITS, FREQUENT_SHARE = 18, 1 << 15
 
 
-def _frequent_pairs(sequence: np.ndarray, least_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _frequent_pairs(sequence: np.ndarray, places: np.ndarray, least_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pairs, places, ranks): the pairs of neighbours found at least so often, the most frequent first,
     the places in ``sequence`` where one starts, rising, and which pair each of them is.
 
-    Pairs are first counted in hashed slots, so that only those of full slots are sorted.
+    Only pairs that start at the given places count.  They are first counted in hashed slots, so that
+    only those of full slots are sorted.
     """
-    mixed = sequence.astype(np.uint32)
-    slots = ((mixed[:-1] * np.uint32(0x9E3779B1)) ^ (mixed[1:] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - SLOT_BITS)
+    first, second = sequence[places], sequence[places + 1]
+    slots = (first.view(np.uint32) * np.uint32(0x9E3779B1) ^ second.view(np.uint32) * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - SLOT_BITS)
     slots = slots.view(np.int32)
-    at = np.nonzero((np.bincount(slots, minlength=1 << SLOT_BITS) >= least_count)[slots])[0]
-    pairs = sequence[at].astype(np.int64) << 32 | sequence[at + 1]
+    often = np.nonzero((np.bincount(slots, minlength=1 << SLOT_BITS) >= least_count)[slots])[0]
+    at, pairs = places[often], first[often].astype(np.int64) << 32 | second[often]
     order = np.argsort(pairs)
     ordered = pairs[order]
     starts = np.nonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))[0] if len(at) else np.empty(0, np.int64)
@@ -122,8 +123,11 @@ def compress(ids: np.ndarray, base: int, least_count: int | None = None) -> Gram
     """
     least = least_count or max(8, len(ids) // FREQUENT_SHARE)
     sequence, rules, lengths = ids.astype(np.int32), [np.empty((0, 2), np.int32)], np.empty(0, np.int64)
-    while len(sequence) > 1:
-        found, at, ranks = _frequent_pairs(sequence, least)
+    places = np.arange(max(0, len(sequence) - 1))
+    while len(places):
+        found, at, ranks = _frequent_pairs(sequence, places, least)
+        frequent = np.zeros(len(sequence), bool)
+        frequent[at] = True
         here = np.full(len(sequence) + 1, len(found), np.int32)
         here[at + 1] = ranks
         chosen = (ranks <= here[at]) & (ranks <= here[at + 2]) if len(sequence) > 2 else np.ones(len(at), bool)
@@ -146,7 +150,10 @@ def compress(ids: np.ndarray, base: int, least_count: int | None = None) -> Gram
         sequence[at] = number[ranks]
         left = np.ones(len(sequence), bool)
         left[at + 1] = False
-        sequence = sequence[left]
+        sequence, frequent = sequence[left], frequent[left]
+        # The others are as rare as they were, or rarer.
+        fresh = sequence >= base + len(lengths) - int(kept.sum())
+        places = np.nonzero(fresh[:-1] | fresh[1:] | frequent[:-1])[0]
     grammar = Grammar(base, np.concatenate(rules), lengths, sequence, np.empty(0, np.int64))
     before = np.concatenate([[0], np.cumsum(grammar.symbol_lengths(sequence))[:-1]]) if len(sequence) else np.empty(0, np.int64)
     grammar.marks = before[::STEP].astype(np.int64)

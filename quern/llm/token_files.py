@@ -45,11 +45,17 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         # Small and capital letters of ASCII are one only under a vocabulary that folds case.
         self.folds = self.tokenizer.encode(CAPITALS, add_special_tokens=False).ids == self.tokenizer.encode(CAPITALS.lower(), add_special_tokens=False).ids
+        # A word of small letters of ASCII that nothing rewrites or parts goes straight to the model.
+        small = CAPITALS.lower()
+        self.words = self.tokenizer
+        if (self.tokenizer.normalizer is None or self.tokenizer.normalizer.normalize_str(small) == small) and [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(small)] == [small]:
+            self.words = Tokenizer(self.tokenizer.model)
+            self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         vocabulary = self.tokenizer.get_vocab()
         self.base = max(vocabulary.values()) + 1
@@ -93,15 +99,17 @@ class WordEncoder:
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
         out: dict[str, bytes] = {"": b""}
-        plain = [p for p in parts if _letters(p)]
-        for at in range(0, len(plain), 1024):
-            some = plain[at : at + 1024]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.nonzero(self.ends[ids])[0] + 1
-            if len(ends) == len(some):
-                data, width = ids.tobytes(), ids.itemsize
-                places = [0, *(ends * width).tolist()]
-                out.update((p, data[a:b]) for p, a, b in zip(some, places, places[1:], strict=False))
+        small = [p for p in parts if p.isascii() and p.isalpha() and p.islower()]
+        other = [p for p in parts if not p.isascii() and p.isalpha() and unicodedata.normalize("NFC", p.lower()).isalpha()]
+        for tokenizer, plain in ((self.words, small), (self.tokenizer, other)):
+            for at in range(0, len(plain), 1024):
+                some = plain[at : at + 1024]
+                ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+                ends = np.nonzero(self.ends[ids])[0] + 1
+                if len(ends) == len(some):
+                    data, width = ids.tobytes(), ids.itemsize
+                    places = [0, *(ends * width).tolist()]
+                    out.update((p, data[a:b]) for p, a, b in zip(some, places, places[1:], strict=False))
         rest = [p for p in parts if p not in out]
         for at in range(0, len(rest), 4096):
             some = rest[at : at + 4096]
@@ -115,10 +123,6 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 STOPPED = r"^(?P<core>.*?\pL)(?P<tail>[!-&(-/:-@\[-`{-~]+)$"
 
 
-def _letters(part: str) -> bool:
-    return part.isalpha() and (part.isascii() or unicodedata.normalize("NFC", part.lower()).isalpha())
-
-
 class Remembered:
     """Values by key, in two generations: what was not asked for lately is forgotten."""
 
