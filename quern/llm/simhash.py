@@ -1,14 +1,19 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-A fingerprint is cut into so few segments that two fingerprints within the allowed distance differ
-by at most one bit in some segment.  Each segment is indexed under its exact value and, for every
-bit, under its value with that bit left out (one wildcard).  Two segments that differ by at most
-one bit share exactly one such key at which they must be compared: the exact one, or the wildcard at
-the bit that differs.  Equal keys are joined and the whole distance is verified.
-
-Equal fingerprints are one node with a count, so exact copies never meet.  A key that many different
-fingerprints share is cut into blocks of bounded size and every pair of its blocks is one unit of
-work; a unit returns the edges of a spanning forest of its links, never all its pairs.
+A fingerprint of 64 bits is cut into two segments, so that two fingerprints within three bits differ by
+at most one bit in one of them.  Each segment is indexed under its exact value and, for every bit, under
+its value with that bit left out (one wildcard).  Two segments that differ by at most one bit share
+exactly one such key at which they must be compared: the exact one, or the wildcard at the bit that
+differs.  Signatures are shuffled by key once; equal keys stand together in a sorted partition and the
+whole distance is verified.
+
+Equal fingerprints are one node, so exact copies never meet.  A key that many different fingerprints
+share is cut by parts of the other segment, of which one must be equal, then into blocks of bounded size
+whose pairs are units of work.  A unit returns the edges of a spanning forest of its links, never all
+its pairs.
+
+``near_copies`` asks for a similarity of texts instead of bits.  Fingerprints find most of its links;
+what they can miss is found through shared shingles, so that it is complete.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quern.llm.graph import components
 from quern.llm.storage import materialize
@@ -25,10 +30,15 @@ from quern.llm.words import encoded_words
 
 #: Fingerprints of one key that are compared as one block.
 BLOCK_ROWS = 512
-#: Signatures that a task makes, about.
+#: Signatures that a task makes or reads, about.
 SIGNATURES_PER_TASK = 1_000_000
 #: Shingles whose bits are counted at once.
 CHUNK = 16384
+#: Bits of a segment; keys of one: a wildcard at each bit, and the exact one.
+WIDTH = 32
+KEYS = WIDTH + 1
+#: Parts of the other segment that frequent keys are cut by: more than the bits that may differ.
+PARTS = 4
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -52,58 +62,31 @@ def bit_majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0])
 
 
-_MIX = [(np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)) for k in range(1, 33)]
-
-
-def more_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The k-th independent hash of every shingle (the 0th is the hash itself): splitmix64."""
-    if k == 0:
-        return hashes
-    add, first, second = _MIX[k - 1]
-    z = hashes + add
-    z = (z ^ (z >> np.uint64(30))) * first
-    z = (z ^ (z >> np.uint64(27))) * second
-    return z ^ (z >> np.uint64(31))
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words64: int = 1) -> DataFrame:
-    """Rows (id, fp array<long>): ``words64`` fingerprint words of 64 bits of every whole text."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """Rows (id, fp long): the fingerprint of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column(1).to_pylist():
-                hashes = shingle_hashes(text, shingle)
-                found.append([bit_majority(more_hashes(hashes, k)) for k in range(words64)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "fp"])
+            found = [bit_majority(shingle_hashes(text.as_py(), shingle)) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
 
     key = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {key}, fp array<long>")
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {key}, fp long")
 
 
-def _variants(nodes: DataFrame, words64: int, segments: int, width: int) -> DataFrame:
-    """Rows (key, entry) of all signatures of nodes (node, fp).
-
-    A segment has its exact value and, for each bit, its value without that bit as keys; the number of
-    the segment and the place of the wildcard (its width: none) are part of the key.  ``entry`` is four
-    times the node plus a side: 0 under an exact key, else 1 or 2 by the bit that the wildcard hides.
-    """
-    value = lambda w, s: F.shiftrightunsigned(F.col("fp")[w], s * width).bitwiseAND(F.lit((1 << width) - 1))
-    parts = F.array(*[F.struct(F.lit((w * segments + s) << 6).cast("long").alias("number"), value(w, s).alias("value")) for w in range(words64) for s in range(segments)])
-    cut = nodes.select("node", F.inline(parts)).select("node", "number", "value", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("wild"))
-    hidden = F.expr("shiftleft(1L, wild)")
-    exact = F.col("wild") == width
-    rest = F.when(exact, F.col("value")).otherwise(F.col("value").bitwiseAND(F.bitwise_not(hidden)))
-    side = F.when(exact, F.lit(0)).when(F.col("value").bitwiseAND(hidden) == 0, F.lit(1)).otherwise(F.lit(2))
-    return cut.select(F.shiftleft(F.col("number").bitwiseOR(F.col("wild").cast("long")), 40).bitwiseOR(rest).alias("key"), (F.col("node") * 4 + side).alias("entry"))
+def _signature() -> Column:
+    """Key of column ``fp`` under column ``code``, which is KEYS times the segment plus the place of the
+    wildcard (WIDTH: none)."""
+    fp, code = F.col("fp"), F.col("code")
+    wild = code % KEYS
+    value = F.when(code < KEYS, fp.bitwiseAND(F.lit((1 << WIDTH) - 1))).otherwise(F.shiftrightunsigned(fp, WIDTH))
+    rest = F.when(wild == WIDTH, value).otherwise(value.bitwiseAND(F.bitwise_not(F.expr(f"shiftleft(1L, code % {KEYS})"))))
+    return F.shiftleft(code.cast("long"), WIDTH).bitwiseOR(rest)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hamming distances of all rows of a (n, words) and b (m, words)."""
-    total = np.zeros((len(a), len(b)), np.int16)
-    for w in range(a.shape[1]):
-        total += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
-    return total
+    """Hamming distances of all of a (rows) and b (columns)."""
+    return np.bitwise_count(a[:, None] ^ b[None, :])
 
 
 def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -126,74 +109,112 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def links(nodes: DataFrame, words64: int, segments: int, max_bits: int, block_rows: int = BLOCK_ROWS, pairs_upto: int = 0, width: int | None = None) -> DataFrame:
-    """Edges (a, b) between node ids whose fingerprints differ by at most ``max_bits`` bits.
-
-    ``nodes`` has (node long, fp array<long>) with different fingerprints and ids from 0 to 2**60.
-    Complete for ``max_bits`` < 2 * words64 * segments.  The edges connect what all links connect, but
-    are few: at most two per node and unit of work.  Units of at most ``pairs_upto`` rows return all
-    their links instead.
-    """
-    nodes = materialize(nodes, "simhash-nodes")
+def links(prints: DataFrame, max_bits: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Edges (a, b) between fingerprints (fp long, all different) of at most ``max_bits`` (up to 3)
+    differing bits.  They connect what all links connect, but are few: at most two per fingerprint and
+    unit of work."""
+    prints = materialize(prints.select("fp"), "simhash-prints")
     # The table is small, what is made of it is not: tasks by the rows that they will make.
-    width = width or 64 // segments
-    nodes = nodes.repartition(max(1, nodes.count() * words64 * segments * (width + 1) // SIGNATURES_PER_TASK))
-    keyed = _variants(nodes, words64, segments, width)
-    # A wildcard key at which all agree in the hidden bit has nothing that the exact key has not.
-    useful = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_or(F.col("entry").bitwiseAND(F.lit(3))).alias("sides")).where("n > 1 and sides in (0, 3)").select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    members = keyed.join(useful, "key").select("key", F.shiftright("entry", 2).alias("node"), F.col("entry").bitwiseAND(F.lit(3)).cast("int").alias("side"), "blocks")
-    members = members.join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Unit (i, j), i <= j: block i against block j. A row goes to the units of its block.
-    units = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "fp", "side", "block")
+    tasks = max(1, prints.count() * 2 * KEYS // SIGNATURES_PER_TASK)
+    coded = prints.repartition(tasks, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(2 * KEYS - 1))).alias("code"))
+    # The key follows from the fingerprint and the code: it is made again behind the shuffle.
+    key = _signature()
+    keyed = coded.repartition(tasks, key).select(key.alias("key"), "fp").sortWithinPartitions("key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, j, node, fp, side, block in _runs(batches, words64):
-            first, second = block == i, block == j
-            if not side[0]:
-                sides = [(first, second)]
-            else:
-                sides = [(first & (side == 1), second & (side == 2))] + ([] if i == j else [(first & (side == 2), second & (side == 1))])
-            pairs: list[tuple[int, int]] = []
-            for a, b in sides:
-                na, nb = node[a], node[b]
-                near = _distances(fp[a], fp[b]) <= max_bits
-                if not side[0] and i == j:
-                    near &= na[:, None] < nb[None, :]
+        for key, fps, whole in _runs(batches, block_rows):
+            if whole:
+                code = key >> WIDTH
+                wild = code % KEYS
+                if wild == WIDTH:
+                    near = np.triu(_distances(fps, fps) <= max_bits, 1)
+                    one = two = fps
+                else:  # at a wildcard, only those meet that differ in the hidden bit
+                    hidden = fps >> np.uint64(WIDTH * (code // KEYS) + wild) & np.uint64(1) == 1
+                    one, two = fps[hidden], fps[~hidden]
+                    near = _distances(one, two) <= max_bits
                 if near.any():
-                    found = zip(*np.nonzero(near), strict=True) if len(node) <= pairs_upto else _forest(near)
-                    pairs += [(int(na[r]), int(nb[c])) for r, c in found]
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["a", "b"])
+                    yield _edges(one, two, near)
+            else:
+                n = len(fps)
+                yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.nulls(n, pa.int64()), pa.array(np.full(n, key, np.int64))], names=["a", "b", "key"])
+
+    found = materialize(keyed.mapInArrow(compare, "a long, b long, key long"), "simhash-links")
+    frequent = found.where("key is not null").select("key", F.col("a").alias("fp"))
+    edges = found.where("key is null").select("a", "b")
+    if not frequent.isEmpty():
+        edges = edges.union(_frequent_links(frequent, max_bits, block_rows))
+    return edges.distinct()
 
-    sorted_units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return sorted_units.mapInArrow(compare, "a long, b long").distinct()
 
+def _edges(one: np.ndarray, two: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+    pairs = np.array(_forest(near))
+    a, b = one[pairs[:, 0]].view(np.int64), two[pairs[:, 1]].view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], names=["a", "b", "key"])
 
-def _runs(batches: Iterator[pa.RecordBatch], words64: int):
-    """The units of work of a partition that is sorted by them."""
-    held: list[tuple] = []
-    mark = None
 
-    def flush():
-        parts = [np.concatenate(x) for x in zip(*held, strict=True)]
-        return mark[1], mark[2], parts[0], parts[1], parts[2], parts[3]
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """(key, fingerprints, whole) of the keys of a sorted partition that have something to compare: up to
+    ``most`` fingerprints at once, more as pieces that are not the whole key."""
+    held: list[np.ndarray] = []
+    mark, rows, cut = None, 0, False
+
+    def ended() -> Iterator[tuple[int, np.ndarray, bool]]:
+        if rows > 1 or cut and rows:
+            yield mark, np.concatenate(held), not cut
 
     for batch in batches:
-        if not batch.num_rows:
+        key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        if not len(key):
             continue
-        key, i, j, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        fp = batch.column(4).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words64)
-        bit, block = (batch.column(k).to_numpy(zero_copy_only=False) for k in (5, 6))
-        starts = np.concatenate([[0], np.nonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))[0] + 1, [len(key)]])
-        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            now = (int(key[s]), int(i[s]), int(j[s]))
-            if held and now != mark:
-                yield flush()
-                held.clear()
-            mark = now
-            held.append((node[s:e], fp[s:e], bit[s:e], block[s:e]))
-    if held:
-        yield flush()
+        starts = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+        sizes = np.diff(starts, append=len(key))
+        code = key[starts] >> WIDTH
+        shift = np.where(code % KEYS == WIDTH, 0, WIDTH * (code // KEYS) + code % KEYS).astype(np.uint64)
+        ones = np.add.reduceat((fp >> np.repeat(shift, sizes) & np.uint64(1)).astype(np.int64), starts)
+        # A wildcard key at which all agree in the hidden bit has nothing that the exact key has not.
+        useful = (sizes > 1) & ((code % KEYS == WIDTH) | (ones > 0) & (ones < sizes))
+        useful[[0, -1]] = True  # these may go on in another batch
+        for k in np.nonzero(useful)[0].tolist():
+            now, part = int(key[starts[k]]), fp[starts[k] : starts[k] + sizes[k]]
+            if now != mark:
+                yield from ended()
+                held, mark, rows, cut = [], now, 0, False
+            held.append(part.copy())
+            rows += len(part)
+            if rows > most:
+                yield now, np.concatenate(held), False
+                held, rows, cut = [], 0, True
+    yield from ended()
+
+
+def _frequent_links(members: DataFrame, max_bits: int, block_rows: int) -> DataFrame:
+    """Edges (a, b) within the keys of rows (key, fp).
+
+    Two of a key may link only if one of the parts of the other segment is equal as well, so a key
+    falls apart by these; what is still above ``block_rows`` is compared block by block."""
+    step = WIDTH // PARTS
+    other = F.when(F.shiftrightunsigned("key", WIDTH) < KEYS, F.shiftrightunsigned("fp", WIDTH)).otherwise(F.col("fp").bitwiseAND(F.lit((1 << WIDTH) - 1)))
+    parts = F.array(*[F.shiftrightunsigned(other, k * step).bitwiseAND(F.lit((1 << step) - 1)) + (k << step) for k in range(PARTS)])
+    cut = members.select("key", "fp", F.explode(parts).alias("part"))
+    sizes = cut.groupBy("key", "part").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    placed = cut.join(sizes, ["key", "part"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    # Unit (i, j), i <= j: block i against block j. A row goes to the units of its block.
+    units = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "part", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "fp", "block")
+
+    def compare(unit: pa.Table) -> pa.Table:
+        fp, block, i, j = (unit.column(c).to_numpy() for c in ("fp", "block", "i", "j"))
+        one, two = fp.view(np.uint64)[block == i], fp.view(np.uint64)[block == j]
+        near = _distances(one, two) <= max_bits
+        if i[0] == j[0]:
+            near = np.triu(near, 1)
+        edges = [_edges(one, two, near)] if near.any() else []
+        return pa.Table.from_batches(edges, EDGES).select(["a", "b"])
+
+    return units.groupBy("key", "part", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -210,37 +231,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments of 32 bits are complete for at most 3 bits")
-    marked = materialize(fingerprints(docs, id_col, text_col, shingle, 1).select("id", F.col("fp")[0].alias("fp")), "simhash-fp")
+    marked = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
     # One node per fingerprint.
-    nodes = marked.groupBy("fp").agg(F.min("id").alias("least_id"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "simhash-groups")
-    edges = links(nodes.select("node", F.array("fp").alias("fp")), 1, 2, max_bits)
-    found = components(edges, "a", "b")
-    of_node = nodes.join(found, "node", "left").select("fp", "least_id", F.coalesce("component", "node").alias("component"))
+    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("least_id")), "simhash-groups")
+    found = components(links(nodes, max_bits), "a", "b").withColumnRenamed("node", "fp")
+    of_node = nodes.join(found, "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     least = of_node.groupBy("component").agg(F.min("least_id").alias("component_id"))
     table = materialize(of_node.join(least, "component").select("fp", "component_id"), "simhash-components")
     out = marked.join(table, "fp").select("id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
     return out.withColumnsRenamed({"id": id_col})
 
 
-#: Texts, about, whose shingles are counted to tell frequent ones, and how many of those are kept.
-SAMPLED_TEXTS, FREQUENT_SHINGLES = 20_000, 1 << 17
+#: Share of the texts whose shingles are counted to tell frequent ones, and how many of these are kept.
+SAMPLED_SHARE, FREQUENT_SHINGLES = 0.02, 1 << 17
 #: Nodes of a key up to which its pairs are listed; more are compared in blocks of so many rows.
 PAIRS_UPTO, SET_BLOCK_ROWS = 32, 256
+#: Shingles of prefixes that one task sorts, about.
+PREFIXES_PER_TASK = 1_000_000
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """(node, shingles array<int>) of rows (node, text): 32 bits of every different shingle's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                # Repeated rows meet in a task as a rule.
-                fresh = [k for k, node in enumerate(part.column(0).to_pylist()) if not (node in seen or seen.add(node))]
-                part = part.take(pa.array(fresh, pa.int32()))
-                sets = [np.unique(shingle_hashes(text, shingle).astype(np.uint32)).view(np.int32) for text in part.column(1).to_pylist()]
+                sets = [np.unique(shingle_hashes(text.as_py(), shingle).astype(np.uint32)).view(np.int32) for text in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
 
     return docs.select("node", "text").mapInArrow(run, "node long, shingles array<int>")
@@ -252,8 +269,9 @@ def prefix_size(n: int, similarity: float) -> int:
 
 
 def _prefixes(texts: DataFrame, shingle: int, similarity: float, frequent: np.ndarray) -> DataFrame:
-    """(id, tie, node, n, prefix array<long>) of rows (id, tie, text): a hash of the set of shingles, its
-    size and 48 bits of its least elements, where ``frequent`` shingles (the most frequent first) come last."""
+    """(id, tie, node, n, fp, prefix array<long>) of rows (id, tie, text): a hash of the set of shingles,
+    its size, its fingerprint and its least elements, where ``frequent`` shingles (the most frequent
+    first) come last."""
     values = np.sort(frequent)
     ranks = (len(frequent) - np.argsort(frequent)).astype(np.int64)
 
@@ -263,9 +281,9 @@ def _prefixes(texts: DataFrame, shingle: int, similarity: float, frequent: np.nd
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                nodes, sizes, prefixes = [], [], []
-                for text in batch.column(2).to_pylist():
-                    found = np.unique(shingle_hashes(text, shingle))
+                nodes, sizes, prints, prefixes = [], [], [], []
+                for text in batch.column(2):
+                    found = np.unique(shingle_hashes(text.as_py(), shingle))
                     rank = np.zeros(len(found), np.int64)
                     if len(values):
                         low = found.astype(np.uint32).view(np.int32)
@@ -274,20 +292,49 @@ def _prefixes(texts: DataFrame, shingle: int, similarity: float, frequent: np.nd
                     order = np.lexsort((found * np.uint64(0x9E3779B97F4A7C15), rank))
                     nodes.append(xxh3_64_intdigest(found.tobytes()) - (1 << 63))
                     sizes.append(len(found))
-                    prefixes.append((found[order[: prefix_size(len(found), similarity)]] >> np.uint64(16)).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "tie", "node", "n", "prefix"])
+                    prints.append(bit_majority(found))
+                    prefixes.append(found[order[: prefix_size(len(found), similarity)]].view(np.int64))
+                made = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["id", "tie", "node", "n", "fp", "prefix"])
 
-    return texts.select("id", "tie", "text").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, tie long, node long, n int, prefix array<long>")
+    return texts.select("id", "tie", "text").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, tie long, node long, n int, fp long, prefix array<long>")
 
 
 def _frequent_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
-    """The most frequent shingles of a sample of different texts, the most frequent first."""
-    share = min(1.0, SAMPLED_TEXTS / max(1, texts.count()))
-    sample = texts.where(F.pmod("tie", F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col("tie").alias("node"), "text").dropDuplicates(["node"])
-    counts = shingle_sets(sample, shingle).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 3")
+    """The most frequent shingles of a fixed share of the different texts, the most frequent first.  They
+    decide what is compared in vain, never what is found."""
+    sample = texts.where(F.pmod("tie", F.lit(1 << 20)) < int(SAMPLED_SHARE * (1 << 20))).select(F.col("tie").alias("node"), "text").dropDuplicates(["node"])
+    counts = shingle_sets(sample, shingle).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 2")
     return np.array([r["s"] for r in counts.orderBy(F.desc("n"), "s").limit(FREQUENT_SHINGLES).select("s").collect()], np.int32)
 
 
+def _shared_prefixes(marked: DataFrame) -> DataFrame:
+    """(key, node, pos) of the shingles that the prefixes of two nodes or more have in common; ``pos`` is
+    the place in the prefix.  One shuffle; a key of any size streams through its task."""
+    total = marked.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    rows = marked.select("node", F.posexplode("prefix").alias("pos", "key"))
+    dealt = rows.repartition(max(1, total // PREFIXES_PER_TASK), "key").sortWithinPartitions("key", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sent = None, False  # the last row so far, and whether it went out
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy() for k in range(3)]
+            node, pos, key = columns if last is None else (np.concatenate(x) for x in zip(last, columns, strict=True))
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])  # repeated rows go
+            node, pos, key = node[new], pos[new], key[new]
+            same = key[1:] == key[:-1]
+            out = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            ended = bool(out[-1]) if len(key) > 1 else sent
+            out[0] &= not sent
+            last, sent = (node[-1:].copy(), pos[-1:].copy(), key[-1:].copy()), ended
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(pos[out]), pa.array(key[out])], names=["node", "pos", "key"])
+
+    return dealt.mapInArrow(run, "node long, pos int, key long")
+
+
 def _similar_sets(a: list[np.ndarray], b: list[np.ndarray], similarity: float) -> np.ndarray:
     """Which sets of a (rows) and b (columns) have a Jaccard similarity of at least ``similarity``."""
     sizes = np.array([len(x) for x in b])
@@ -304,18 +351,29 @@ def _similar_sets(a: list[np.ndarray], b: list[np.ndarray], similarity: float) -
     return out
 
 
+def _possible(x: str, y: str, similarity: float) -> Column:
+    """Whether the nodes of two rows of a key can reach the similarity.
+
+    Rows have n (size of the set), pos (place of the key in the prefix) and rank (how many keys of the
+    node's prefix are shared with anyone, up to this one).  Up to the key, both have at most the smaller
+    rank in common, since common elements so early are in both prefixes; behind it, at most what is left."""
+    n_x, n_y = F.col(f"n_{x}"), F.col(f"n_{y}")
+    most = F.least(f"rank_{x}", f"rank_{y}") + F.least(n_x - F.col(f"pos_{x}"), n_y - F.col(f"pos_{y}")) - 1
+    return (F.least(n_x, n_y) >= similarity * F.greatest(n_x, n_y)) & (most * (1 + similarity) >= similarity * (n_x + n_y) - 1e-6)
+
+
 def _block_links(members: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) that connect what all links between the components of each key connect.
 
-    Rows (key, m, node, component, shingles), ``m`` rows of a key.  Every two blocks of a key are one unit;
-    in it every pair of different components is verified and a spanning forest of the links returned."""
+    Rows (key, m, node, component, n, pos, rank, shingles), ``m`` rows of a key.  Every two blocks of a
+    key are one unit; in it every possible pair of different components is verified and a spanning
+    forest of the links returned."""
     blocks = F.ceil(F.col("m") / SET_BLOCK_ROWS).cast("int")
     cut = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    units = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "shingles")
+    units = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n", "pos", "rank", "shingles")
 
     def compare(unit: pa.Table) -> pa.Table:
-        block, i, j, node, component = (unit.column(c).to_numpy() for c in ("block", "i", "j", "node", "component"))
-        sets = [x.values.to_numpy(zero_copy_only=False) for x in unit.column("shingles")]
+        block, i, j, node, component, n, pos, rank = (unit.column(c).to_numpy() for c in ("block", "i", "j", "node", "component", "n", "pos", "rank"))
         first, second = np.nonzero(block == i)[0], np.nonzero(block == j)[0]
         above, edges = {}, []
 
@@ -324,8 +382,14 @@ def _block_links(members: DataFrame, similarity: float) -> DataFrame:
                 x = above[x]
             return x
 
-        if len(first) and len(second):
-            linked = _similar_sets([sets[k] for k in first], [sets[k] for k in second], similarity) & (component[first][:, None] != component[second][None, :])
+        n_x, n_y = n[first][:, None], n[second][None]
+        most = np.minimum(rank[first][:, None], rank[second][None]) + np.minimum((n - pos)[first][:, None], (n - pos)[second][None]) - 1
+        open_pairs = (component[first][:, None] != component[second][None]) & (np.minimum(n_x, n_y) >= similarity * np.maximum(n_x, n_y)) & (most * (1 + similarity) >= similarity * (n_x + n_y) - 1e-6)
+        first, open_pairs = first[open_pairs.any(axis=1)], open_pairs[open_pairs.any(axis=1)]
+        second, open_pairs = second[open_pairs.any(axis=0)], open_pairs[:, open_pairs.any(axis=0)]
+        if open_pairs.size:
+            sets = [x.values.to_numpy(zero_copy_only=False) for x in unit.column("shingles")]
+            linked = _similar_sets([sets[k] for k in first], [sets[k] for k in second], similarity) & open_pairs
             for r, c in zip(*np.nonzero(linked), strict=True):
                 one, two = root(int(component[first[r]])), root(int(component[second[c]]))
                 if one != two:
@@ -336,34 +400,55 @@ def _block_links(members: DataFrame, similarity: float) -> DataFrame:
     return units.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
+def _print_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that fingerprints propose: every node and the first one of its fingerprint, and the
+    first ones of fingerprints that link by deletion variants."""
+    prints = materialize(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first")).select("fp", F.col("first.node").alias("node"), F.col("first.n").alias("n")), "copies-prints")
+    equal = nodes.select("fp", F.col("node").alias("x"), F.col("n").alias("n_x")).join(prints.select("fp", F.col("node").alias("y"), F.col("n").alias("n_y")), "fp").where("x <> y").select("x", "n_x", "y", "n_y")
+    near = links(prints)
+    for end, other in (("a", "x"), ("b", "y")):
+        near = near.join(prints.select(F.col("fp").alias(end), F.col("node").alias(other), F.col("n").alias(f"n_{other}")), end)
+    both = equal.union(near.select("x", "n_x", "y", "n_y")).where(F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y"))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Groups of near copies by word shingles: rows (id, tie, group), ``tie`` a hash of the text.
 
     Two texts link when their sets of word shingles (32 bits of each) have a Jaccard similarity of at
-    least ``similarity``; a group is what links connect.  Complete: such sets share one of their few
-    first shingles in any common order, here the rare ones first.  Of the nodes with a common first
-    shingle, each is verified with the one whose shingles are shared most; then every pair that this left
-    in different components is verified as well.  Equal sets are one node, and so are all texts without
-    words.  ``group`` is a number; repeated rows share it.
+    least ``similarity``; a group is what links connect.  Complete.  Candidates come from SimHash
+    fingerprints by deletion variants, and from shingles for the links that fingerprints miss: similar sets
+    share one of their few first shingles in any common order, here the rare ones first.  Of the nodes
+    with a common first shingle, each is verified with the one whose shingles are shared most; then every
+    possible pair that all this left in different components is verified as well.  Equal sets are one
+    node, and so are all texts without words.  ``group`` is a number; repeated rows share it.
     """
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("tie", F.xxhash64("text"))
     marked = materialize(_prefixes(texts, shingle, similarity, _frequent_shingles(texts, shingle)), "copies-prefixes")
-    nodes = materialize(marked.select("node", "n", "prefix").dropDuplicates(["node"]), "copies-nodes")
-    keys = nodes.select("node", F.explode("prefix").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = materialize(keys.join(shared, "key").join(nodes.select("node", "n", F.size("prefix").alias("p")), "node"), "copies-members-of-keys")
-
-    # A set is never similar to one of less than this share of its size.
-    near_size = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
-    score = members.groupBy("node").agg((F.count("*") / F.first("p")).alias("score"))
-    centres = members.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
-    centred = materialize(members.join(centres, "key"), "copies-centred")
-    stars = materialize(centred.where(F.col("node") != F.col("centre")).where(near_size("n", "centre_n")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "copies-pairs")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")).alias("first")
+    nodes = materialize(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), first), "copies-nodes")
+    by_print = materialize(_print_pairs(nodes, similarity).distinct(), "copies-prints")
+
+    shared = materialize(_shared_prefixes(marked), "copies-shared")
+    counts = shared.groupBy("key").agg(F.count("*").cast("int").alias("m"))
+    in_order = Window.partitionBy("node").orderBy("pos")  # of a node: no more rows than its prefix
+    of_node = Window.partitionBy("node")
+    members = shared.join(nodes.select("node", "n"), "node").withColumn("rank", F.row_number().over(in_order)).withColumn("score", F.count("*").over(of_node) / F.col("n"))
+    members = materialize(members.join(counts, "key"), "copies-members-of-keys")
+    row = [F.col(c) for c in ("node", "n", "pos", "rank")]
+    centres = members.groupBy("key").agg(F.max(F.struct("score", *row)).alias("c")).select("key", *[F.col(f"c.{c}").alias(f"{c}_y") for c in ("node", "n", "pos", "rank")])
+    stars = members.select("key", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "rank")]).join(centres, "key").where("node_x <> node_y").where(_possible("x", "y", similarity))
+    stars = materialize(stars.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct(), "copies-stars")
     # A key of two has no pair but that with its centre.
-    compared = stars.select(F.col("a").alias("node")).union(stars.select("b")).union(centred.where("m > 2").select("node")).distinct()
-    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")
-    wanted = marked.join(compared, "node", "left_semi").groupBy("node").agg(F.min(order).alias("first")).select("node", F.col("first.id").alias("of_id"), F.col("first.tie").alias("of_tie"))
-    chosen = texts.join(wanted, texts["id"].eqNullSafe(F.col("of_id")) & (texts["tie"] == F.col("of_tie"))).select("node", "text")
+    x, y = (members.where(F.col("m").between(3, PAIRS_UPTO)).select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "pos", "rank")]) for k in "xy")
+    few = x.join(y, "key").where("node_x < node_y").where(_possible("x", "y", similarity)).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    few = materialize(few.join(stars, ["a", "b"], "left_anti"), "copies-few")
+
+    compared = members.where(F.col("m") > PAIRS_UPTO).select("node")
+    for pairs in (by_print, stars, few):
+        compared = compared.union(pairs.select("a")).union(pairs.select("b"))
+    wanted = nodes.join(compared.distinct(), "node", "left_semi").select("node", F.col("first.id").alias("of_id"), F.col("first.tie").alias("of_tie"))
+    chosen = texts.join(wanted, texts["id"].eqNullSafe(F.col("of_id")) & (texts["tie"] == F.col("of_tie"))).select("node", "text").dropDuplicates(["node"])
     sets = materialize(shingle_sets(chosen, shingle), "copies-shingles")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -371,16 +456,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         common = F.size(F.array_intersect("of_a", "of_b"))
         return both.where(common >= similarity * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
-    edges = materialize(verified(stars), "copies-stars")
-
-    found = components(edges, "a", "b")
-    placed = materialize(centred.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "copies-placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-    rest = placed.join(open_keys, "key")
-    x, y = (rest.where(F.col("m") <= PAIRS_UPTO).where("node <> centre").select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "component")]) for k in "xy")
-    few = x.join(y, "key").where("node_x < node_y and component_x <> component_y").where(near_size("n_x", "n_y")).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    many = rest.where(F.col("m") > PAIRS_UPTO).select("key", "m", "node", "component").join(sets, "node")
-    edges = materialize(edges.union(verified(few)).union(_block_links(many, similarity)), "copies-links")
+    edges = materialize(verified(by_print.union(stars).distinct()), "copies-verified")
+    found = materialize(components(edges, "a", "b"), "copies-components")
+    ends = few
+    for end in "ab":
+        ends = ends.join(found.select(F.col("node").alias(end), F.col("component").alias(f"component_{end}")), end, "left").withColumn(f"component_{end}", F.coalesce(f"component_{end}", end))
+    rest = verified(ends.where("component_a <> component_b").select("a", "b"))
+    many = members.where(F.col("m") > PAIRS_UPTO).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_keys = many.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    many = many.join(open_keys, "key").select("key", "m", "node", "component", "n", "pos", "rank").join(sets, "node")
+    edges = materialize(edges.union(rest).union(_block_links(many, similarity)), "copies-links")
     table = materialize(components(edges, "a", "b"), "copies-groups")
     return marked.select("id", "tie", "node").join(table, "node", "left").select("id", "tie", F.coalesce("component", "node").alias("group"))
 

@@ -38,13 +38,22 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Shuffle files of a query go when it ends instead of when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def write_table(df: DataFrame, label: str, *partition_by: str) -> str:
     """Write ``df`` as Parquet into the shared folder and return the path."""
-    path = new_folder(df.sparkSession, label)
+    spark = df.sparkSession
+    path, before = new_folder(spark, label), spark.conf.get(CLEANUP, None)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    spark.conf.set(CLEANUP, "true")  # what is written is read from its files, never from its shuffles
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return path
 
 

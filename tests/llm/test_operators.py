@@ -578,10 +578,10 @@ def test_links_are_complete(spark):
             prints.add(f)
     prints = sorted(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    nodes = spark.createDataFrame([(k, [p]) for k, p in enumerate(signed)], "node bigint, fp array<bigint>")
+    frame, place = spark.createDataFrame([(p,) for p in signed], "fp bigint"), {p: k for k, p in enumerate(signed)}
     want = groups_of([(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3], range(len(prints)))
-    for block, pairs in ((512, 0), (3, 0), (512, 64)):
-        edges = [(r["a"], r["b"]) for r in simhash.links(nodes, 1, 2, 3, block, pairs).collect()]
+    for block in (512, 3):
+        edges = [(place[r["a"]], place[r["b"]]) for r in simhash.links(frame, 3, block).collect()]
         assert groups_of(edges, range(len(prints))) == want
         assert all((prints[a] ^ prints[b]).bit_count() <= 3 for a, b in edges)
 
