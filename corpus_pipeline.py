@@ -28,7 +28,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks of lines that an earlier one has; those left empty by it go."""
-    return _with_length(dedup_lines(docs, every_run=True).where("__deleted = 0 or __deleted < __lines"), docs.columns)
+    out = dedup_lines(docs)
+    lines, deleted = (F.col(c) for c in out.columns[-2:])
+    return _with_length(out.where((deleted == 0) | (deleted < lines)), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.storage import small_batches
+
 #: Characters of a part that is encoded without being halved further.
 LEAF_CHARS = 4096
 #: First window on either side of a seam; it doubles until it reaches a settled position.
@@ -129,6 +131,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             ids = [codec.encode(text or "") for text in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
+    small_batches(docs.sparkSession)
     key = docs.schema[id_col].dataType.simpleString()
     out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {key}, ids array<int>")
     return out.withColumnsRenamed({"id": id_col})
@@ -143,6 +146,7 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str =
             content = [codec.decode(ids or []) for ids in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content, pa.binary())], names=["id", "content"])
 
+    small_batches(encoded.sparkSession)
     key = encoded.schema[id_col].dataType.simpleString()
     out = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids")).mapInArrow(run, f"id {key}, content binary")
     return out.withColumnsRenamed({"id": id_col})
@@ -168,6 +172,7 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_bytes)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     key = docs.schema[id_col].dataType.simpleString()
     schema = f"id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)

@@ -1,33 +1,30 @@
 """Line dedup by pairwise alignment.
 
-Documents that overlap are found through lines that they share.  A *rare* line, held by few documents,
-brings every two of its holders together; a more common one brings each holder together with its
-first holder only, so that work stays in proportion to the text while no repeated line is passed
-over.  A pair is aligned by patience diff: lines that occur once in both documents, in longest
-increasing order, are the anchors, and repeated lines are aligned by occurrence between them.  Runs of
-lines that are aligned without a gap are common blocks; those with enough words are deleted from the
-later document.  Documents are ordered by id, so the first holder of a line always keeps it.
-
-Pairs through first holders miss passages whose lines have different ones.  ``repeated_ranges`` misses
-none: it looks up hashes of runs of adjacent lines and needs no pairs.  It deletes all that alignments of
-whole documents would, whatever the number of holders, and passages that stand in another order besides.
+Short lines are common, so what brings two documents together is a *rare line*: a line of enough words,
+or the shortest run of adjacent lines that has them.  Its hash is looked up in all documents, and every
+holder is paired with the first one, at any number of holders.  A pair is aligned by patience diff: of the
+lines that lie in shared rare lines, those that occur once in both documents, in longest increasing order,
+are the anchors, and repeated ones are aligned between them.  Aligned lines without a gap are common
+blocks; those that hold a rare line are deleted from the later document.  A shared rare line that no
+alignment of its pair takes in, because it stands in another order, is deleted as a block of its own,
+so that no repeated passage is passed over.  Documents are ordered by id, so the first holder of a line
+always keeps it.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from quern.llm.storage import materialize
+from quern.llm.storage import materialize, small_batches, unused
 from quern.llm.words import WHITE_SPACE
 
-#: Holders up to which a line is rare.
-RARE_HOLDERS = 8
 #: Words of the smallest common block that is deleted.
 LEAST_BLOCK_WORDS = 20
 
@@ -69,110 +66,38 @@ def align(shared: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
     later, gaps = [d for d, _ in anchors], {}
     for d, p in repeated:
         gap = bisect_right(later, d)
-        if (gap == 0 or anchors[gap - 1][1] < p) and (gap == len(anchors) or p < anchors[gap][1]):
+        if (gap == 0 or anchors[gap - 1][1] < p) and (gap == len(anchors) or p < anchors[gap][1]) and (gap == 0 or anchors[gap - 1][0] < d):
             gaps.setdefault(gap, []).append((d, p))
     return sorted(anchors + [x for inner in gaps.values() for x in increasing(inner)])
 
 
-def common_blocks(shared: list[tuple[int, int, bool, int]], least_words: int = LEAST_BLOCK_WORDS) -> list[tuple[int, int]]:
-    """Ranges (first, last place in the later document) of aligned blocks with enough words."""
-    words = {d: n for d, _, _, n in shared}
-    if sum(words.values()) < least_words:
-        return []
-    out, run = [], []
-    for d, p in [*align([x[:3] for x in shared]), (-9, -9)]:
+def common_blocks(runs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Ranges (first, last place in the later document) of the common blocks of a pair of documents.
+
+    ``runs`` are the shared rare lines: first and last place in the later, first place in the earlier."""
+    if len(runs) == 1:
+        return [runs[0][:2]]
+    lines = sorted({(first + k, at + k) for first, last, at in runs for k in range(last - first + 1)})
+    later, earlier = Counter(d for d, _ in lines), Counter(p for _, p in lines)
+    blocks, run = [], []
+    for d, p in [*align([(d, p, later[d] == 1 and earlier[p] == 1) for d, p in lines]), (-9, -9)]:
         if run and (d, p) != (run[-1][0] + 1, run[-1][1] + 1):
-            if sum(words[x] for x, _ in run) >= least_words:
-                out.append((run[0][0], run[-1][0]))
+            blocks.append((run[0][0], run[-1][0], run[0][1] - run[0][0]))
             run = []
         run.append((d, p))
-    return out
-
-
-def line_table(docs: DataFrame) -> DataFrame:
-    """Occurrences of lines in rows (id, tie, text): + h1, h2 (128-bit hash of the line), nth
-    (occurrence in the document), unique, place (among the lines with words), words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_intdigest
-
-        for whole in batches:
-            for first in range(0, whole.num_rows, 512):
-                batch = whole.slice(first, 512)
-                row, out = [], []
-                for k, text in enumerate(batch.column(2).to_pylist()):
-                    lines = worded_lines(text)
-                    counts, seen = Counter(line for _, line, _ in lines), Counter()
-                    for place, (_, line, n) in enumerate(lines):
-                        seen[line] += 1
-                        h = xxh3_128_intdigest(line)
-                        row.append(k)
-                        out.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), seen[line], counts[line] == 1, place, n))
-                if row:
-                    columns = list(zip(*out, strict=True))
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32()]
-                    taken = batch.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["id", "tie", "h1", "h2", "nth", "unique", "place", "words"])
-
-    key = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {key}, tie long, h1 long, h2 long, nth int, unique boolean, place int, words int")
-
-
-def deleted_ranges(docs: DataFrame, rare_holders: int = RARE_HOLDERS, least_words: int = LEAST_BLOCK_WORDS) -> DataFrame:
-    """Rows (id, tie, ranges array<struct<first, last>>) for rows (id, tie, text): what the alignments
-    delete from each document, in places among its lines with words."""
-    lines = materialize(line_table(docs), "lines")
-    token = ["h1", "h2", "nth"]
-    # Nulls order last among ids; equal documents share a key and are one holder.
-    holder = F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")
-    held = lines.withColumn("holder", holder)
-    shared = held.groupBy(token).agg(F.count("*").alias("n"), F.min(F.struct("holder", "place", "unique")).alias("first")).where("n > 1")
-    members = held.join(shared, token)
-
-    def pair(later: str, earlier: str) -> list:
-        return [F.col(f"{later}.holder").alias("later"), F.col(f"{earlier}.holder").alias("earlier"), F.col(f"{later}.place").alias("d"), F.col(f"{earlier}.place").alias("p"), (F.col(f"{later}.unique") & F.col(f"{earlier}.unique")).alias("unique"), F.col(f"{later}.words").alias("words")]
-
-    common = members.where(F.col("n") > rare_holders).where("first.holder < holder").select(F.struct("holder", "place", "unique", "words").alias("x"), F.col("first").alias("y")).select(*pair("x", "y"))
-    few = members.where(F.col("n") <= rare_holders).groupBy(token).agg(F.collect_list(F.struct("holder", "place", "unique", "words")).alias("all"))
-    rare = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("y.holder < x.holder").select(*pair("x", "y"))
-    pairs = common.union(rare).select(F.col("later.id").alias("id"), F.col("later.tie").alias("tie"), F.col("earlier.id").alias("eid"), F.col("earlier.tie").alias("etie"), "d", "p", "unique", "words")
-    # All rows of a pair meet; the pairs of a document or of a common first holder need not.
-    meet = ["id", "tie", "eid", "etie"]
-    sorted_pairs = pairs.repartition(*meet).sortWithinPartitions(*meet, "d")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark, held_rows, out = None, [], []
-
-        def flush() -> None:
-            if held_rows:
-                # A repeated document brings its rows twice.
-                out.extend((*mark[:2], *r) for r in common_blocks(list(dict.fromkeys(held_rows)), least_words))
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:4] != mark:
-                    flush()
-                    mark, held_rows = row[:4], []
-                held_rows.append(row[4:])
-            if out:
-                yield emit(out)
-                out.clear()
-        flush()
-        if out:
-            yield emit(out)
-
-    arrow_id = pa.array([], pa.int64()).type if key_type(docs) == "bigint" else None
-
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
-        ids, ties, first, last = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids, arrow_id), pa.array(ties, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["id", "tie", "first", "last"])
-
-    found = sorted_pairs.mapInArrow(run, f"id {key_type(docs)}, tie long, first int, last int")
-    return found.groupBy("id", "tie").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    starts, found, moved = [b[0] for b in blocks], set(), []
+    for first, last, at in runs:
+        k = bisect_right(starts, first) - 1
+        if k >= 0 and last <= blocks[k][1] and at - first == blocks[k][2]:
+            found.add(blocks[k][:2])
+        else:
+            moved.append((first, last))
+    return sorted(found) + moved
 
 
 def least_runs(words: list[int], least_words: int = LEAST_BLOCK_WORDS) -> list[tuple[int, int]]:
-    """Ranges (first, last) of the shortest runs with enough words from every line on and up to every line.
+    """Ranges (first, last) of the rare lines: the shortest runs with enough words from every line on and
+    up to every line.
 
     Those inside of any longer run with enough words cover all of it."""
     out, last, total = set(), -1, 0
@@ -199,33 +124,67 @@ def run_table(docs: DataFrame, least_words: int = LEAST_BLOCK_WORDS) -> DataFram
     """``least_runs`` of rows (id, tie, text): + h1, h2 (128-bit hash of the lines), first, last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_intdigest
+        from xxhash import xxh3_128_digest
 
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
-                row, out = [], []
-                for k, text in enumerate(batch.column(2).to_pylist()):
-                    lines = worded_lines(text)
+                row, places, hashes = [], [], []
+                for k, text in enumerate(batch.column(2)):
+                    lines = worded_lines(text.as_py())
                     for first, last in least_runs([n for _, _, n in lines], least_words):
-                        h = xxh3_128_intdigest(b"\n".join(line for _, line, _ in lines[first : last + 1]))
+                        hashes.append(xxh3_128_digest(lines[first][1] if first == last else b"\n".join(line for _, line, _ in lines[first : last + 1])))
                         row.append(k)
-                        out.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), first, last))
+                        places += (first, last)
                 if row:
-                    columns = zip(*out, strict=True)
+                    h = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
+                    place = np.array(places, np.int32).reshape(-1, 2)
                     taken = batch.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), *(pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True))], names=["id", "tie", "h1", "h2", "first", "last"])
+                    yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), *(pa.array(np.ascontiguousarray(c)) for c in (h[:, 0], h[:, 1], place[:, 0], place[:, 1]))], names=["id", "tie", "h1", "h2", "first", "last"])
 
     return docs.mapInArrow(run, f"id {key_type(docs)}, tie long, h1 long, h2 long, first int, last int")
 
 
-def repeated_ranges(docs: DataFrame, least_words: int = LEAST_BLOCK_WORDS) -> DataFrame:
-    """Rows (id, tie, ranges array<struct<first, last>>) for rows (id, tie, text): the runs of adjacent
-    lines with enough words that an earlier document has as well."""
+def deleted_ranges(docs: DataFrame, least_words: int = LEAST_BLOCK_WORDS) -> DataFrame:
+    """Rows (id, tie, ranges array<struct<first, last>>) for rows (id, tie, text): the common blocks of
+    each document with earlier ones, in places among its lines with words.
+
+    A task gets the shared rare lines of a later document, which are no more than its own lines; what an
+    earlier one has is known by place, so its other holders never meet."""
     held = materialize(run_table(docs, least_words), "line-runs").withColumn("holder", F.struct(F.col("id").isNull().alias("no_id"), "id", "tie"))
-    shared = held.groupBy("h1", "h2").agg(F.min("holder").alias("earliest"), F.max("holder").alias("latest")).where("earliest < latest").select("h1", "h2", "earliest")
-    later = held.join(shared, ["h1", "h2"]).where("earliest < holder")
-    return later.groupBy("id", "tie").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    shared = held.groupBy("h1", "h2").agg(F.min(F.struct("holder", "first")).alias("earliest"), F.max("holder").alias("latest")).where("earliest.holder < latest").select("h1", "h2", "earliest")
+    later = held.join(shared, ["h1", "h2"]).where("earliest.holder < holder").select("id", "tie", F.col("earliest.holder.id").alias("eid"), F.col("earliest.holder.tie").alias("etie"), "first", "last", F.col("earliest.first").alias("at"))
+    dealt = later.repartition("id", "tie").sortWithinPartitions("id", "tie")
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark, pairs, out = None, defaultdict(set), []
+
+        def ended() -> None:
+            if mark is not None:
+                blocks = {b for runs in pairs.values() for b in common_blocks(sorted(runs))}
+                out.append((*mark, [{"first": a, "last": b} for a, b in sorted(blocks)]))
+
+        def emitted(key: pa.DataType) -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (key, pa.int64(), kind), strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["id", "tie", "ranges"])
+
+        key = None
+        for batch in batches:
+            key = batch.column(0).type
+            for doc, tie, *earlier, first, last, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (doc, tie) != mark:
+                    ended()
+                    mark, pairs = (doc, tie), defaultdict(set)
+                pairs[tuple(earlier)].add((first, last, at))  # a set: a repeated document brings its rows twice
+            if out:
+                yield emitted(key)
+        ended()
+        if out:
+            yield emitted(key)
+
+    return dealt.mapInArrow(run, f"id {key_type(docs)}, tie long, ranges array<struct<first: int, last: int>>")
 
 
 def key_type(docs: DataFrame) -> str:
@@ -242,33 +201,33 @@ def without_ranges(text: str | None, ranges: list[dict] | None) -> tuple[str | N
     return "\n".join(line for at, line in enumerate(text.split("\n")) if at not in numbers), len(lines), len(gone)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_holders: int = RARE_HOLDERS, least_words: int = LEAST_BLOCK_WORDS, every_run: bool = False) -> DataFrame:
-    """All rows and columns of ``docs`` with common blocks deleted from ``text``, + __lines, __deleted.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_BLOCK_WORDS) -> DataFrame:
+    """All rows and columns of ``docs`` with common blocks deleted from ``text``, + __lines, __deleted
+    (with more underscores behind where ``docs`` has these names).
 
     Lines are compared without white space at their ends; blank lines never part a block.  Null and
     empty texts have no lines and stay as they are.  Documents are ordered by id, nulls last, then by a
     hash of the text; repeated rows are one document and lose the same lines.  The longest document
-    is one row of work.  ``every_run``: by ``repeated_ranges`` instead of by pairs of documents.
+    is one row of work.
     """
-    key, tie = "__key", "__tie"
-    marked = docs.withColumn(key, F.col(id_col)).withColumn(tie, F.xxhash64(text_col))
-    keyed = marked.select(F.col(key).alias("id"), F.col(tie).alias("tie"), F.col(text_col).alias("text"))
-    ranges = materialize(repeated_ranges(keyed, least_words) if every_run else deleted_ranges(keyed, rare_holders, least_words), "line-ranges")
+    small_batches(docs.sparkSession)
+    # The columns of docs travel as one, so that their names meet no other.
+    marked = docs.select(docs[id_col].alias("key"), F.xxhash64(docs[text_col]).alias("tie"), docs[text_col].alias("text"), F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row"))
+    ranges = materialize(deleted_ranges(marked.select(F.col("key").alias("id"), "tie", "text"), least_words), "line-ranges")
     # Always by a shuffle: a broadcast of the ranges would grow with the corpus.
-    ranges = ranges.hint("merge")
-    joined = marked.join(ranges, marked[key].eqNullSafe(ranges["id"]) & (marked[tie] == ranges["tie"]), "left").select(*[marked[c] for c in docs.columns], "ranges")
-    names = [*docs.columns, "__lines", "__deleted"]
-    at = names.index(text_col)
-    schema = StructType(list(docs.schema.fields)).add("__lines", "long").add("__deleted", "long")
+    ranges = ranges.select("id", F.col("tie").alias("of_tie"), "ranges").hint("merge")
+    joined = marked.join(ranges, marked["key"].eqNullSafe(ranges["id"]) & (marked["tie"] == ranges["of_tie"]), "left").select("row", "text", "ranges")
+    schema = StructType(list(docs.schema.fields)).add(unused("__lines", docs.columns), "long").add(unused("__deleted", docs.columns), "long")
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, whole.num_rows, 512):
-                batch = whole.slice(first, 512)
-                found = [without_ranges(t, r) for t, r in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
-                columns = batch.columns[:-1]
-                columns[at] = pa.array([f[0] for f in found], pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())], names=names)
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                found = [without_ranges(t.as_py(), r.as_py()) for t, r in zip(batch.column(1), batch.column(2), strict=True)]
+                columns = batch.column(0).flatten()
+                columns.insert(at, pa.array([f[0] for f in found], pa.string()))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())], names=schema.names)
 
     return joined.mapInArrow(run, schema)
 
@@ -276,4 +235,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` with their remaining text: (doc_id, n_lines, n_deleted, text)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs, every_run=True).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__deleted").alias("n_deleted"), "text")
+    return dedup_lines(docs).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__deleted").alias("n_deleted"), "text")

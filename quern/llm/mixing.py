@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.llm.numbering import CHUNKS, with_offsets
-from quern.llm.storage import materialize
+from quern.llm.storage import materialize, small_batches
 from quern.llm.words import WHITE_SPACE, WORD_REGEX
 
 #: Weights of the sources by code point, repeating.
@@ -205,6 +205,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of source.start.  Null texts have no words and thus no piece; a null source is a source of its own.
     Repeated rows are documents of their own.  Reruns agree.
     """
+    small_batches(docs.sparkSession)
     counted = docs.withColumn("__size", word_count(text_col))
     plan = plan_mix(counted.select(source_col, "__size"), source_col, "__size", block_words, seed=seed)
     placed = place_documents(counted, plan, source_col, id_col, "__size", [F.xxhash64(text_col)])

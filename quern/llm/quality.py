@@ -16,6 +16,7 @@ from functools import cached_property
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quern.llm.storage import small_batches
 from quern.llm.words import WHITE_SPACE, encoded_words
 
 SYMBOLS = "#*$%&|<>"
@@ -137,6 +138,7 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text"
     The sample is spread over the whole table and drawn by row; only one line per rule comes back to
     the driver.  An empty table leaves the order as it is.
     """
+    small_batches(docs.sparkSession)
     rows = docs.count()
     sample = docs.select(F.col(text_col).alias("text"))
     if rows > sample_rows:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quern.llm.graph import components
-from quern.llm.storage import materialize
+from quern.llm.storage import discard, materialize, small_batches
 from quern.llm.words import encoded_words
 
 #: Fingerprints of one key that are compared as one block.
@@ -70,6 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [bit_majority(shingle_hashes(text.as_py(), shingle)) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
 
+    small_batches(docs.sparkSession)
     key = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {key}, fp long")
 
@@ -423,6 +424,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     possible pair that all this left in different components is verified as well.  Equal sets are one
     node, and so are all texts without words.  ``group`` is a number; repeated rows share it.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("tie", F.xxhash64("text"))
     marked = materialize(_prefixes(texts, shingle, similarity, _frequent_shingles(texts, shingle)), "copies-prefixes")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")).alias("first")
@@ -430,11 +432,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_print = materialize(_print_pairs(nodes, similarity).distinct(), "copies-prints")
 
     shared = materialize(_shared_prefixes(marked), "copies-shared")
+    rows = materialize(marked.select("id", "tie", "node"), "copies-rows")
+    discard(marked)
     counts = shared.groupBy("key").agg(F.count("*").cast("int").alias("m"))
     in_order = Window.partitionBy("node").orderBy("pos")  # of a node: no more rows than its prefix
     of_node = Window.partitionBy("node")
     members = shared.join(nodes.select("node", "n"), "node").withColumn("rank", F.row_number().over(in_order)).withColumn("score", F.count("*").over(of_node) / F.col("n"))
     members = materialize(members.join(counts, "key"), "copies-members-of-keys")
+    discard(shared)
     row = [F.col(c) for c in ("node", "n", "pos", "rank")]
     centres = members.groupBy("key").agg(F.max(F.struct("score", *row)).alias("c")).select("key", *[F.col(f"c.{c}").alias(f"{c}_y") for c in ("node", "n", "pos", "rank")])
     stars = members.select("key", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "rank")]).join(centres, "key").where("node_x <> node_y").where(_possible("x", "y", similarity))
@@ -461,13 +466,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = few
     for end in "ab":
         ends = ends.join(found.select(F.col("node").alias(end), F.col("component").alias(f"component_{end}")), end, "left").withColumn(f"component_{end}", F.coalesce(f"component_{end}", end))
-    rest = verified(ends.where("component_a <> component_b").select("a", "b"))
+    rest = materialize(verified(ends.where("component_a <> component_b").select("a", "b")), "copies-rest")
     many = members.where(F.col("m") > PAIRS_UPTO).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = many.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
     many = many.join(open_keys, "key").select("key", "m", "node", "component", "n", "pos", "rank").join(sets, "node")
-    edges = materialize(edges.union(rest).union(_block_links(many, similarity)), "copies-links")
-    table = materialize(components(edges, "a", "b"), "copies-groups")
-    return marked.select("id", "tie", "node").join(table, "node", "left").select("id", "tie", F.coalesce("component", "node").alias("group"))
+    blocks = materialize(_block_links(many, similarity), "copies-blocks")
+    table = materialize(components(edges.union(rest).union(blocks), "a", "b"), "copies-groups")
+    discard(nodes, by_print, members, stars, few, sets, edges, found, rest, blocks)
+    return rows.join(table, "node", "left").select("id", "tie", F.coalesce("component", "node").alias("group"))
 
 
 def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -481,14 +487,15 @@ def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keys = groups.groupBy("id", "tie").agg(F.count("*").alias("n"))
     gone = materialize(keys.join(kept, keys["id"].eqNullSafe(kept["id"]) & (keys["tie"] == kept["tie"]), "left_anti"), "copies-gone")
     twice = keys.where("n > 1").select("id", "tie")
-    key, tie = F.col("__id"), F.col("__tie")
-    tied = docs.withColumn("__id", docs[id_col]).withColumn("__tie", F.xxhash64(docs[text_col]))
+    # The columns of docs travel as one, so that their names meet no other.
+    tied = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("key"), F.xxhash64(docs[text_col]).alias("key_tie"))
+    key, tie = F.col("key"), F.col("key_tie")
     left = tied.join(gone, key.eqNullSafe(gone["id"]) & (tie == gone["tie"]), "left_anti")
     again = materialize(twice, "copies-twice")
     match = key.eqNullSafe(again["id"]) & (tie == again["tie"])
-    if again.isEmpty():
-        return left.select(*docs.columns)
-    return left.join(again, match, "left_anti").union(left.join(again, match, "left_semi").dropDuplicates(["__id", "__tie"])).select(*docs.columns)
+    if not again.isEmpty():
+        left = left.join(again, match, "left_anti").union(left.join(again, match, "left_semi").dropDuplicates(["key", "key_tie"]))
+    return left.select("row.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,24 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows of an Arrow batch, and Spark's own number: a batch of whole documents must stay small.
+BATCH_ROWS, DEFAULT_ROWS = 512, "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get few rows at a time, unless the session says itself how many."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == DEFAULT_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores behind it until no column is called so."""
+    while name.lower() in (c.lower() for c in columns):
+        name += "_"
+    return name
+
+
 #: Shuffle files of a query go when it ends instead of when the driver happens to collect its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -59,5 +77,14 @@ def write_table(df: DataFrame, label: str, *partition_by: str) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a written table: same rows and schema, lineage cut, safe against lost executors."""
-    schema = df.schema
-    return df.sparkSession.read.schema(schema).parquet(write_table(df, label))
+    small_batches(df.sparkSession)
+    schema, path = df.schema, write_table(df, label)
+    table = df.sparkSession.read.schema(schema).parquet(path)
+    table.quern_folder = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    for table in tables:
+        drop_folder(table.sparkSession, table.quern_folder)

