@@ -85,7 +85,7 @@ class Grammar:
 
 
 #: Bits of the slots that pairs are counted in first, and a pair's least share of the ids to be frequent.
-SLOT_BITS, FREQUENT_SHARE = 18, 1 << 15
+SLOT_BITS, FREQUENT_SHARE = 18, 1 << 14
 
 
 def _frequent_pairs(sequence: np.ndarray, places: np.ndarray, least_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,12 +118,12 @@ def compress(ids: np.ndarray, base: int, least_count: int | None = None) -> Gram
     """The grammar of ``ids`` (all below ``base``).
 
     A round replaces every frequent pair where no neighbouring pair is more frequent, and rounds go on
-    until no pair is frequent: found at least ``least_count`` times, which is 8 and one in 32768 ids if it
+    until no pair is frequent: found at least ``least_count`` times, which is 8 and one in 16384 ids if it
     is not given.
     """
     least = least_count or max(8, len(ids) // FREQUENT_SHARE)
     sequence, rules, lengths = ids.astype(np.int32), [np.empty((0, 2), np.int32)], np.empty(0, np.int64)
-    places = np.arange(max(0, len(sequence) - 1))
+    places = np.arange(max(0, len(sequence) - 1), dtype=np.int32)
     while len(places):
         found, at, ranks = _frequent_pairs(sequence, places, least)
         frequent = np.zeros(len(sequence), bool)
@@ -153,7 +153,7 @@ def compress(ids: np.ndarray, base: int, least_count: int | None = None) -> Gram
         sequence, frequent = sequence[left], frequent[left]
         # The others are as rare as they were, or rarer.
         fresh = sequence >= base + len(lengths) - int(kept.sum())
-        places = np.nonzero(fresh[:-1] | fresh[1:] | frequent[:-1])[0]
+        places = np.nonzero(fresh[:-1] | fresh[1:] | frequent[:-1])[0].astype(np.int32)
     grammar = Grammar(base, np.concatenate(rules), lengths, sequence, np.empty(0, np.int64))
     before = np.concatenate([[0], np.cumsum(grammar.symbol_lengths(sequence))[:-1]]) if len(sequence) else np.empty(0, np.int64)
     grammar.marks = before[::STEP].astype(np.int64)

@@ -26,9 +26,9 @@ from quern.llm.storage import materialize, new_folder, small_batches
 
 END_ID = 2
 #: UTF-8 bytes of text in a shard, about.
-SHARD_BYTES = 12_000_000
+SHARD_BYTES = 8_000_000
 #: Parts of words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Shards whose starts are summed by one task.
 SHARDS_PER_CHUNK = 4096
 
