@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +28,9 @@ from quern.llm.storage import small_batches
 LEAF_CHARS = 4096
 #: First window on either side of a seam; it doubles until it reaches a settled position.
 WINDOW_CHARS = 32
+#: White space in a row that the library is not given; the class is the pattern's.
+MOST_SPACE = 10_000
+LONG_SPACE = re.compile(r"[^\S\x1c-\x1f]{%d,}" % MOST_SPACE)
 
 
 class TreeCodec:
@@ -44,6 +48,11 @@ class TreeCodec:
         if high - low <= self.leaf_chars:
             return self.encode_part(text[low:high])
         middle = (low + high) // 2
+        start, end = _settled_before(text, low, middle), _settled_after(text, middle, high)
+        if 2 * (middle - start) > middle - low or 2 * (end - middle) > high - middle:
+            # The window takes most of a half, whose own tokens would go again: only what is outside is halved.
+            outside = [self._encode(text, a, b) if a < b else [] for a, b in ((low, start), (end, high))]
+            return outside[0] + self.encode_part(text[start:end]) + outside[1]
         return self.join(text, low, middle, high, self._encode(text, low, middle), self._encode(text, middle, high))
 
     def join(self, text: str, low: int, middle: int, high: int, left: list[int], right: list[int]) -> list[int]:
@@ -104,10 +113,21 @@ def load_codec(ranks_path: str, pattern: str, leaf_chars: int = LEAF_CHARS) -> T
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
     encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode_part(text: str) -> list[int]:
+        """The library overflows its stack on long runs of white space, so these are cut by the rule of
+        the pattern: all of a run but its last character is one match where something follows."""
+        ids, at = [], 0
+        for run in LONG_SPACE.finditer(text) if len(text) > MOST_SPACE else ():
+            stop = run.end() - (run.end() < len(text))
+            ids += encoding.encode_ordinary(text[at : run.start()]) + encoding._encode_single_piece(text[run.start() : stop])
+            at = stop
+        return ids + encoding.encode_ordinary(text[at:])
+
     token_bytes = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         token_bytes[rank] = token
-    return TreeCodec(encoding.encode_ordinary, token_bytes, leaf_chars)
+    return TreeCodec(encode_part, token_bytes, leaf_chars)
 
 
 def _vocabulary(ranks: str | None) -> tuple[str, str]:

@@ -19,9 +19,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quern.llm.numbering import CHUNKS, with_offsets
-from quern.llm.storage import materialize, small_batches
+from quern.llm.storage import materialize, small_batches, unused
 from quern.llm.words import WHITE_SPACE, WORD_REGEX
 
 #: Weights of the sources by code point, repeating.
@@ -31,8 +32,9 @@ MAX_PASSES = 3
 BLOCK_WORDS = 128
 SLOTS_PER_SHARD = 1024
 SEED = 20
-#: The draws need fewer blocks than 10**9; blocks double in length until there are at most so many.
-MOST_BLOCKS = 500_000_000
+#: Slots that are drawn together, about: the draws need fewer than 10**9.  Every such part of the mix has
+#: its share of every source.
+SLOTS_PER_PART = 1 << 26
 
 
 @dataclass(frozen=True)
@@ -58,9 +60,18 @@ class MixPlan:
     def slots(self) -> int:
         return sum(s.slots for s in self.sources)
 
+    def parts(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first shard, first slot, slots before by source, slots by source) of the parts of the mix."""
+        n, shard, slot = -(-self.slots // SLOTS_PER_PART), 0, 0
+        for k in range(n):
+            before = np.array([s.slots * k // n for s in self.sources], np.int64)
+            counts = np.array([s.slots * (k + 1) // n for s in self.sources], np.int64) - before
+            yield shard, slot, before, counts
+            shard, slot = shard - (-int(counts.sum()) // self.slots_per_shard), slot + int(counts.sum())
+
     @property
     def shards(self) -> int:
-        return -(-self.slots // self.slots_per_shard)
+        return sum(-(-int(counts.sum()) // self.slots_per_shard) for _, _, _, counts in self.parts())
 
 
 def share_targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES) -> list[float]:
@@ -82,8 +93,6 @@ def plan_mix(sizes: DataFrame, source_col: str, size_col: str, block_words: int
     """The plan for documents with word counts; collects one row per source."""
     rows = sizes.groupBy(source_col).agg(F.sum(size_col).alias("n")).collect()
     found = sorted(((r[0], int(r[1] or 0)) for r in rows), key=lambda r: (r[0] is None, r[0] or ""))
-    while sum(n for _, n in found) > MOST_BLOCKS * block_words:
-        block_words *= 2
     targets, sources = share_targets([n for _, n in found]), []
     for k, ((name, n), target) in enumerate(zip(found, targets, strict=True)):
         blocks = -(-n // block_words)
@@ -93,25 +102,24 @@ def plan_mix(sizes: DataFrame, source_col: str, size_col: str, block_words: int
     return MixPlan(tuple(sources), block_words, slots_per_shard, seed)
 
 
-def shard_counts(plan: MixPlan, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, slots before it by source, its slots by source) for the shards in [low, high)."""
+def shard_counts(plan: MixPlan, low: int, high: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(shard, its first slot, slots before it by source, its slots by source) for the shards in [low, high)."""
     size = plan.slots_per_shard
 
-    def walk(first: int, last: int, before: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        if last <= low or first >= high:
+    def walk(origin: tuple[int, int], first: int, last: int, before: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        if origin[0] + last <= low or origin[0] + first >= high:
             return
         if last - first == 1:
-            yield first, before, counts
+            yield origin[0] + first, origin[1] + first * size, before, counts
             return
         middle = (first + last) // 2
-        rng = np.random.default_rng([plan.seed, first, last])
+        rng = np.random.default_rng([plan.seed, origin[0] + first, origin[0] + last])
         left = rng.multivariate_hypergeometric(counts, (middle - first) * size, method="marginals")
-        yield from walk(first, middle, before, left)
-        yield from walk(middle, last, before + left, counts - left)
+        yield from walk(origin, first, middle, before, left)
+        yield from walk(origin, middle, last, before + left, counts - left)
 
-    if plan.shards:
-        counts = np.array([s.slots for s in plan.sources], np.int64)
-        yield from walk(0, plan.shards, np.zeros_like(counts), counts)
+    for shard, slot, before, counts in plan.parts():
+        yield from walk((shard, slot), 0, -(-int(counts.sum()) // size), before, counts)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -149,7 +157,7 @@ def slot_table(spark: SparkSession, plan: MixPlan) -> DataFrame:
         for batch in batches:
             if batch.empty:
                 continue
-            for shard, before, counts in shard_counts(plan, int(batch["id"].iloc[0]), int(batch["id"].iloc[-1]) + 1):
+            for shard, first_slot, before, counts in shard_counts(plan, int(batch["id"].iloc[0]), int(batch["id"].iloc[-1]) + 1):
                 number, block, turn = [], [], []
                 for source in np.nonzero(counts)[0].tolist():
                     n = plan.sources[source].blocks
@@ -161,7 +169,7 @@ def slot_table(spark: SparkSession, plan: MixPlan) -> DataFrame:
                     block.append(found)
                     turn.append(passes.astype(np.int32))
                 order = np.random.default_rng([plan.seed, shard]).permutation(int(counts.sum()))
-                yield pd.DataFrame({"out_shard": np.int32(shard), "slot": shard * plan.slots_per_shard + np.arange(len(order)), "source_no": np.concatenate(number)[order], "block": np.concatenate(block)[order], "pass": np.concatenate(turn)[order]})
+                yield pd.DataFrame({"out_shard": np.int32(shard), "slot": first_slot + np.arange(len(order)), "source_no": np.concatenate(number)[order], "block": np.concatenate(block)[order], "pass": np.concatenate(turn)[order]})
 
     # The planner takes the slots for as few as the shards that they are made of and would broadcast
     # them: they grow with the corpus, so they are always joined by a shuffle.
@@ -201,31 +209,32 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The mix as rows of documents: one for every piece of a document in a slot's block.
 
     Columns of ``docs`` (text: the words of the piece as they stand in the document, with the white
-    space between them) and out_shard, slot, pass.  Pieces of one slot make up its block in the order
+    space between them) and out_shard, slot, pass, which get underscores behind their names where
+    ``docs`` has these.  Pieces of one slot make up its block in the order
     of source.start.  Null texts have no words and thus no piece; a null source is a source of its own.
     Repeated rows are documents of their own.  Reruns agree.
     """
     small_batches(docs.sparkSession)
-    counted = docs.withColumn("__size", word_count(text_col))
-    plan = plan_mix(counted.select(source_col, "__size"), source_col, "__size", block_words, seed=seed)
-    placed = place_documents(counted, plan, source_col, id_col, "__size", [F.xxhash64(text_col)])
-    pieces = _cut(placed, plan, text_col)
-    mixed = slot_table(docs.sparkSession, plan).join(pieces, ["source_no", "block"])
-    return mixed.select(*docs.columns, "out_shard", "slot", "pass")
-
-
-def _cut(placed: DataFrame, plan: MixPlan, text_col: str) -> DataFrame:
-    """The documents cut at the borders of blocks; + block."""
+    # The other columns of docs travel as one, so that their names meet no other.
+    row = F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row")
+    slim = docs.select(row, docs[id_col].alias("id"), docs[source_col].alias("src"), docs[text_col].alias("text")).withColumn("size", word_count("text"))
+    plan = plan_mix(slim.select("src", "size"), "src", "size", block_words, seed=seed)
+    placed = place_documents(slim, plan, "src", "id", "size", [F.xxhash64("text")])
+    mixed = slot_table(docs.sparkSession, plan).join(_cut(placed, plan), ["source_no", "block"])
+    columns = [F.col("text") if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    return mixed.select(*[c.alias(n) for c, n in zip(columns, docs.columns, strict=True)], *[F.col(c).alias(unused(c, docs.columns)) for c in ("out_shard", "slot", "pass")])
+
+
+def _cut(placed: DataFrame, plan: MixPlan) -> DataFrame:
+    """Rows (row, source_no, text, block): the documents cut at the borders of blocks."""
     word, b = re.compile(f"[^{WHITE_SPACE}]+"), plan.block_words
-    keep = [f for f in placed.schema if f.name not in ("__size", "start")]
-    at = {n: k for k, n in enumerate(placed.columns)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 256):
                 batch = whole.slice(first, 256)
                 rows, texts, blocks = [], [], []
-                for row, (text, start, size) in enumerate(zip(*(batch.column(at[c]).to_pylist() for c in (text_col, "start", "__size")), strict=True)):
+                for row, (text, start, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
                     if not size:
                         continue
                     from_char, seen, end = 0, start, None
@@ -238,12 +247,10 @@ def _cut(placed: DataFrame, plan: MixPlan, text_col: str) -> DataFrame:
                         end, seen = match.end(), seen + 1
                     rows.append(row), texts.append(text[from_char:end]), blocks.append((seen - 1) // b)
                 taken = batch.take(pa.array(rows, pa.int64()))
-                columns = [pa.array(texts, pa.string()) if f.name == text_col else taken.column(at[f.name]) for f in keep]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(blocks, pa.int64())], names=[*(f.name for f in keep), "block"])
-
-    from pyspark.sql.types import LongType, StructField, StructType
+                yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(texts, pa.string()), pa.array(blocks, pa.int64())], names=["row", "source_no", "text", "block"])
 
-    return placed.mapInArrow(run, StructType([*keep, StructField("block", LongType())]))
+    slim = placed.select("row", "source_no", "text", "start", "size")
+    return slim.mapInArrow(run, StructType([*slim.schema.fields[:3], StructField("block", LongType())]))
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quern.llm.numbering import CHUNKS, with_offsets
-from quern.llm.storage import new_folder
+from quern.llm.storage import new_folder, unused
 
 #: Multiplier of the generator of jump consistent hashing (Lamping and Veach).
 MULTIPLIER = 2862933555777941757
@@ -59,26 +59,29 @@ def jump_shards(key: Column, shards: int) -> Column:
 
 
 def assign_shards(df: DataFrame, key_col: str, shards: int = SHARDS, size: Column | None = None) -> DataFrame:
-    """``df`` with columns shard, grown_shard and slot (gapless from 0 in every shard).
+    """``df`` with columns shard, grown_shard and slot (gapless from 0 in every shard), which get
+    underscores behind their names where ``df`` has these.
 
     The key is a long; a null key counts as 0.  Slots follow a hash of the key, then the key, then
     ``size``; rows that tie get neighbouring slots.  Repeated rows share a shard.  An empty table stays
-    empty.  Any columns are carried, but none may be called like those that are added.
+    empty.
     """
-    key = F.coalesce(F.col(key_col).cast("long"), F.lit(0).cast("long"))
-    numbered = df.withColumn("__to", jump_shards(key, shards)).select(*[df[c] for c in df.columns], F.col("__to.shard").alias("shard"), F.col("__to.grown_shard").alias("grown_shard"))
-    numbered = numbered.withColumn("__chunk", (_top31(_next_limbs(_limbs(key))) % CHUNKS).cast("int")).withColumn("__one", F.lit(1).cast("long"))
-    order = [F.col(key_col).asc_nulls_first()] + ([] if size is None else [size])
-    return with_offsets(numbered, "shard", "__chunk", order, "__one", "slot").drop("__chunk", "__one")
+    # The columns of df travel as one, so that their names meet no other.
+    slim = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[key_col].alias("key"), (F.lit(0) if size is None else size).alias("order"))
+    key = F.coalesce(F.col("key").cast("long"), F.lit(0).cast("long"))
+    placed = slim.withColumn("to", jump_shards(key, shards)).select("row", "key", "order", "to.shard", "to.grown_shard")
+    placed = placed.withColumn("chunk", (_top31(_next_limbs(_limbs(key))) % CHUNKS).cast("int")).withColumn("one", F.lit(1).cast("long"))
+    out = with_offsets(placed, "shard", "chunk", [F.col("key").asc_nulls_first(), F.col("order")], "one", "slot")
+    return out.select("row.*", *[F.col(c).alias(unused(c, df.columns)) for c in ("shard", "grown_shard", "slot")])
 
 
 def write_shards(df: DataFrame, key_col: str, path: str | None = None, shards: int = SHARDS) -> str:
     """Write ``df`` as one Parquet folder per shard and return the path (a new shared folder if none
     is given).  Rows are dealt by shard and a part of their key, so that no shard is one task's."""
-    path = path or new_folder(df.sparkSession, "shards")
+    path, shard = path or new_folder(df.sparkSession, "shards"), unused("shard", df.columns)
     key = F.coalesce(F.col(key_col).cast("long"), F.lit(0).cast("long"))
-    out = df.withColumn("shard", jump_shards(key, shards)["shard"])
-    out.repartition("shard", F.pmod(F.xxhash64(key_col), F.lit(8))).write.partitionBy("shard").parquet(path)
+    out = df.withColumn(shard, jump_shards(key, shards)["shard"])
+    out.repartition(shard, F.pmod(F.xxhash64(key_col), F.lit(8))).write.partitionBy(shard).parquet(path)
     return path
 
 

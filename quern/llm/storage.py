@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one is set only where none is configured."""
+    """The shared folder of the session.  Where none is configured, a session on one machine gets a
+    temporary one; on a cluster that is an error, since no folder of the driver is everyone's."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             base = found.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
             spark.sparkContext.setCheckpointDir(base)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ PIECE = 4096
 #: The same for all records: archives of equal pages are equal.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Host and rest of a url that has a host.
+AUTHORITY = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)(.*)", re.DOTALL)
 _SPACE = uuid.UUID("6f0f1f6c-7c1f-5d0e-9a53-3a6a4cf0b001")
 
 
@@ -54,8 +57,8 @@ def capture_records(number: str, page_id: str | None, url: str | None, payload:
     """The records of one page.  ``number`` is unique among all captures."""
     ids = {kind: f"<urn:uuid:{uuid.uuid5(_SPACE, f'{kind} {number}')}>" for kind in ("capture", "request", "metadata")}
     uri = _line(url) if url else f"urn:page:{page_id}"
-    host = uri.split("/")[2] if uri.count("/") > 1 else ""
-    path = uri[uri.index("//") + 2 + len(host) :] or "/" if host else "/"
+    parts = AUTHORITY.match(uri)
+    host, path = (parts[1], parts[2] or "/") if parts else ("", "/")
     common = [("WARC-Target-URI", uri), ("WARC-Date", DATE)]
     yield record([("WARC-Type", "request"), ("WARC-Record-ID", ids["request"]), ("WARC-Concurrent-To", ids["capture"]), *common, ("Content-Type", "application/http;msgtype=request")], f"GET {path} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode())
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"

@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from quern.llm import byte_bpe, embedding_dedup, graph, line_dedup, mixing, quality, repair, sharding, simhash, token_files, tool_calls, warc
 
-DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, id int, size string, tie int, key string, shard string"
+DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, id int, size string, tie int, key string, shard string, slot int, start int, block string, ranges int, row string, grown_shard int, __deleted string, node int, fp string"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def table(spark, texts, sources=("a", "b", None)):
     """Documents with ids from 0 and extra columns whose names clash with those used inside."""
-    rows = [(k, t, "en", sources[k % len(sources)], len(t or ""), 9, "s", 1, "k", "x") for k, t in enumerate(texts)]
+    rows = [(k, t, "en", sources[k % len(sources)], len(t or ""), 9, "s", 1, "k", "x", 3, 4, "b", 5, "r", 6, "d", 7, "f") for k, t in enumerate(texts)]
     return spark.createDataFrame(rows, DOC)
 
 
@@ -83,6 +83,10 @@ def test_slots_are_gapless(spark):
         slots = sorted(r["slot"] for r in got if r["shard"] == shard)
         assert slots == list(range(len(slots)))
     assert sharding.assign_shards(spark.createDataFrame([], "doc_id bigint"), "doc_id", 7).count() == 0
+    clash = sharding.assign_shards(table(spark, ["a", None]), "doc_id", 7)
+    assert clash.columns[-3:] == ["shard_", "grown_shard_", "slot_"] and [r["shard"] for r in clash.collect()] == ["x", "x"]
+    folder = sharding.write_shards(table(spark, ["a", None]), "doc_id")
+    assert spark.read.parquet(folder).where("shard = 'x'").count() == 2
 
 
 # ---- 2 mixing ---------------------------------------------------------------------------------
@@ -104,13 +108,24 @@ def test_permutation(n, seed):
 def test_shard_draws_add_up():
     plan = mixing.MixPlan(tuple(mixing.Source(k, str(k), 0, 0.0, 10, n) for k, n in enumerate((700, 300, 45))), 8, 64, 1)
     drawn = list(mixing.shard_counts(plan, 0, plan.shards))
-    assert sum(c.sum() for _, _, c in drawn) == 1045 and all(c.sum() == 64 for _, _, c in drawn[:-1])
+    assert sum(c.sum() for *_, c in drawn) == 1045 and all(c.sum() == 64 for *_, c in drawn[:-1])
     total = np.zeros(3, int)
-    for _, before, counts in drawn:
-        assert (before == total).all()
+    for _, slot, before, counts in drawn:
+        assert (before == total).all() and slot == total.sum()
         total += counts
     alone = next(iter(mixing.shard_counts(plan, 5, 6)))
-    assert (alone[2] == drawn[5][2]).all()
+    assert (alone[3] == drawn[5][3]).all()
+
+
+def test_parts_of_a_large_mix(monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS_PER_PART", 200)
+    plan = mixing.MixPlan(tuple(mixing.Source(k, str(k), 0, 0.0, 10, n) for k, n in enumerate((700, 300, 45))), 8, 64, 1)
+    drawn, total = list(mixing.shard_counts(plan, 0, plan.shards)), np.zeros(3, int)
+    assert [d[0] for d in drawn] == list(range(plan.shards))
+    for _, slot, before, counts in drawn:
+        assert (before == total).all() and slot == total.sum() and counts.sum() <= 64
+        total += counts
+    assert total.tolist() == [700, 300, 45]
 
 
 def test_mix(spark):
@@ -264,6 +279,8 @@ def test_line_dedup_of_repeats_and_nothing(spark):
 
 
 def test_warc(spark):
+    for url, line in (("a/b/c", "GET / "), ("mailto:x/y/z", "GET / "), ("http:/h/p", "GET / "), ("http://h?q", "GET ?q "), ("http://h", "GET / "), ("//h/p", "GET / "), ("http://h/p\n#", "GET /p%0A# ")):
+        assert line.encode() in next(warc.parse_records(next(warc.capture_records("1", "1", url, b"", None, None, False))))[2]
     html = ["<p>a</p>", "<p>b</p>", "<p>a</p>", None, "", "é" * 5000, "<p>a</p>", "<p>a</p>", None, "x\r\n\r\ny"]
     rows = [(k, f"http://h{k}.example/p?{k}" if k != 4 else None, h, "c", 1) for k, h in enumerate(html)] + [(None, "http://n", "<p>a</p>", "c", 1), (9, "http://h9.example/again", "x\r\n\r\ny", "c", 1)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, digest string, id int")
@@ -381,6 +398,9 @@ def test_tree_encodes_like_the_library(text, leaf):
 def test_long_texts():
     codec = byte_bpe.load_codec(RANKS, public_tokenizers.PATTERN, 64)
     rng = random.Random(9)
+    assert codec.encode(" " * 10**6) == LIBRARY._encode_single_piece(" " * 10**6)
+    assert codec.encode("x" + "\n" * 20000 + "y") == LIBRARY.encode_ordinary("x" + "\n" * 20000 + "y")
+    assert codec.encode("a b " + "c" * 300000) == LIBRARY.encode_ordinary("a b " + "c" * 300000)
     for text in ("a" * 5000, " " * 3000, words(rng, 3000), "x\n" * 2000, "'" * 999 + "ll"):
         assert codec.encode(text) == LIBRARY.encode_ordinary(text)
 
