@@ -10,10 +10,7 @@ LONG_PARAGRAPH_CHARS = 2500
 REFERENCE_CHARS = 400
 REFERENCE_OPENING = r"^\s*(\[\d{1,3}\]|\\bibitem|\(\d{4}\))"
 REFERENCE_SIGNALS = (r"\(\d{4}\)|\b(19|20)\d{2}\b", r"\bet al\b", r"\bpp\.|\bvol\.|\bno\.\s*\d", r"arXiv:", r"\bJ\.\s|\bProc\.|\bIEEE\b|\bACM\b")
-NUMERIC_MATH = r"(?<!\\)\$([\d\s.,]+)(?<!\\)\$"
-ANY_MATH = r"(?<!\\)\$[^$\n]{0,200}(?<!\\)\$"
-NUMERIC_PAREN_MATH = r"(?s)\\\(([\d\s.,]{1,200}?)\\\)"
-ANY_PAREN_MATH = r"(?s)\\\(.{0,200}?\\\)"
+INLINE_MATH = r"(?sU)(?<!\\)\$(?:((?:[\d.,]|[^\S\n]){1,200})|[^$\n]{0,200})(?<!\\)\$|\\\((?:([\d\s.,]{1,200})|.{0,200}?)\\\)"
 SECTION_COMMAND = r"\\(?:chapter|(?:sub){0,2}section|paragraph)\s*\*?\s*\{([^}\n]{0,200})\}"
 REFERENCE_LINE = r"(?m)^[ \t]*(\[\d{1,3}\]|\\bibitem)"
 PARAGRAPH_BREAK = r"\n\s*\n|\\par\b"
@@ -60,8 +57,9 @@ def split_paragraphs(text: Column, separator: str, least_chars: int = LEAST_PARA
 
 def unwrap_math(text: Column) -> Column:
     """Inline mathematics: numbers stay without their mark-up, anything else becomes a space."""
-    bare = F.regexp_replace(F.regexp_replace(text, NUMERIC_MATH, "$1"), ANY_MATH, " ")
-    return F.regexp_replace(F.regexp_replace(bare, NUMERIC_PAREN_MATH, "$1"), ANY_PAREN_MATH, " ")
+    # One pass, since what stands between two formulas looks like one: numbers are kept between marks.
+    marked = F.regexp_replace(text, INLINE_MATH, "\u0001$1$2\u0002")
+    return F.translate(F.replace(marked, F.lit("\u0001\u0002"), F.lit(" ")), "\u0001\u0002", "")
 
 
 def cut_bibliography(text: Column) -> Column:

@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.functions.stats import nearest_quantile
+from quern.operators.extract import USED
 
 # Fixed values.
 CAP_QUANTILE, CAP_LEAST, CAP_MOST = 0.999, 1, 65536
 AXES = ("fp32", "fp64", "tensor")
 
 
+def used_models(rows: DataFrame, years: DataFrame) -> DataFrame:
+    """(paper, year, model, device_count, device_count_basis, memory_gb): mention rows (paper_id, status,
+    usage_context, canonical_model and what the answer says) that are ok, in use and resolved, with
+    ``years`` (paper_id, year)."""
+    used = rows.where((F.col("status") == "ok") & (F.col("usage_context") == USED) & F.col("canonical_model").isNotNull())
+    return used.join(years, "paper_id").select(F.col("paper_id").alias("paper"), "year", F.col("canonical_model").alias("model"), "device_count", "device_count_basis", F.col("memory_gb").cast("double").alias("memory_gb"))
+
+
 def yearly_caps(mentions: DataFrame) -> DataFrame:
     """(year, cap): the 0.999 quantile of the stated device counts, within 1 and 65536."""
     caps = nearest_quantile(mentions, ["year"], "device_count", CAP_QUANTILE, "q")
@@ -20,13 +29,13 @@ def yearly_caps(mentions: DataFrame) -> DataFrame:
 def winsorised(mentions: DataFrame, policy: str = "floor1") -> DataFrame:
     """``mentions`` with n_dev: the count, at most the cap of its year.
 
-    Policy ``explicit`` keeps only counts on an explicit basis and leaves a missing count null; under
-    ``floor1`` a missing count is 1.  A count of 0 stays 0.
+    Policy ``explicit`` keeps only mentions whose count has an explicit basis and leaves a missing count
+    null; under ``floor1`` all stay and a missing count is 1.  A count of 0 stays 0.
     """
     if policy not in ("floor1", "explicit"):
         raise ValueError(f"unknown policy {policy!r}")
     if policy == "explicit":
-        mentions = mentions.withColumn("device_count", F.when(F.col("basis") == "explicit", F.col("device_count")))
+        mentions = mentions.where(F.col("device_count_basis") == "explicit")
     # One row per year: the planner broadcasts it after it has seen its size.
     capped = mentions.join(yearly_caps(mentions), "year", "left")
     n = F.least("device_count", F.coalesce("cap", F.lit(CAP_MOST)), F.lit(CAP_MOST)).cast("double")
@@ -60,7 +69,7 @@ def paper_capacity(models: DataFrame) -> DataFrame:
 def paper_flags(mentions: DataFrame) -> DataFrame:
     """One row per paper with an ok mention: what it mentions and what it uses."""
     ok = mentions.where("status = 'ok'")
-    used = F.col("usage_context") == "used"
+    used = F.col("usage_context") == USED
     flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     return ok.groupBy("paper").agg(
         F.lit(True).alias("accel_any"), flag(used).alias("accel_used"), flag(F.col("release_year").isNotNull()).alias("model_specific"), flag(used & F.col("release_year").isNotNull()).alias("model_specific_used"),

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from quern.checkpoint import checkpointed
+
 
 def shard_rows(df: DataFrame, order: list[str], shard_rows: int, ranges: int | None = None) -> DataFrame:
     """``df`` with ``shard``: rows in ascending ``order``, ``shard_rows`` to a shard.
 
     The table is cut into ranges of the order; a row's place is the rows of the ranges before plus its
-    place in its own.  Only one count per range meets in one task.
+    place in its own.  Only one count per range meets in one task.  The ranges are written once: they come
+    from a sample, and cut twice they would differ.
     """
     ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id())
+    placed = checkpointed(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()))
     counts = placed.groupBy("__range").agg(F.count("*").alias("__n"))
     starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1

@@ -17,14 +17,33 @@ def centroids(vectors: DataFrame, topic: str, vector: str) -> DataFrame:
     return means.groupBy(topic).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
+#: Values of all centroids that are sent to every task as one array at most: 64 MB.
+MOST_VALUES = 1 << 23
+
+
 def reassign_outliers(vectors: DataFrame, key: str, topic: str, vector: str) -> DataFrame:
     """(key, topic_id, was_outlier): vectors without a topic go to the one whose centroid has the highest
-    cosine (ties: the lower topic).  One row per topic, broadcast as one array."""
-    table = centroids(vectors, topic, vector).agg(F.array_sort(F.collect_list(F.struct(F.col(topic).alias("t"), "centroid"))).alias("table"))
-    joined = vectors.join(F.broadcast(table))
-    scored = F.transform("table", lambda c: F.struct(F.round(cosine(F.col(vector), c["centroid"]), 12).alias("s"), (-c["t"]).alias("t")))
-    nearest = -F.array_max(scored)["t"]
-    return joined.select(key, F.coalesce(F.col(topic), nearest).alias("topic_id"), F.col(topic).isNull().alias("was_outlier"))
+    cosine (ties: the lower topic).
+
+    The centroids go to all tasks as one array where they are few; beyond MOST_VALUES numbers they are cut
+    into arrays of that size, and the best of each array is combined before the shuffle."""
+    table = centroids(vectors, topic, vector)
+    values = table.agg(F.sum(F.size("centroid"))).first()[0] or 0
+    cut = -(-values // MOST_VALUES) or 1
+    entry = F.struct(F.col(topic).alias("t"), "centroid")
+    tables = table.groupBy(F.pmod(F.xxhash64(topic), F.lit(cut)).alias("part")).agg(F.array_sort(F.collect_list(entry)).alias("table"))
+    outliers = vectors.where(F.col(topic).isNull()).select(key, vector)
+    best = lambda t: F.array_max(F.transform(t, lambda c: F.struct(F.round(cosine(F.col(vector), c["centroid"]), 12).alias("s"), (-c["t"]).alias("t"))))
+    if cut == 1:
+        nearest = outliers.join(F.broadcast(tables)).select(key, -best(F.col("table"))["t"])
+    else:
+        nearest = None
+        for part in range(cut):
+            scored = outliers.join(F.broadcast(tables.where(F.col("part") == part))).select(key, best(F.col("table")).alias("b"))
+            nearest = scored if nearest is None else nearest.union(scored)
+        nearest = nearest.groupBy(key).agg((-F.max("b")["t"]).alias("t"))
+    placed = vectors.where(F.col(topic).isNotNull()).select(key, F.col(topic).alias("topic_id"), F.lit(False).alias("was_outlier"))
+    return placed.union(nearest.toDF(key, "topic_id").withColumn("was_outlier", F.lit(True)))
 
 
 def representatives(assigned: DataFrame, key: str, n: int = 5) -> DataFrame:
@@ -44,14 +63,21 @@ def class_keywords(docs: DataFrame, topic: str, text: str, least_docs: int = 10,
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]{2,}"), F.lit(0)), lambda w: ~w.isin(*stop) if stop else F.lit(True))
     listed = docs.select(topic, words.alias("w"))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    terms = listed.withColumn("id", F.monotonically_increasing_id()).select(topic, "id", F.explode(F.concat("w", pairs)).alias("term"))
-    per_doc = terms.groupBy(topic, "id", "term").agg(F.count("*").alias("c"))
-    common = per_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("c").alias("f")).where(F.col("df") >= least_docs)
-    counts = per_doc.groupBy(topic, "term").agg(F.sum("c").alias("tf")).join(common, "term")
+    # Every term once for its count and, once per document, for the documents: both are combined before the shuffle.
+    marked = lambda terms, first: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(first).alias("first")))
+    every = F.concat("w", pairs)
+    terms = listed.select(topic, F.inline(F.concat(marked(every, 0), marked(F.array_distinct(every), 1))))
+    counted = terms.groupBy(topic, "term").agg(F.sum(1 - F.col("first")).alias("tf"), F.sum("first").alias("df"))
+    common = counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("f")).where(F.col("df") >= least_docs).select("term", "f")
+    counts = counted.select(topic, "term", "tf").join(common, "term")
     sizes = counts.groupBy(topic).agg(F.sum("tf").alias("all"))
     mean = sizes.agg(F.avg("all").alias("mean"))
     scored = counts.join(sizes, topic).join(F.broadcast(mean)).withColumn("score", F.col("tf") / F.col("all") * F.ln(1 + F.col("mean") / F.col("f")))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(topic).orderBy(F.desc(F.round("score", 10)), "term")))
+    # The first of every part of a topic, then the first of these.
+    best = [F.desc(F.round("score", 10)), F.col("term")]
+    parts = scored.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(64)))
+    first = parts.withColumn("r", F.row_number().over(Window.partitionBy(topic, "part").orderBy(*best))).where(F.col("r") <= top)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(topic).orderBy(*best)))
     return ranked.where(F.col("rank") <= top).select(topic, "rank", "term", "score")
 
 

@@ -40,7 +40,7 @@ def winsorised_floor(spark, d):
     return capacity.winsorised(used_mentions(spark, d)).select("paper", "mention", "n_dev")
 
 
-_EXPLICIT = f"ex AS (SELECT *REPLACE (CASE WHEN basis = 'explicit' THEN device_count END AS device_count) FROM used), xcaps AS (SELECT year, least(greatest(q, 1), 65536) AS cap FROM ({nearest_sql('ex', 'year', 'device_count', 0.999, 'q')}))"
+_EXPLICIT = f"ex AS (SELECT * FROM used WHERE device_count_basis = 'explicit'), xcaps AS (SELECT year, least(greatest(q, 1), 65536) AS cap FROM ({nearest_sql('ex', 'year', 'device_count', 0.999, 'q')}))"
 
 
 @query("winsorised_counts_explicit", twin("SELECT paper, mention, CASE WHEN device_count IS NOT NULL THEN CAST(least(device_count, coalesce(cap, 65536), 65536) AS DOUBLE) END AS n_dev FROM ex LEFT JOIN xcaps USING (year)", _EXPLICIT))
@@ -117,7 +117,7 @@ def capacity_policy_comparison(spark, d):
     return first.join(second, "year")
 
 
-_FLAGS = "flags AS (SELECT paper, true AS accel_any, coalesce(bool_or(usage_context = 'used'), false) AS accel_used, coalesce(bool_or(release_year IS NOT NULL), false) AS model_specific, coalesce(bool_or(usage_context = 'used' AND release_year IS NOT NULL), false) AS model_specific_used, count(*) AS n_mentions, count(DISTINCT model) AS n_models, array_to_string(list_sort(list(DISTINCT vendor) FILTER (WHERE vendor IS NOT NULL)), ',') AS vendors, array_to_string(list_sort(list(DISTINCT usage_context)), ',') AS contexts, max(release_year) FILTER (WHERE usage_context = 'used') AS newest_used, min(release_year) FILTER (WHERE usage_context = 'used') AS oldest_used, max(device_count) FILTER (WHERE usage_context = 'used') AS max_device_count FROM enriched WHERE status = 'ok' GROUP BY paper)"
+_FLAGS = "flags AS (SELECT paper, true AS accel_any, coalesce(bool_or(usage_context = 'used-in-this-work'), false) AS accel_used, coalesce(bool_or(release_year IS NOT NULL), false) AS model_specific, coalesce(bool_or(usage_context = 'used-in-this-work' AND release_year IS NOT NULL), false) AS model_specific_used, count(*) AS n_mentions, count(DISTINCT model) AS n_models, array_to_string(list_sort(list(DISTINCT vendor) FILTER (WHERE vendor IS NOT NULL)), ',') AS vendors, array_to_string(list_sort(list(DISTINCT usage_context)), ',') AS contexts, max(release_year) FILTER (WHERE usage_context = 'used-in-this-work') AS newest_used, min(release_year) FILTER (WHERE usage_context = 'used-in-this-work') AS oldest_used, max(device_count) FILTER (WHERE usage_context = 'used-in-this-work') AS max_device_count FROM enriched WHERE status = 'ok' GROUP BY paper)"
 
 
 def _flags(spark, d):
@@ -191,9 +191,9 @@ def specificity(spark, d):
     return _population(spark, d).where("accel_any").groupBy("year").agg(F.count("*").alias("n"), F.round(F.avg(F.col("model_specific").cast("int")), 6).alias("specific"))
 
 
-@query("rescue_share", twin("SELECT year, count(*) AS n, count(*) FILTER (WHERE basis = 'inferred') AS gated_only, count(*) FILTER (WHERE basis = 'inferred' AND device_count IS NULL) AS rescued, round(count(*) FILTER (WHERE basis = 'inferred' AND device_count IS NULL) / count(*), 6) AS rescued_share FROM enriched GROUP BY year"))
+@query("rescue_share", twin("SELECT year, count(*) AS n, count(*) FILTER (WHERE device_count_basis = 'inferred') AS gated_only, count(*) FILTER (WHERE device_count_basis = 'inferred' AND device_count IS NULL) AS rescued, round(count(*) FILTER (WHERE device_count_basis = 'inferred' AND device_count IS NULL) / count(*), 6) AS rescued_share FROM enriched GROUP BY year"))
 def rescue_share(spark, d):
-    gated, rescued = F.col("basis") == "inferred", (F.col("basis") == "inferred") & F.col("device_count").isNull()
+    gated, rescued = F.col("device_count_basis") == "inferred", (F.col("device_count_basis") == "inferred") & F.col("device_count").isNull()
     return enriched(spark, d).groupBy("year").agg(F.count("*").alias("n"), F.count_if(gated).alias("gated_only"), F.count_if(rescued).alias("rescued"), F.round(F.count_if(rescued) / F.count("*"), 6).alias("rescued_share"))
 
 
@@ -202,21 +202,21 @@ def composition_pivot(spark, d):
     return papers(spark, d).groupBy("year").pivot("region_no", [0, 1, 2, 3, 4]).count().na.fill(0).withColumnsRenamed({str(k): f"r{k}" for k in range(5)})
 
 
-@query("vendor_share", twin("SELECT year, vendor, n, round(n / sum(n) OVER (PARTITION BY year), 6) AS share FROM (SELECT year, vendor, count(DISTINCT paper) AS n FROM enriched WHERE usage_context = 'used' GROUP BY 1, 2)"))
+@query("vendor_share", twin("SELECT year, vendor, n, round(n / sum(n) OVER (PARTITION BY year), 6) AS share FROM (SELECT year, vendor, count(DISTINCT paper) AS n FROM enriched WHERE usage_context = 'used-in-this-work' GROUP BY 1, 2)"))
 def vendor_share(spark, d):
-    n = enriched(spark, d).where("usage_context = 'used'").groupBy("year", "vendor").agg(F.countDistinct("paper").alias("n"))
+    n = enriched(spark, d).where("usage_context = 'used-in-this-work'").groupBy("year", "vendor").agg(F.countDistinct("paper").alias("n"))
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("year")), 6))
 
 
-@query("vendor_resolution", twin("SELECT vendor, count(*) AS n FROM (SELECT coalesce(CASE WHEN model % 4 <> 0 THEN s.vendor END, 'label-' || basis) AS vendor FROM mentions LEFT JOIN specs s USING (model)) GROUP BY vendor"))
+@query("vendor_resolution", twin("SELECT vendor, count(*) AS n FROM (SELECT coalesce(CASE WHEN model % 4 <> 0 THEN s.vendor END, 'label-' || device_count_basis) AS vendor FROM mentions LEFT JOIN specs s USING (model)) GROUP BY vendor"))
 def vendor_resolution(spark, d):
     joined = mentions(spark, d).join(specs(spark, d).select("model", "vendor"), "model", "left")
-    return joined.select(F.coalesce(F.when(F.col("model") % 4 != 0, F.col("vendor")), F.concat(F.lit("label-"), "basis")).alias("vendor")).groupBy("vendor").agg(F.count("*").alias("n"))
+    return joined.select(F.coalesce(F.when(F.col("model") % 4 != 0, F.col("vendor")), F.concat(F.lit("label-"), "device_count_basis")).alias("vendor")).groupBy("vendor").agg(F.count("*").alias("n"))
 
 
-@query("multi_vendor", twin("SELECT year, count(*) AS n, round(avg(CASE WHEN v > 1 THEN 1 ELSE 0 END), 6) AS multi FROM (SELECT year, paper, count(DISTINCT vendor) AS v FROM enriched WHERE usage_context = 'used' GROUP BY 1, 2) GROUP BY year"))
+@query("multi_vendor", twin("SELECT year, count(*) AS n, round(avg(CASE WHEN v > 1 THEN 1 ELSE 0 END), 6) AS multi FROM (SELECT year, paper, count(DISTINCT vendor) AS v FROM enriched WHERE usage_context = 'used-in-this-work' GROUP BY 1, 2) GROUP BY year"))
 def multi_vendor(spark, d):
-    per = enriched(spark, d).where("usage_context = 'used'").groupBy("year", "paper").agg(F.countDistinct("vendor").alias("v"))
+    per = enriched(spark, d).where("usage_context = 'used-in-this-work'").groupBy("year", "paper").agg(F.countDistinct("vendor").alias("v"))
     return per.groupBy("year").agg(F.count("*").alias("n"), F.round(F.avg((F.col("v") > 1).cast("int")), 6).alias("multi"))
 
 

@@ -53,18 +53,18 @@ def specs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, d: str) -> DataFrame:
-    """(paper, mention, model, device_count, basis, memory_gb, usage_context, status)"""
+    """(paper, mention, model, device_count, device_count_basis, memory_gb, usage_context, status)"""
     q = F.col("l_quantity").cast("bigint")
     return table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("mention"), F.col("l_partkey").alias("model"), F.when(q % 7 != 0, F.when(q % 5 == 0, q * q * 8).otherwise(q)).alias("device_count"),
-        F.when(F.col("l_linenumber") % 3 == 0, "inferred").otherwise("explicit").alias("basis"), F.when(F.col("l_suppkey") % 5 == 0, (F.col("l_suppkey") % 80).cast("double")).alias("memory_gb"),
-        F.when(F.col("l_returnflag") == "N", "used").when(F.col("l_returnflag") == "A", "cited").otherwise("discussed").alias("usage_context"), F.when(F.col("l_linestatus") == "F", F.when(F.col("l_linenumber") == 7, "truncated").otherwise("ok")).otherwise("ok").alias("status"),
+        F.when(F.col("l_linenumber") % 3 == 0, "inferred").otherwise("explicit").alias("device_count_basis"), F.when(F.col("l_suppkey") % 5 == 0, (F.col("l_suppkey") % 80).cast("double")).alias("memory_gb"),
+        F.when(F.col("l_returnflag") == "N", "used-in-this-work").when(F.col("l_returnflag") == "A", "comparison-or-related-work").otherwise("object-of-study").alias("usage_context"), F.when(F.col("l_linestatus") == "F", F.when(F.col("l_linenumber") == 7, "truncated").otherwise("ok")).otherwise("ok").alias("status"),
     )
 
 
 def used_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Mentions that are ok and used, with the paper's year."""
-    return mentions(spark, d).where("status = 'ok' and usage_context = 'used'").join(papers(spark, d).select("paper", "year"), "paper")
+    return mentions(spark, d).where("status = 'ok' and usage_context = 'used-in-this-work'").join(papers(spark, d).select("paper", "year"), "paper")
 
 
 def enriched(spark: SparkSession, d: str) -> DataFrame:
@@ -84,10 +84,10 @@ specs AS (
 mentions AS (
   SELECT l_orderkey AS paper, l_linenumber AS mention, l_partkey AS model,
          CASE WHEN CAST(l_quantity AS BIGINT) % 7 <> 0 THEN CASE WHEN CAST(l_quantity AS BIGINT) % 5 = 0 THEN CAST(l_quantity AS BIGINT) * CAST(l_quantity AS BIGINT) * 8 ELSE CAST(l_quantity AS BIGINT) END END AS device_count,
-         CASE WHEN l_linenumber % 3 = 0 THEN 'inferred' ELSE 'explicit' END AS basis, CASE WHEN l_suppkey % 5 = 0 THEN CAST(l_suppkey % 80 AS DOUBLE) END AS memory_gb,
-         CASE l_returnflag WHEN 'N' THEN 'used' WHEN 'A' THEN 'cited' ELSE 'discussed' END AS usage_context, CASE WHEN l_linestatus = 'F' AND l_linenumber = 7 THEN 'truncated' ELSE 'ok' END AS status
+         CASE WHEN l_linenumber % 3 = 0 THEN 'inferred' ELSE 'explicit' END AS device_count_basis, CASE WHEN l_suppkey % 5 = 0 THEN CAST(l_suppkey % 80 AS DOUBLE) END AS memory_gb,
+         CASE l_returnflag WHEN 'N' THEN 'used-in-this-work' WHEN 'A' THEN 'comparison-or-related-work' ELSE 'object-of-study' END AS usage_context, CASE WHEN l_linestatus = 'F' AND l_linenumber = 7 THEN 'truncated' ELSE 'ok' END AS status
   FROM lineitem),
-used AS (SELECT m.*, p.year FROM mentions m JOIN papers p USING (paper) WHERE status = 'ok' AND usage_context = 'used'),
+used AS (SELECT m.*, p.year FROM mentions m JOIN papers p USING (paper) WHERE status = 'ok' AND usage_context = 'used-in-this-work'),
 enriched AS (SELECT m.*, p.year, p.field, s.display, s.vendor, s.segment, s.release_year, s.fp32, s.fp64, s.tensor, s.vram_gb, s.tdp FROM mentions m JOIN papers p USING (paper) LEFT JOIN specs s USING (model))"""
 
 

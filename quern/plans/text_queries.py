@@ -51,19 +51,22 @@ def split_long_paragraphs(spark, d):
     return docs.select("doc_id", F.size(tx.split_long(F.regexp_replace("text", r"\s+", " "), 400)).alias("pieces"))
 
 
-@query("numeric_markup_unwrap", r"""SELECT doc_id, md5(t) AS h FROM (SELECT doc_id, regexp_replace(regexp_replace('with $8$ of $\alpha$ ' || substr(text, 1, 80) || ' and $1,024$ $x_' || doc_id || '$', '\$([\d\s.,]+)\$', '\1', 'g'), '\$[^$\n]{0,200}\$', ' ', 'g') AS t FROM documents WHERE position('$' IN substr(text, 1, 80)) = 0)""")
+#: Escaped dollars are set aside, numbers kept between marks, and empty marks become a space.
+_UNWRAPPED = r"""replace(replace(replace(replace(regexp_replace(replace({}, '\$', chr(3)), '\$(?:((?:[\d.,]|[\t\f\r ]){{1,200}})|[^$\n\x03]{{0,200}})\$|\\\((?:([\d\s.,]{{1,200}})|(?s:.{{0,200}}?))\\\)', chr(1) || '\1\2' || chr(2), 'g'), chr(1) || chr(2), ' '), chr(1), ''), chr(2), ''), chr(3), '\$')"""
+
+
+@query("numeric_markup_unwrap", "SELECT doc_id, md5(" + _UNWRAPPED.format(r"'with $8$ of $\alpha$ 5 $\beta$ ' || text || ' and $1,024$ \(3' || chr(10) || '\) $x_' || doc_id || '$'") + ") AS h FROM documents")
 def numeric_markup_unwrap(spark, d):
-    docs = table(spark, d, "documents").where(~F.substring("text", 1, 80).contains("$"))
-    made = F.concat(F.lit(r"with $8$ of $\alpha$ "), F.substring("text", 1, 80), F.lit(" and $1,024$ $x_"), "doc_id", F.lit("$"))
-    return docs.select("doc_id", F.md5(tx.unwrap_math(made).cast("binary")).alias("h"))
+    made = F.concat(F.lit(r"with $8$ of $\alpha$ 5 $\beta$ "), "text", F.lit(" and $1,024$ \\(3\n\\) $x_"), "doc_id", F.lit("$"))
+    return table(spark, d, "documents").select("doc_id", F.md5(tx.unwrap_math(made).cast("binary")).alias("h"))
 
 
-@query("reference_shape_filter", r"""WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '[' || doc_id % 900 || '] ' WHEN 1 THEN '(2004) ' WHEN 2 THEN 'Smith et al, Proc. 1999 pp. 3 ' ELSE '' END || substr(text, 1, 100) AS t FROM documents)
- SELECT doc_id, regexp_matches(t, '^\s*(\[\d{1,3}\]|\\bibitem|\(\d{4}\))') OR (length(t) < 400 AND (regexp_matches(t, '\(\d{4}\)|\b(19|20)\d{2}\b')::INT + regexp_matches(t, '\bet al\b')::INT + regexp_matches(t, '\bpp\.|\bvol\.|\bno\.\s*\d')::INT + regexp_matches(t, 'arXiv:')::INT + regexp_matches(t, '\bJ\.\s|\bProc\.|\bIEEE\b|\bACM\b')::INT) >= 2) AS ref FROM r""")
+@query("reference_shape_filter", rf"""WITH {_PARA}, r AS (SELECT doc_id, idx, CASE doc_id % 4 WHEN 0 THEN '[' || doc_id % 900 || '] ' WHEN 1 THEN '(2004) ' WHEN 2 THEN 'Smith et al, Proc. 1999 pp. 3 ' ELSE '' END || text AS t FROM para)
+ SELECT doc_id, idx, regexp_matches(t, '^\s*(\[\d{{1,3}}\]|\\bibitem|\(\d{{4}}\))') OR (length(t) < 400 AND (regexp_matches(t, '\(\d{{4}}\)|\b(19|20)\d{{2}}\b')::INT + regexp_matches(t, '\bet al\b')::INT + regexp_matches(t, '\bpp\.|\bvol\.|\bno\.\s*\d')::INT + regexp_matches(t, 'arXiv:')::INT + regexp_matches(t, '\bJ\.\s|\bProc\.|\bIEEE\b|\bACM\b')::INT) >= 2) AS ref FROM r""")
 def reference_shape_filter(spark, d):
     k = F.col("doc_id") % 4
     head = F.when(k == 0, F.concat(F.lit("["), F.col("doc_id") % 900, F.lit("] "))).when(k == 1, "(2004) ").when(k == 2, "Smith et al, Proc. 1999 pp. 3 ").otherwise("")
-    return table(spark, d, "documents").select("doc_id", tx.looks_like_reference(F.concat(head, F.substring("text", 1, 100))).alias("ref"))
+    return _paragraphs(spark, d).select("doc_id", "idx", tx.looks_like_reference(F.concat(head, F.col("text"))).alias("ref"))
 
 
 @query("html_heading_extract", r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<h[1-6][^>]*>')) AS INTEGER) AS headings, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')) AS title, CAST(len(regexp_extract_all(html, '<a ')) AS INTEGER) AS links FROM pages""")
@@ -131,34 +134,29 @@ TOY = Lexicon(
     (Alias("the-and", "the and"), Alias("and", "and"), Alias("der", "der", "ctx"), Alias("que", "que"), Alias("les", "les", "ctx")),
     {"ctx": ("die", "un")},
 )
-#: (id, kind, gated, RE2 pattern); spaces and hyphens part the words of a phrase.
-_LEX = "lex(model_id, kind, gated, pat) AS (VALUES ('the-and', 'model', false, '(?i)\\bthe[\\s-]*ands?\\b'), ('and', 'generic', false, '(?i)\\bands?\\b'), ('der', 'architecture', true, '(?i)\\bders?\\b'), ('que', 'generic', false, '(?i)\\bques?\\b'), ('les', 'model', true, '(?i)\\bless?\\b'))"
-#: ASCII texts only: the word boundaries of the SQL engine know no other letters.
-_ASCII = r"regexp_full_match({}, '[\x00-\x7F]*')"
-_APARA = _PARA + ", ap AS (SELECT * FROM para WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE NOT " + _ASCII.format("text") + ")), hit AS (SELECT doc_id, idx, text, model_id, kind, gated, CAST(len(regexp_extract_all(text, pat)) AS BIGINT) AS n FROM ap, lex WHERE regexp_matches(text, pat))"
-
-
-def _ascii_paragraphs(spark, d):
-    ascii_docs = table(spark, d, "documents").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("doc_id")
-    return _paragraphs(spark, d).join(ascii_docs, "doc_id", "left_semi")
+#: (id, kind, gated, RE2 pattern); spaces and hyphens part the words of a phrase.  Letters and digits of all
+#: scripts make words; a border is a character, so every character that can be one is doubled first.
+_LEX = (("the-and", "model", "false", r"the[\s-]*ands?"), ("and", "generic", "false", "ands?"), ("der", "architecture", "true", "ders?"), ("que", "generic", "false", "ques?"), ("les", "model", "true", "less?"))
+_HITS = " UNION ALL ".join(rf"SELECT doc_id, idx, text, '{m}' AS model_id, '{k}' AS kind, {g} AS gated, CAST(len(regexp_extract_all(wide, '(?i)(^|[^\pL\pN_])({p})($|[^\pL\pN_])')) AS BIGINT) AS n FROM twice WHERE regexp_matches(wide, '(?i)(^|[^\pL\pN_])({p})($|[^\pL\pN_])')" for m, k, g, p in _LEX)
+_APARA = _PARA + rf", ap AS (SELECT * FROM para), twice AS MATERIALIZED (SELECT doc_id, idx, text, regexp_replace(text, '([^\pL\pN_])', '\1\1', 'g') AS wide FROM ap), hit AS ({_HITS})"
 
 
 def _hits(spark, d):
-    found = matching.with_matches(_ascii_paragraphs(spark, d), "text", TOY)
+    found = matching.with_matches(_paragraphs(spark, d), "text", TOY)
     return found.select("doc_id", "idx", "text", F.explode("matches").alias("m")).select("doc_id", "idx", "text", "m.*")
 
 
-@query("lexicon_prefilter", f"WITH {_PARA}, ap AS (SELECT * FROM para WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE NOT {_ASCII.format('text')})) SELECT doc_id, count(*) AS n FROM ap WHERE regexp_matches(text, '(?i)\\b(the|and|der|que|les)') GROUP BY doc_id")
+@query("lexicon_prefilter", f"WITH {_PARA} SELECT doc_id, count(*) AS n FROM para WHERE regexp_matches(text, '(?i)(^|[^\\pL\\pN_])(the|and|der|que|les)($|[^_])') GROUP BY doc_id")
 def lexicon_prefilter(spark, d):
-    return _ascii_paragraphs(spark, d).where(F.col("text").rlike(TOY.prefilter)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return _paragraphs(spark, d).where(F.col("text").rlike(TOY.prefilter)).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("lexicon_hits_per_doc", f"WITH {_LEX}, {_APARA} SELECT doc_id, model_id, CAST(sum(n) AS BIGINT) AS n FROM hit WHERE model_id NOT IN ('and') GROUP BY 1, 2")
+@query("lexicon_hits_per_doc", f"WITH {_APARA} SELECT doc_id, model_id, CAST(sum(n) AS BIGINT) AS n FROM hit WHERE model_id NOT IN ('and') GROUP BY 1, 2")
 def lexicon_hits_per_doc(spark, d):
     return _hits(spark, d).where("model_id <> 'and'").groupBy("doc_id", "model_id").agg(F.count("*").alias("n"))
 
 
-@query("overlap_longest_span", f"WITH {_LEX}, {_APARA} SELECT doc_id, CAST(sum(CASE WHEN model_id = 'and' THEN n ELSE -n END) AS BIGINT) AS single_ands FROM hit WHERE model_id IN ('and', 'the-and') GROUP BY 1 HAVING sum(CASE WHEN model_id = 'and' THEN n ELSE -n END) <> 0")
+@query("overlap_longest_span", f"WITH {_APARA} SELECT doc_id, CAST(sum(CASE WHEN model_id = 'and' THEN n ELSE -n END) AS BIGINT) AS single_ands FROM hit WHERE model_id IN ('and', 'the-and') GROUP BY 1 HAVING sum(CASE WHEN model_id = 'and' THEN n ELSE -n END) <> 0")
 def overlap_longest_span(spark, d):
     # 'and' inside of 'the and' is dropped for the longer match; closed-up 'theand' has no single word.
     h = _hits(spark, d).where(F.col("model_id").isin("and", "the-and"))
@@ -166,19 +164,19 @@ def overlap_longest_span(spark, d):
     return h.groupBy("doc_id").agg(F.sum(closed).alias("single_ands")).where("single_ands <> 0")
 
 
-_GATE = f"{_LEX}, {_APARA}, g AS (SELECT *, coalesce(right(lag(text) OVER w, 250), '') || ' ' || text || ' ' || coalesce(left(lead(text) OVER w, 250), '') AS win FROM ap WINDOW w AS (PARTITION BY doc_id ORDER BY idx)), gh AS (SELECT h.*, regexp_matches(win, '(?i)\\b(die|un)\\b') AS ok FROM hit h JOIN g USING (doc_id, idx))"
+_GATE = f"{_APARA}, g AS (SELECT *, coalesce(right(lag(text) OVER w, 250), '') || ' ' || text || ' ' || coalesce(left(lead(text) OVER w, 250), '') AS win FROM ap WINDOW w AS (PARTITION BY doc_id ORDER BY idx)), gh AS (SELECT h.*, regexp_matches(win, '(?i)(^|[^\\pL\\pN_])(die|un)($|[^\\pL\\pN_])') AS ok FROM hit h JOIN g USING (doc_id, idx))"
 
 
 def _papers_of_text(spark, d):
-    paras = _ascii_paragraphs(spark, d).select(F.col("doc_id").cast("string").alias("paper_id"), "idx", "text", F.lit(None).cast("string").alias("section"))
-    docs = table(spark, d, "documents").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select(F.col("doc_id").cast("string").alias("paper_id"), F.length("text").alias("body_chars"))
+    paras = _paragraphs(spark, d).select(F.col("doc_id").cast("string").alias("paper_id"), "idx", "text", F.lit(None).cast("string").alias("section"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.length("text").alias("body_chars"))
     return docs, paras
 
 
 @query("context_gate_neighbours", f"WITH {_GATE} SELECT doc_id, idx, model_id, ok FROM gh WHERE gated")
 def context_gate_neighbours(spark, d):
     order = Window.partitionBy("doc_id").orderBy("idx")
-    near = matching.with_matches(_ascii_paragraphs(spark, d), "text", TOY).withColumn("b", F.lag("text").over(order)).withColumn("a", F.lead("text").over(order))
+    near = matching.with_matches(_paragraphs(spark, d), "text", TOY).withColumn("b", F.lag("text").over(order)).withColumn("a", F.lead("text").over(order))
     win = F.concat(F.coalesce(F.right("b", F.lit(250)), F.lit("")), F.lit(" "), F.col("text"), F.lit(" "), F.coalesce(F.left("a", F.lit(250)), F.lit("")))
     marked = near.select("doc_id", "idx", F.explode(matching.gated(F.col("matches"), win, TOY)).alias("m"))
     return marked.where("m.gate_required").select("doc_id", "idx", F.col("m.model_id").alias("model_id"), F.col("m.gate_ok").alias("ok")).distinct()
@@ -199,7 +197,7 @@ def passage_cap_in_order(spark, d):
     return matching.scan_papers(docs, paras, TOY)[1].select("paper_id", "para_idx")
 
 
-@query("inventory", f"WITH {_RESCUE}, k AS (SELECT doc_id, count(DISTINCT idx) AS n, bool_or(specific) AS s FROM kept GROUP BY 1) SELECT CAST(d.doc_id AS VARCHAR) AS paper_id, CAST(length(d.text) AS INTEGER) AS body_chars, length(d.text) > 0 AS has_body, CAST(coalesce(pc.c, 0) AS INTEGER) AS n_paragraphs, k.n IS NOT NULL AS is_candidate, CAST(CASE WHEN k.n IS NULL THEN 0 ELSE least(k.n, CASE WHEN k.s THEN 20 ELSE 5 END) END AS INTEGER) AS n_candidate_passages, coalesce(k.n > CASE WHEN k.s THEN 20 ELSE 5 END, false) AS passages_truncated FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS c FROM ap GROUP BY 1) pc USING (doc_id) LEFT JOIN k USING (doc_id) WHERE {_ASCII.format('d.text')}")
+@query("inventory", f"WITH {_RESCUE}, k AS (SELECT doc_id, count(DISTINCT idx) AS n, bool_or(specific) AS s FROM kept GROUP BY 1) SELECT CAST(d.doc_id AS VARCHAR) AS paper_id, CAST(length(d.text) AS INTEGER) AS body_chars, length(d.text) > 0 AS has_body, CAST(coalesce(pc.c, 0) AS INTEGER) AS n_paragraphs, k.n IS NOT NULL AS is_candidate, CAST(CASE WHEN k.n IS NULL THEN 0 ELSE least(k.n, CASE WHEN k.s THEN 20 ELSE 5 END) END AS INTEGER) AS n_candidate_passages, coalesce(k.n > CASE WHEN k.s THEN 20 ELSE 5 END, false) AS passages_truncated FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS c FROM ap GROUP BY 1) pc USING (doc_id) LEFT JOIN k USING (doc_id)")
 def inventory(spark, d):
     docs, paras = _papers_of_text(spark, d)
     return matching.scan_papers(docs, paras, TOY)[0]
@@ -211,45 +209,73 @@ def match_flags(spark, d):
     return matching.scan_papers(docs, paras, TOY)[1].select("passage_id", "gated_only", "gate_rescued", "model_specific")
 
 
-@query("passage_window_centred", f"""WITH {_RESCUE}, nb AS (SELECT doc_id, idx, text, lag(text) OVER w AS b, lead(text) OVER w AS a FROM ap WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
- room AS (SELECT DISTINCT nb.*, 2500 - length(nb.text) AS room FROM nb JOIN capped USING (doc_id, idx) WHERE length(nb.text) <= 2500),
- cut AS (SELECT doc_id, idx, text, CASE WHEN room > 40 AND b IS NOT NULL THEN right(b, room // 2) ELSE '' END AS t, a, room FROM room)
- SELECT CAST(doc_id AS VARCHAR) || ':' || idx AS passage_id, md5(CASE WHEN t <> '' THEN t || chr(10) ELSE '' END || text || CASE WHEN room > 40 AND a IS NOT NULL AND left(a, room - length(t)) <> '' THEN chr(10) || left(a, room - length(t)) ELSE '' END) AS h FROM cut""")
+@query("passage_window_centred")
 def passage_window_centred(spark, d):
+    """Every passage, those cut around the matches of a long paragraph included."""
     docs, paras = _papers_of_text(spark, d)
-    short = paras.where(F.length("text") <= 2500).select("paper_id", F.col("idx").alias("para_idx"))
-    found = matching.scan_papers(docs, paras, TOY)[1].join(short, ["paper_id", "para_idx"], "left_semi")
-    return found.select("passage_id", F.md5(F.col("passage_text").cast("binary")).alias("h"))
+    return matching.scan_papers(docs, paras, TOY)[1].select("passage_id", F.md5(F.col("passage_text").cast("binary")).alias("h"))
+
+
+#: Items up to which their words are broadcast.
+MOST_ITEMS = 100_000
 
 
 @query("benchmark_containment", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND length(b.text) > 0")
 def benchmark_containment(spark, d):
-    """Whole items inside of documents: candidates share the item's first eight words, then the text is
-    compared.  The items' heads meet the documents' in a join by hash, not by all pairs."""
+    """Whole items inside of documents: candidates hold the longest inner word of the item, then the text
+    is compared.  An item without an inner word is compared with every text."""
     words = lambda c: F.split(c, r"[\x20\x09-\x0D]+")
-    items = table(spark, d, "benchmark").where("length(text) > 0").select("item_id", F.col("text").alias("item"), words(F.regexp_replace("text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")).alias("w"))
-    # The second to fourth word of an item stand whole in any document that holds it.
-    items = items.withColumn("key", F.xxhash64(F.array_join(F.slice("w", 2, 3), " ")))
-    long = items.where(F.size("w") >= 5)
-    docs = table(spark, d, "documents").select("doc_id", "text", words(F.col("text")).alias("w"))
-    keys = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, 3), " "))))).alias("key"))
-    pairs = keys.join(F.broadcast(long.select("key", "item_id")), "key").select("doc_id", "item_id").distinct()
-    found = pairs.join(docs.select("doc_id", "text"), "doc_id").join(F.broadcast(long.select("item_id", "item")), "item_id")
-    short = docs.select("doc_id", "text").join(F.broadcast(items.where(F.size("w") < 5).select("item_id", "item")), F.col("text").contains(F.col("item")))
+    items = table(spark, d, "benchmark").where("length(text) > 0").select("item_id", F.col("text").alias("item"), F.filter(words("text"), lambda x: x != "").alias("w"))
+    small = F.broadcast if items.count() <= MOST_ITEMS else lambda df: df
+    # All words but the first and the last stand whole in any document that holds the item.
+    inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"]
+    long = items.where(F.size("w") > 2).select("item_id", "item", longest.alias("word"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    held = docs.select("doc_id", F.explode(words("text")).alias("word"))
+    pairs = held.join(small(long.select("word", "item_id")), "word").select("doc_id", "item_id").distinct()
+    found = pairs.join(docs, "doc_id").join(small(long.select("item_id", "item")), "item_id")
+    short = docs.join(small(items.where(F.size("w") <= 2).select("item_id", "item")), F.col("text").contains(F.col("item")))
     return found.where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id").union(short.select("doc_id", "item_id"))
 
 
-@query("pattern_flags_per_doc", r"SELECT source, bool_or(regexp_matches(text, '(?i)\bder\b')) AS f_der, bool_or(regexp_matches(text, '(?i)\bque\b')) AS f_que, CAST(count(*) AS INTEGER) AS n FROM documents GROUP BY source")
+#: Documents with a planted name of a format or stack, by their id.
+_PLANTED = ("fp64", "Single precision", "bfloat16", "8-bit integer", "mixed-precision", "quantised", "quantization", "Tensor Cores", "CUDA", "cuda", "OpenCL", "hip", "HIP", "oneAPI", "fp64x")
+
+
+def _planted(spark, d):
+    names = F.array(*map(F.lit, _PLANTED))
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", "lang", "source", F.concat(F.get(names, (F.col("doc_id") % len(_PLANTED)).cast("int")), F.lit(", "), "text").alias("text"))
+
+
+def _in_sql(body: str, fold: bool = True) -> str:
+    return f"'(?{'i' if fold else ''}:(^|[^\\pL\\pN_])({body})($|[^\\pL\\pN_]))'"
+
+
+_PLANTED_SQL = "planted AS (SELECT doc_id, lang, source, [" + ", ".join(f"'{x}'" for x in _PLANTED) + f"][CAST(doc_id % {len(_PLANTED)} + 1 AS BIGINT)] || ', ' || text AS text FROM documents)"
+
+
+@query("pattern_flags_per_doc", f"WITH {_PLANTED_SQL} SELECT doc_id, CAST(1 AS INTEGER) AS n, " + ", ".join(f"regexp_matches(text, {_in_sql(p)}) AS prec_{k}" for k, p in matching.PRECISION_PATTERNS.items()) + " FROM planted")
 def pattern_flags_per_doc(spark, d):
-    out = matching.pattern_flags(table(spark, d, "documents"), "source", "text", {"der": r"(?i)\bder\b", "que": r"(?i)\bque\b"}, "f_")
-    return out.select("source", "f_der", "f_que", F.col("n_passages_scanned").alias("n"))
+    out = matching.pattern_flags(_planted(spark, d), "doc_id", "text")
+    return out.select("doc_id", *[f"prec_{k}" for k in matching.PRECISION_PATTERNS], F.col("n_passages_scanned").alias("n"))
+
+
+@query("pattern_surfaces", f"""WITH {_PLANTED_SQL}, f AS (SELECT doc_id, unnest([{", ".join(f"lower(regexp_extract(text, {_in_sql(p)}, 2))" for p in matching.PRECISION_PATTERNS.values())}]) AS s FROM planted)
+ SELECT doc_id, coalesce(array_to_string(list_sort(list(DISTINCT s) FILTER (WHERE s <> '')), ','), '') AS surfaces FROM f GROUP BY doc_id""")
+def pattern_surfaces(spark, d):
+    return matching.pattern_flags(_planted(spark, d), "doc_id", "text").select("doc_id", F.array_join("prec_surfaces", ",").alias("surfaces"))
+
+
+_STACKS = {"cuda": ("CUDA|cuDNN|cuBLAS|nvcc", False), "opencl": ("OpenCL", True), "rocm_hip": ("ROCm|HIP", False), "sycl_oneapi": (r"SYCL|oneAPI|DPC\+\+", True), "metal_mps": ("Metal Performance Shaders|MPS backend", True)}
 
 
-@query("stack_sweep", r"SELECT lang, count(DISTINCT doc_id) FILTER (WHERE regexp_matches(text, '\bThe\b')) AS upper_the, count(DISTINCT doc_id) FILTER (WHERE regexp_matches(text, '(?i)\blicense\b')) AS license FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang")
+@query("stack_sweep", f"WITH {_PLANTED_SQL} SELECT lang, " + ", ".join(f"count(DISTINCT doc_id) FILTER (WHERE regexp_matches(text, {_in_sql(*p)})) AS {k}" for k, p in _STACKS.items()) + " FROM planted WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang")
 def stack_sweep(spark, d):
     good = table(spark, d, "labels").where("quality = 1")
-    docs = table(spark, d, "documents").join(good, "doc_id", "left_semi")
-    return docs.groupBy("lang").agg(F.count_if(F.col("text").rlike(r"\bThe\b")).alias("upper_the"), F.count_if(F.col("text").rlike(r"(?i)\blicense\b")).alias("license"))
+    docs = _planted(spark, d).join(good, "doc_id", "left_semi")
+    return docs.groupBy("lang").agg(*[F.count_if(F.col("text").rlike(p)).alias(k) for k, p in matching.STACK_PATTERNS.items()])
 
 
 _SPANS = "gold AS (SELECT event_id % 500 AS sent, event_id AS gid, user_id AS s, user_id + 5 AS e FROM events WHERE event_id % 3 = 0), got AS (SELECT event_id % 500 AS sent, user_id + event_id % 4 AS s, user_id + event_id % 4 + 2 AS e FROM events WHERE event_id % 3 = 1)"
@@ -296,7 +322,8 @@ def registry_version_diff(spark, d):
 def _answers(spark, d):
     """Answers of four kinds, by event."""
     k = F.col("event_id") % 5
-    ok = F.concat(F.lit('{"mentions": [{"model_raw": "m'), F.col("user_id"), F.lit('", "device_count": '), (F.col("event_id") - 5000) * 1000003, F.lit(', "usage_context": "unclear"}, {"model_raw": "x", "usage_context": "unclear"}]}'))
+    rest = '"model_normalized": null, "manufacturer": "other", "accelerator_subtype": "tpu", "device_count_basis": "explicit", "memory_gb": 32, "usage_context": "object-of-study", "evidence_quote": "q"'
+    ok = F.concat(F.lit('{"mentions": [{"model_raw": "m'), F.col("user_id"), F.lit('", "device_count": '), (F.col("event_id") - 5000) * 1000003, F.lit(f', {rest}}}, {{"model_raw": "x", "device_count": null, {rest}}}]}}'))
     raw = F.when(k == 0, '{"mentions": []}').when(k == 1, '{"mentions": [').when(k == 2, '{"mentions": [{"model_raw": "a", "usage_context": "eaten"}]}').otherwise(ok)
     return extract.parse_answers(table(spark, d, "events").select("event_id", raw.alias("raw"), (F.col("event_id") % 11 == 0).alias("cut")), "raw", "cut")
 
@@ -358,12 +385,12 @@ def schema_evolution_read(spark, d):
     return spark.read.schema("n_nationkey int, n_name string, paper_id string").parquet(f"{d}/nation.parquet")
 
 
-@query("repack_manifest", "SELECT shard, count(*) AS n_passages, count(DISTINCT l_orderkey) AS n_papers FROM (SELECT l_orderkey, (row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1) // 25000 AS shard FROM lineitem) GROUP BY shard")
+@query("repack_manifest", "SELECT shard, count(*) AS n_passages, count(DISTINCT l_orderkey) AS n_papers, count(*) FILTER (WHERE l_returnflag = 'R') AS n_returned FROM (SELECT l_orderkey, l_returnflag, (row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1) // 25000 AS shard FROM lineitem) GROUP BY shard")
 def repack_manifest(spark, d):
     from quern.operators.repack import shard_rows
 
-    rows = shard_rows(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], 25_000)
-    return rows.groupBy("shard").agg(F.count("*").alias("n_passages"), F.countDistinct("l_orderkey").alias("n_papers"))
+    rows = shard_rows(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), ["l_orderkey", "l_linenumber"], 25_000)
+    return rows.groupBy("shard").agg(F.count("*").alias("n_passages"), F.countDistinct("l_orderkey").alias("n_papers"), F.count_if(F.col("l_returnflag") == "R").alias("n_returned"))
 
 
 @query("latest_version", "SELECT p_brand, max(p_size) AS minor, '0.' || max(p_size) || '.1' AS version FROM part GROUP BY p_brand")
@@ -382,7 +409,7 @@ def contested_alias_drop(spark, d):
 def brand_derivation(spark, d):
     t = table(spark, d, "part").select(F.col("p_brand").alias("maker"), F.regexp_extract("p_type", "^[A-Za-z]+", 0).alias("w")).where("length(w) >= 4")
     n = t.groupBy("maker", "w").agg(F.count("*").alias("n"))
-    return n.groupBy("maker", F.lower("w").alias("brand")).agg(F.max_by("w", "n").alias("spelling"), F.sum("n").alias("n")).where("n >= 5")
+    return n.groupBy("maker", F.lower("w").alias("brand")).agg(F.max_by("w", F.struct("n", "w")).alias("spelling"), F.sum("n").alias("n")).where("n >= 5")
 
 
 @query("dedupe_deterministic", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1")
@@ -469,10 +496,10 @@ def topic_representatives(spark, d):
     return topics.representatives(_assigned(spark, d), "vec_id").select("topic_id", "size", F.array_join(F.transform("rep_keys", lambda x: x.cast("string")), ",").alias("reps"))
 
 
-@query("ctfidf_keywords", r"""WITH w AS (SELECT doc_id, source AS topic, regexp_extract_all(lower(text), '[a-z]{2,}') AS w FROM documents WHERE """ + _ASCII.format("text") + r"""), t AS (SELECT doc_id, topic, unnest(w) AS term FROM w UNION ALL SELECT doc_id, topic, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w), pd AS (SELECT topic, doc_id, term, count(*) AS c FROM t GROUP BY ALL), cm AS (SELECT term, sum(c) AS f FROM pd GROUP BY 1 HAVING count(*) >= 10), ct AS (SELECT topic, term, sum(c) AS tf, max(f) AS f FROM pd JOIN cm USING (term) GROUP BY 1, 2), sz AS (SELECT topic, sum(tf) AS al FROM ct GROUP BY 1), sc AS (SELECT topic, term, tf / al * ln(1 + (SELECT avg(al) FROM sz) / f) AS score FROM ct JOIN sz USING (topic))
+@query("ctfidf_keywords", r"""WITH w AS (SELECT doc_id, source AS topic, regexp_extract_all(lower(text), '[a-z]{2,}') AS w FROM documents), t AS (SELECT doc_id, topic, unnest(w) AS term FROM w UNION ALL SELECT doc_id, topic, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w), pd AS (SELECT topic, doc_id, term, count(*) AS c FROM t GROUP BY ALL), cm AS (SELECT term, sum(c) AS f FROM pd GROUP BY 1 HAVING count(*) >= 10), ct AS (SELECT topic, term, sum(c) AS tf, max(f) AS f FROM pd JOIN cm USING (term) GROUP BY 1, 2), sz AS (SELECT topic, sum(tf) AS al FROM ct GROUP BY 1), sc AS (SELECT topic, term, tf / al * ln(1 + (SELECT avg(al) FROM sz) / f) AS score FROM ct JOIN sz USING (topic))
  SELECT topic, CAST(r AS INTEGER) AS rank, term FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(score, 10) DESC, term) AS r FROM sc) WHERE r <= 10""")
 def ctfidf_keywords(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select(F.col("source").alias("topic"), "text")
+    docs = table(spark, d, "documents").select(F.col("source").alias("topic"), "text")
     return topics.class_keywords(docs, "topic", "text").select("topic", "rank", "term")
 
 
@@ -492,7 +519,7 @@ def rule_extractor(spark, d):
 # ---- flagship --------------------------------------------------------------------------------
 
 
-@query("prevalence_by_language", f"WITH {_RESCUE} SELECT d.lang, count(*) AS n, round(avg(CASE WHEN k.doc_id IS NOT NULL THEN 1 ELSE 0 END), 6) AS share FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM kept) k USING (doc_id) WHERE {_ASCII.format('d.text')} GROUP BY d.lang HAVING count(*) >= 20")
+@query("prevalence_by_language", f"WITH {_RESCUE} SELECT d.lang, count(*) AS n, round(avg(CASE WHEN k.doc_id IS NOT NULL THEN 1 ELSE 0 END), 6) AS share FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM kept) k USING (doc_id) GROUP BY d.lang HAVING count(*) >= 20")
 def prevalence_by_language(spark, d):
     """Documents with lexicon mentions, by language: segmentation, matching, gates, rescue, prevalence."""
     docs, paras = _papers_of_text(spark, d)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quern.plans import catalogue
@@ -22,7 +23,7 @@ def sql():
 
 def rows(frame, columns):
     def plain(v):
-        if v is None or v != v:
+        if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)):
             return None
         if hasattr(v, "item"):
             v = v.item()

@@ -120,3 +120,29 @@ def test_lexicon_files(tmp_path):
     tax = tmp_path / "tax.yaml"
     tax.write_text("groups: {Physics: [hep-th, quant-ph]}\nlegacy: {acc-phys: hep-th}\n")
     assert load_taxonomy(tax) == {"hep-th": "Physics", "quant-ph": "Physics", "acc-phys": "Physics"}
+
+
+def test_long_paragraphs_are_cut_around_their_matches(spark):
+    """The passage of a long paragraph, against its definition in plain Python."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(6):
+        word = lambda n: " ".join("abcdefg"[: rng.randint(1, 7)] for _ in range(n))
+        texts = [word(rng.randint(20, 60)), f"{word(rng.randint(1, 700))} AX 100 {word(rng.randint(1, 90))} K9 and training {word(rng.randint(1, 700))}", word(80)]
+        (before, text, after), (start, end) = texts, (texts[1].index("AX 100"), texts[1].index("K9") + 2)
+        _, found = scan(spark, *texts)
+        first = max(0, min((start + end) // 2 - 1250, len(text) - 2500)) if len(text) > 2500 else 0
+        core = text[first : first + 2500]
+        room = 2500 - len(core)
+        tail = before[-(room // 2) :] if room > 40 else ""
+        head = after[: room - len(tail)] if room > 40 else ""
+        assert found[0]["passage_text"] == (tail + "\n" if tail else "") + core + ("\n" + head if head else "")
+        for surface, a, b in zip(found[0]["matched_surfaces"], found[0]["match_starts"], found[0]["match_ends"], strict=True):
+            assert found[0]["passage_text"][a:b] == surface
+
+
+def test_words_of_all_scripts_end_at_their_borders(spark):
+    assert found("éAX 100") == [] and found("AX 100é") == [("ax", "AX")] and found("« AX 100 »") == [("ax100", "AX 100")] and found("日AX 100") == []
+    inv, got = scan(spark, "naïve AX 100, élan; ÀAX 100 and AX 100ß", "x" * 40, "y" * 40)
+    assert [len(r["matched_models"]) for r in got] == [2]

@@ -6,6 +6,7 @@ import json
 import tarfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.corpus import get_corpus, latest_version, pending
 from quern.operators import extract
@@ -29,12 +30,34 @@ def tar_of(files: dict[str, bytes]) -> bytes:
 
 @pytest.mark.parametrize(
     ("data", "reason"),
-    [(b"", "corrupt"), (b"%PDF-1.4", "pdf_only"), (b"%!PS", "postscript"), (b"plain", "not_gzip"), (gz(b"%PDF"), "pdf_only"), (gz(b"  "), "no_tex"), (gz(b"x")[:-6], "corrupt"), (gz(tar_of({"a.bbl": b"x"})), "no_tex"), (gz(b"\\doc"), "")],
+    [(b"", "corrupt"), (b"%PDF-1.4", "pdf_only"), (b"%!PS", "postscript"), (b"plain", "not_gzip"), (gz(b"%PDF"), "pdf_only"), (gz(b"  "), ""), (gz(b"x")[:-6], "corrupt"), (gz(tar_of({"a.bbl": b"x"})), "no_tex"), (gz(b"\\doc"), "")],
 )
 def test_unpack(data, reason):
     assert archives.unpack("a.gz", data)[1] == reason
 
 
+def old_tar(files: dict[str, bytes]) -> bytes:
+    """Without the mark of later formats; checksums count the mark as blanks do."""
+    data = bytearray(tar_of(files))
+    at = 0
+    for content in files.values():
+        data[at + 257 : at + 265] = b"\0" * 8
+        data[at + 148 : at + 156] = b" " * 8
+        data[at + 148 : at + 156] = b"%06o\0 " % sum(data[at : at + 512])
+        at += 512 + -(-len(content) // 512) * 512
+    return bytes(data)
+
+
+def test_unpack_of_plain_files():
+    assert archives.unpack("0704/x.tex", b"\\documentclass...") == ({"x.tex": b"\\documentclass..."}, "")
+    assert archives.unpack("0704/x.gz", gz(b"Hello")) == ({"x.tex": b"Hello"}, "")
+    inner = {"m.tex": b"A", "x.bbl": b"B", "README": b"C", "s.sty": b"D"}
+    for data in (tar_of(inner), gz(tar_of(inner)), gz(old_tar(inner))):
+        assert archives.unpack("a/1.gz", data) == ({"m.tex": b"A", "s.sty": b"D"}, "")
+    assert archives.unpack("x.gz", gz(tar_of({"fig.eps": b"%!PS"}))) == ({}, "no_tex")
+    assert [archives.content_kind(*x) for x in (("paper.tex", b"%PDF-1.4"), ("a", b"\x1f\x8b\x08"), ("paper.tex", b"x"), ("m.dat", b"\0\1"))] == ["pdf", "gzip", "text", "unknown"]
+
+
 def test_assemble():
     source, stats = archives.assemble({"b.tex": b"short", "a.tex": rb"x\begin{document}longer body\end{document}y", "c.sty": b"no", "l.tex": "caf\xe9".encode("latin-1")})
     assert source == "longer body\n\nshort\n\ncafé"
@@ -85,11 +108,36 @@ def test_metadata(spark, tmp_path):
 
 
 def test_answers(spark):
-    rows = [(1, '{"mentions": []}', False), (2, "{", False), (3, '{"mentions": [{"model_raw": "x", "usage_context": "unclear", "device_count": 99999999999}]}', False), (4, "{}", True), (5, None, False), (6, '{"mentions": [{"model_raw": "x", "usage_context": "eaten"}]}', False)]
+    good = {"model_raw": "AX 100", "model_normalized": None, "manufacturer": "nvidia", "accelerator_subtype": "tpu", "device_count": 99999999999, "device_count_basis": "explicit", "memory_gb": 32, "usage_context": "used-in-this-work", "evidence_quote": "q", "more": 1}
+    answer = lambda **more: json.dumps({"mentions": [good | more]})
+    broken = [answer(usage_context="used_in_this_work"), answer(manufacturer="NVIDIA"), answer(manufacturer=None), answer(device_count=1.5), answer(device_count_basis="guessed"), answer(memory_gb="much"), json.dumps({"mentions": [{k: v for k, v in good.items() if k != "memory_gb"}]}), '{"mentions": [1]}', "[]"]
+    rows = [(1, '{"mentions": []}', False), (2, "{", False), (3, answer(), False), (4, "{}", True), (5, None, False), (6, "{}", False), (7, answer(device_count=None, device_count_basis=None, memory_gb=None), False)] + [(10 + k, x, False) for k, x in enumerate(broken)]
     parsed = extract.parse_answers(spark.createDataFrame(rows, "k int, raw string, cut boolean"), "raw", "cut")
-    assert {r["k"]: r["status"] for r in parsed.collect()} == {1: "no_mention", 2: "json_error", 3: "ok", 4: "truncated", 5: "json_error", 6: "json_error"}
+    assert {r["k"]: r["status"] for r in parsed.collect()} == {1: "no_mention", 2: "json_error", 3: "ok", 4: "truncated", 5: "json_error", 6: "json_error", 7: "ok"} | {10 + k: "json_error" for k in range(len(broken))}
     out = {r["k"]: r for r in extract.mention_rows(parsed, "k").collect()}
-    assert len(out) == 6 and out[3]["device_count"] == 2147483647 and out[1]["model_raw"] is None
+    assert len(out) == 7 + len(broken) and out[3]["device_count"] == 2147483647 and out[1]["model_raw"] is None
+    assert (out[3]["device_count_basis"], out[3]["memory_gb"], out[7]["device_count"]) == ("explicit", 32.0, None)
+    # The stages in a row: answers, canonical models, capacity.
+    from quern.operators import capacity, matching
+    from tests.test_matching import LEXICON
+
+    asked = parsed.withColumn("paper_id", F.concat(F.lit("p"), F.col("k") % 2))
+    resolved = matching.canonicalise(extract.mention_rows(asked, "k", "paper_id"), "model_raw", LEXICON)
+    years = spark.createDataFrame([("p1", 2020)], "paper_id string, year int")
+    specs = spark.createDataFrame([("ax100", 2017, 10.0, None, 5.0, 16.0, 300.0, "x")], "model string, release_year int, fp32 double, fp64 double, tensor double, vram_gb double, tdp double, segment string")
+    papers = {policy: capacity.paper_capacity(capacity.per_model(capacity.winsorised(capacity.used_models(resolved, years), policy), specs)).collect() for policy in ("floor1", "explicit")}
+    assert [(r["paper"], r["max_devices"], r["reported_fp32"], r["reported_vram"]) for r in papers["floor1"]] == [("p1", 65536.0, 655360.0, 32.0 * 65536)]
+    assert len(papers["explicit"]) == 1
+    assert capacity.winsorised(capacity.used_models(resolved, years), "explicit").count() == 1
+
+
+def test_repacked_shards_are_full(spark):
+    from quern.operators.repack import shard_rows
+
+    rows = spark.range(0, 200_000, 1, 8).select(F.xxhash64("id").alias("k"), F.concat(F.lit("text "), "id").alias("text"), F.repeat(F.lit("x"), 40).alias("more"))
+    got = shard_rows(rows, ["k"], 2500, ranges=64)
+    counts = {r["shard"]: (r["n"], r["least"], r["most"]) for r in got.groupBy("shard").agg(F.count("*").alias("n"), F.min("k").alias("least"), F.max("k").alias("most"), F.max("text")).collect()}
+    assert [counts[s][0] for s in range(80)] == [2500] * 80 and all(counts[s][2] < counts[s + 1][1] for s in range(79))
 
 
 def test_versions_and_ledger(spark, tmp_path):

