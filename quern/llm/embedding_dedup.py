@@ -3,8 +3,9 @@
 Centres are fitted on a bounded sample; they decide what the join costs, not what it finds.  A vector
 lives in the cell of its nearest centre and visits every other cell whose bisector with its own lies
 within half of the threshold angle: of two vectors within that angle that live in different cells, at
-least one is that near to the bisector, so every link is seen in some cell.  Inside a cell, rows are
-dealt into blocks of bounded size and each pair of blocks is one matrix product.  A product returns
+least one is that near to the bisector, so every link is seen in some cell.  Inside a cell, those who
+live there and those who visit are dealt into blocks of bounded size, and each pair of blocks with one
+of inhabitants is one matrix product: visitors never meet.  A product returns
 link counts per row and the edges of a spanning forest, never all its pairs.
 
 Equal vectors of one label are one node with a count, so exact copies are never multiplied.
@@ -24,11 +25,11 @@ from quern.llm.simhash import _forest
 from quern.llm.storage import materialize
 
 THRESHOLD = 0.93
-#: Vectors that the centres are fitted on, at most.
-SAMPLE_ROWS = 20_000
+#: Vectors that the centres are fitted on: so many to a cell, within these bounds.
+SAMPLE_PER_CELL, LEAST_SAMPLE, MOST_SAMPLE = 64, 4096, 65_536
 #: Nodes to a cell, about, and cells at most.
 CELL_NODES = 4096
-MOST_CELLS = 256
+MOST_CELLS = 1024
 #: Rows of one side of a product.
 BLOCK_ROWS = 1024
 
@@ -45,7 +46,7 @@ def fit_centres(unit: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np
     rng = np.random.default_rng(seed)
     centres = unit[rng.choice(len(unit), min(k, len(unit)), replace=False)]
     for _ in range(rounds):
-        home = (unit @ centres.T).argmax(axis=1)
+        home = np.concatenate([(unit[at : at + 4096] @ centres.T).argmax(axis=1) for at in range(0, len(unit), 4096)])
         sums = np.zeros_like(centres)
         np.add.at(sums, home, unit)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -53,14 +54,18 @@ def fit_centres(unit: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np
     return np.unique(centres, axis=0)
 
 
-def cells_of(unit: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def margins(centres: np.ndarray, threshold: float) -> np.ndarray:
+    """How much nearer to its own centre than to another a vector may be and still visit the other: the
+    distance of the centres times the sine of half of the threshold angle."""
+    gaps = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 0))
+    return gaps * math.sin(math.acos(threshold) / 2) + 1e-7
+
+
+def cells_of(unit: np.ndarray, centres: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(home cell, matrix of visited cells) of unit rows."""
     dots = unit @ centres.T
     home = dots.argmax(axis=1)
-    gaps = np.linalg.norm(centres[:, None] - centres[None], axis=2)
-    margin = np.take_along_axis(dots, home[:, None], 1) - dots
-    # sine of the angle to the bisector, against that of half of the threshold angle
-    visits = margin <= gaps[home] * (math.sin(math.acos(threshold) / 2) + 1e-9)
+    visits = np.take_along_axis(dots, home[:, None], 1) - dots <= within[home]
     visits[np.arange(len(unit)), home] = False
     return home, visits
 
@@ -98,14 +103,15 @@ def representatives(vectors: DataFrame, links: DataFrame, id_col: str = "vec_id"
 
 
 def _centres(nodes: DataFrame) -> dict[int, np.ndarray]:
-    """Centres for every length of vector, fitted on at most SAMPLE_ROWS vectors of that length."""
+    """Centres for every length of vector, fitted on at most MOST_SAMPLE vectors of that length."""
     found = {}
     for length, n in ((r[0], r[1]) for r in nodes.groupBy(F.size("vec")).count().collect()):
         k = int(min(MOST_CELLS, max(1, n // CELL_NODES)))
         if k == 1:
             found[length] = np.eye(1, length)
             continue
-        sample = nodes.where(F.size("vec") == length).select("vec").sample(fraction=min(1.0, SAMPLE_ROWS / n), seed=3).limit(SAMPLE_ROWS).toArrow()
+        rows = min(MOST_SAMPLE, max(LEAST_SAMPLE, SAMPLE_PER_CELL * k))
+        sample = nodes.where(F.size("vec") == length).select("vec").sample(fraction=min(1.0, rows / n), seed=3).limit(rows).toArrow()
         found[length] = fit_centres(unit_rows(np.array(sample.column(0).to_pylist())), k)
     return found
 
@@ -115,12 +121,13 @@ def _products(nodes: DataFrame, centres: dict[int, np.ndarray], threshold: float
     kind, label = nodes.schema["vec"].dataType.simpleString(), nodes.schema["label"].dataType.simpleString()
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        within = {length: margins(found, threshold) for length, found in centres.items()}
         for batch in batches:
             lengths = np.diff(batch.column(3).offsets.to_numpy())
             for length in np.unique(lengths).tolist():
                 part = batch.take(pa.array(np.nonzero(lengths == length)[0]))
                 unit = unit_rows(part.column(3).flatten().to_numpy().reshape(-1, length))
-                home, visits = cells_of(unit, centres[length], threshold)
+                home, visits = cells_of(unit, centres[length], within[length])
                 row, cell = np.nonzero(visits)
                 every = np.concatenate([np.arange(len(home)), row])
                 taken = part.take(pa.array(every))
@@ -132,8 +139,13 @@ def _products(nodes: DataFrame, centres: dict[int, np.ndarray], threshold: float
     placed = nodes.select("node", "label", "copies", "vec").mapInArrow(assign, f"node long, label {label}, copies long, vec {kind}, length int, cell int, home int, visits array<int>")
     placed = materialize(placed, "vector-cells")
     key = ["label", "length", "cell"]
-    sizes = placed.groupBy(key).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"), F.count_if(F.col("cell") == F.col("home")).alias("homes"), F.count("*").alias("all")).where("homes > 0 and all > 1").select(*key, "blocks")
-    units = placed.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lives = F.col("cell") == F.col("home")
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    sizes = placed.groupBy(key).agg(blocks(F.count_if(lives)).alias("homes"), blocks(F.count_if(~lives)).alias("guests"), F.count("*").alias("all")).where("homes > 0 and all > 1").drop("all")
+    # Blocks of inhabitants first: they meet all blocks, those of visitors only them.
+    block = F.when(lives, F.pmod(F.xxhash64("node"), F.col("homes"))).otherwise(F.col("homes") + F.pmod(F.xxhash64("node"), F.col("guests"))).cast("int")
+    meets = F.when(lives, F.col("homes") + F.col("guests")).otherwise(F.col("homes"))
+    units = placed.join(sizes, key).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1)))
     units = units.select(*key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "home", "visits", "vec")
 
     def multiply(key_values: tuple, table: pa.Table) -> pa.Table:

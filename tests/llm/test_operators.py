@@ -429,6 +429,38 @@ def test_quality_facts():
     assert quality.TextFacts(None).n_words == 0
 
 
+def brute_quality(text):
+    """Counts and verdict of a text, straight from the definitions."""
+    import re
+
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    dup = sum(x in lines[:k] for k, x in enumerate(lines))
+    win = [w[k : k + 5] for k in range(len(w) - 4)]
+    covered = {k + i for k, x in enumerate(win) for i in range(5) if any(x == y for j, y in enumerate(win) if j != k)}
+    chars, symbols = sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text))
+    base = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+    upper, lower = len(re.findall("[A-Z]", text)), len(re.findall("[a-z]", text))
+    size = lambda x: len(x.encode())
+    bad = 10 * symbols > len(w) or 10 * dup > 3 * len(lines) or (len(w) >= 10 and upper > 0.3 * max(1, upper + lower)) or (w and not 2 * len(w) <= chars <= 20 * len(w)) or sum(size(x) for x in w if size(x) > 40) > 0.3 * max(1, sum(map(size, w)))
+    return len(w), chars, symbols, dup, len(covered), base, not base and not bad
+
+
+def test_quality_of_a_table(spark):
+    rng = random.Random(41)
+    texts = ["", None, " \n", "\x1c\x85 a\u3000b", "word " * 5000, "é" * 3000, "A B " * 60]
+    for _ in range(150):
+        lines = [words(rng, rng.randint(0, 12), rng.choice([3, 30, 10**6])) for _ in range(rng.randint(1, 8))]
+        lines += [rng.choice(lines)] * rng.choice([0, 0, 1, 3])
+        texts.append(rng.choice(["\n", "\n \n", "\x0b\n"]).join(lines).replace("w1", rng.choice(["w1", "W1", "#", "é1", "x" * 45])))
+    texts += texts[:20]
+    got = {r["doc_id"]: tuple(r)[1:] for r in quality.quality_report(table(spark, texts)).collect()}
+    want = {k: brute_quality(t) for k, t in enumerate(texts)}
+    assert got == want and 20 < sum(v[-1] for v in want.values()) < 150
+    assert sorted(r["doc_id"] for r in quality.filter_documents(table(spark, texts)).collect()) == [k for k, v in want.items() if v[-1]]
+
+
 def test_cascade(spark):
     rng = random.Random(3)
     clean = [words(rng, 80, 10**6) for _ in range(20)]
