@@ -150,6 +150,44 @@ def test_mix(spark):
     assert all(r["text"] in text[r["doc_id"]] for r in mixed)
 
 
+def test_mix_against_its_definition(spark):
+    """Slots, blocks and shares counted from the mixed texts alone."""
+    rng, b = random.Random(52), 16
+    sources = ["b", "a", None, "é"]
+    texts = [words(rng, rng.choice([1, 5, 40, 400]), 10**6) for _ in range(160)] + [words(rng, 3000, 10**6), None, ""]
+    docs = table(spark, texts, sources)
+    size = Counter()
+    for k, text in enumerate(texts):
+        size[sources[k % 4]] += len((text or "").split())
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight, full, total = dict(zip(order, (5, 2, 1, 5), strict=True)), set(), sum(size.values())
+    while True:
+        left, shares = total - sum(3 * size[s] for s in full), sum(weight[s] for s in order if s not in full)
+        target = {s: 3 * size[s] if s in full else left * weight[s] / shares for s in order}
+        if not (above := {s for s in order if target[s] > 3 * size[s]}):
+            break
+        full |= above
+    slots = {}
+    for r in mixing.mix_documents(docs, block_words=b).collect():
+        slots.setdefault(r["slot_"], []).append(r)
+    assert sorted(slots) == list(range(len(slots)))
+    blocks = {s: Counter() for s in order}
+    for pieces in slots.values():
+        assert len({r["source"] for r in pieces}) == 1
+        blocks[pieces[0]["source"]][tuple(sorted((r["doc_id"], r["text"]) for r in pieces))] += 1
+    for s, times in blocks.items():
+        assert sum(n * sum(len(x.split()) for _, x in block) for block, n in times.items()) == pytest.approx(target[s], abs=b)
+        assert max(times.values()) - (min(times.values()) if len(times) == -(-size[s] // b) else 0) <= 1
+        assert sum(sum(len(x.split()) for _, x in block) < b for block in times) <= 1
+        once = Counter()
+        for block in times:
+            for k, x in block:
+                once[k] += len(x.split())
+        assert all(n <= len(texts[k].split()) for k, n in once.items())
+        if min(times.values()) > 0 and len(times) == -(-size[s] // b):
+            assert sum(once.values()) == size[s]
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix_report(table(spark, [])).count() == 0
     assert mixing.mix_documents(table(spark, [None, ""])).count() == 0
