@@ -22,6 +22,7 @@ class Corpus:
     name: str
     key: str
     key_type: str
+    citations: bool = False
 
     def path(self, root: str, product: str, **version: str) -> str:
         """Folder of a product: root/product/corpus=.../partition=.../..."""
@@ -34,7 +35,7 @@ class Corpus:
         return f"{root.rstrip('/')}/{product}/corpus={self.name}{parts}"
 
 
-CORPORA = {c.name: c for c in (Corpus("s2orc", "corpusid", "bigint"), Corpus("arxiv", "paper_id", "string"))}
+CORPORA = {c.name: c for c in (Corpus("s2orc", "corpusid", "bigint", citations=True), Corpus("arxiv", "paper_id", "string"))}
 
 
 def get_corpus(name: str) -> Corpus:

@@ -15,9 +15,9 @@ AXES = ("fp32", "fp64", "tensor")
 def used_models(rows: DataFrame, years: DataFrame) -> DataFrame:
     """(paper, year, model, device_count, device_count_basis, memory_gb): mention rows (paper_id, status,
     usage_context, canonical_model and what the answer says) that are ok, in use and resolved, with
-    ``years`` (paper_id, year)."""
+    ``years`` (paper_id, year); a paper without a year has a null one and the general cap."""
     used = rows.where((F.col("status") == "ok") & (F.col("usage_context") == USED) & F.col("canonical_model").isNotNull())
-    return used.join(years, "paper_id").select(F.col("paper_id").alias("paper"), "year", F.col("canonical_model").alias("model"), "device_count", "device_count_basis", F.col("memory_gb").cast("double").alias("memory_gb"))
+    return used.join(years, "paper_id", "left").select(F.col("paper_id").alias("paper"), "year", F.col("canonical_model").alias("model"), "device_count", "device_count_basis", F.col("memory_gb").cast("double").alias("memory_gb"))
 
 
 def yearly_caps(mentions: DataFrame) -> DataFrame:
@@ -49,8 +49,8 @@ def per_model(counted: DataFrame, specs: DataFrame) -> DataFrame:
     return models.join(specs, "model", "left").withColumn("vram_eff", F.coalesce("memory_gb", "vram_gb"))
 
 
-def paper_capacity(models: DataFrame) -> DataFrame:
-    """One row per paper.
+def paper_capacity(models: DataFrame, datacenter: str = "datacenter", consumer: str = "consumer") -> DataFrame:
+    """One row per paper; ``datacenter`` and ``consumer`` name two segments.
 
     An axis adds what is known (a model without the specification adds nothing) and is null only if no
     model has it; power is null where unknown too.
@@ -59,20 +59,24 @@ def paper_capacity(models: DataFrame) -> DataFrame:
         return F.sum(F.col("n_dev") * F.col(spec))
 
     sums = [total(a).alias(f"reported_{a}") for a in AXES] + [F.bool_and(F.col(a).isNull()).alias(f"spec_missing_{a}") for a in AXES]
+    sums.append(F.bool_and(F.col("vram_eff").isNull()).alias("spec_missing_vram"))
     flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     return models.groupBy("paper").agg(
         *sums, total("vram_eff").alias("reported_vram"), total("tdp").alias("reported_tdp"), F.max("n_dev").alias("max_devices"), F.sum("n_dev").alias("total_devices"), F.countDistinct("model").alias("n_models"),
-        F.max("release_year").alias("newest_release"), F.min("release_year").alias("oldest_release"), flag(F.col("segment") == "STANDARD").alias("any_datacenter"), flag(F.col("segment") == "SMALL").alias("any_consumer"), flag(F.col("tensor").isNotNull()).alias("tensor_capable"),
+        F.max("release_year").alias("newest_release"), F.min("release_year").alias("oldest_release"), flag(F.col("segment") == datacenter).alias("any_datacenter"), flag(F.col("segment") == consumer).alias("any_consumer"), flag(F.col("tensor").isNotNull()).alias("tensor_capable"),
     )
 
 
-def paper_flags(mentions: DataFrame) -> DataFrame:
-    """One row per paper with an ok mention: what it mentions and what it uses."""
+def paper_flags(mentions: DataFrame, specific: Column | None = None) -> DataFrame:
+    """One row per paper with an ok mention: what it mentions and what it uses.
+
+    ``specific`` holds for mentions of a certain model; without it, of one with a release year."""
+    specific = F.col("release_year").isNotNull() if specific is None else specific
     ok = mentions.where("status = 'ok'")
     used = F.col("usage_context") == USED
     flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     return ok.groupBy("paper").agg(
-        F.lit(True).alias("accel_any"), flag(used).alias("accel_used"), flag(F.col("release_year").isNotNull()).alias("model_specific"), flag(used & F.col("release_year").isNotNull()).alias("model_specific_used"),
-        F.count("*").alias("n_mentions"), F.countDistinct("model").alias("n_models"), F.array_sort(F.collect_set("vendor")).alias("vendors"), F.array_sort(F.collect_set("usage_context")).alias("contexts"),
+        F.lit(True).alias("accel_any"), flag(used).alias("accel_used"), flag(specific).alias("model_specific"), flag(used & specific).alias("model_specific_used"),
+        F.count("*").alias("n_mentions"), F.countDistinct(F.when(specific, F.col("model"))).alias("n_models"), F.array_sort(F.collect_set("vendor")).alias("vendors"), F.array_sort(F.collect_set("usage_context")).alias("contexts"),
         F.max(F.when(used, F.col("release_year"))).alias("newest_used"), F.min(F.when(used, F.col("release_year"))).alias("oldest_used"), F.max(F.when(used, F.col("device_count"))).alias("max_device_count"),
     ).withColumn("generic_only", ~F.col("model_specific"))

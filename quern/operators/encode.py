@@ -41,6 +41,14 @@ def encode(texts: DataFrame, key: str, load: Callable[[], Callable[[list[str]],
     return texts.select(key, "text").mapInArrow(run, f"{key} {kind}, embedding array<float>")
 
 
+def aligned(embeddings: DataFrame, abstracts: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+    """(key, vector, text): one row per key of all chunks (of repeated keys the least vector) with its
+    abstract, empty where there is none."""
+    once = embeddings.groupBy(key).agg(F.min(vector).alias(vector))
+    texts = abstracts.groupBy(key).agg(F.min("abstract").alias("abstract"))
+    return once.join(texts, key, "left").select(key, vector, F.coalesce("abstract", F.lit("")).alias("text"))
+
+
 def hashing_encoder(size: int) -> Callable[[], Callable[[list[str]], list[list[float]]]]:
     """A deterministic stand-in for a model: signed counts of hashed words, of unit length."""
 

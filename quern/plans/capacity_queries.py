@@ -15,7 +15,7 @@ MODELS = WINSOR + """, models AS (
   FROM (SELECT paper, model, max(n_dev) AS n_dev, max(memory_gb) AS mem FROM counted GROUP BY paper, model) c LEFT JOIN specs s USING (model))"""
 CAPACITY = MODELS + """, capacity AS (
   SELECT paper, sum(n_dev * fp32) AS reported_fp32, sum(n_dev * fp64) AS reported_fp64, sum(n_dev * tensor) AS reported_tensor,
-         bool_and(fp32 IS NULL) AS spec_missing_fp32, bool_and(fp64 IS NULL) AS spec_missing_fp64, bool_and(tensor IS NULL) AS spec_missing_tensor,
+         bool_and(fp32 IS NULL) AS spec_missing_fp32, bool_and(fp64 IS NULL) AS spec_missing_fp64, bool_and(tensor IS NULL) AS spec_missing_tensor, bool_and(vram_eff IS NULL) AS spec_missing_vram,
          sum(n_dev * vram_eff) AS reported_vram, sum(n_dev * tdp) AS reported_tdp, max(n_dev) AS max_devices, sum(n_dev) AS total_devices, count(DISTINCT model) AS n_models,
          max(release_year) AS newest_release, min(release_year) AS oldest_release, coalesce(bool_or(segment = 'STANDARD'), false) AS any_datacenter, coalesce(bool_or(segment = 'SMALL'), false) AS any_consumer, coalesce(bool_or(tensor IS NOT NULL), false) AS tensor_capable
   FROM models GROUP BY paper), cap_year AS (SELECT c.*, p.year, p.field FROM capacity c JOIN papers p USING (paper))"""
@@ -23,7 +23,7 @@ CAPACITY = MODELS + """, capacity AS (
 
 def _capacity(spark, d):
     models = capacity.per_model(capacity.winsorised(used_mentions(spark, d)), specs(spark, d))
-    return capacity.paper_capacity(models)
+    return capacity.paper_capacity(models, "STANDARD", "SMALL")
 
 
 def _capacity_years(spark, d):
@@ -59,9 +59,9 @@ def capacity_partial_sums(spark, d):
     return c.select("paper", *[F.round(f"reported_{a}", 3).alias(a) for a in ("fp32", "fp64", "tensor")], F.col("reported_vram").alias("vram"), F.col("reported_tdp").alias("tdp"), "max_devices", "total_devices", "n_models", "newest_release", "oldest_release", "any_datacenter", "any_consumer", "tensor_capable")
 
 
-@query("spec_missing_flags", twin("SELECT paper, spec_missing_fp32, spec_missing_fp64, spec_missing_tensor FROM capacity", CAPACITY))
+@query("spec_missing_flags", twin("SELECT paper, spec_missing_fp32, spec_missing_fp64, spec_missing_tensor, spec_missing_vram FROM capacity", CAPACITY))
 def spec_missing_flags(spark, d):
-    return _capacity(spark, d).select("paper", "spec_missing_fp32", "spec_missing_fp64", "spec_missing_tensor")
+    return _capacity(spark, d).select("paper", "spec_missing_fp32", "spec_missing_fp64", "spec_missing_tensor", "spec_missing_vram")
 
 
 @query("spec_coverage_by_year", twin("SELECT year, round(avg(CASE WHEN spec_missing_fp32 THEN 0 ELSE 1 END), 6) AS fp32, round(avg(CASE WHEN spec_missing_fp64 THEN 0 ELSE 1 END), 6) AS fp64, round(avg(CASE WHEN spec_missing_tensor THEN 0 ELSE 1 END), 6) AS tensor FROM cap_year GROUP BY year", CAPACITY))
@@ -117,7 +117,7 @@ def capacity_policy_comparison(spark, d):
     return first.join(second, "year")
 
 
-_FLAGS = "flags AS (SELECT paper, true AS accel_any, coalesce(bool_or(usage_context = 'used-in-this-work'), false) AS accel_used, coalesce(bool_or(release_year IS NOT NULL), false) AS model_specific, coalesce(bool_or(usage_context = 'used-in-this-work' AND release_year IS NOT NULL), false) AS model_specific_used, count(*) AS n_mentions, count(DISTINCT model) AS n_models, array_to_string(list_sort(list(DISTINCT vendor) FILTER (WHERE vendor IS NOT NULL)), ',') AS vendors, array_to_string(list_sort(list(DISTINCT usage_context)), ',') AS contexts, max(release_year) FILTER (WHERE usage_context = 'used-in-this-work') AS newest_used, min(release_year) FILTER (WHERE usage_context = 'used-in-this-work') AS oldest_used, max(device_count) FILTER (WHERE usage_context = 'used-in-this-work') AS max_device_count FROM enriched WHERE status = 'ok' GROUP BY paper)"
+_FLAGS = "flags AS (SELECT paper, true AS accel_any, coalesce(bool_or(usage_context = 'used-in-this-work'), false) AS accel_used, coalesce(bool_or(release_year IS NOT NULL), false) AS model_specific, coalesce(bool_or(usage_context = 'used-in-this-work' AND release_year IS NOT NULL), false) AS model_specific_used, count(*) AS n_mentions, count(DISTINCT model) FILTER (WHERE release_year IS NOT NULL) AS n_models, array_to_string(list_sort(list(DISTINCT vendor) FILTER (WHERE vendor IS NOT NULL)), ',') AS vendors, array_to_string(list_sort(list(DISTINCT usage_context)), ',') AS contexts, max(release_year) FILTER (WHERE usage_context = 'used-in-this-work') AS newest_used, min(release_year) FILTER (WHERE usage_context = 'used-in-this-work') AS oldest_used, max(device_count) FILTER (WHERE usage_context = 'used-in-this-work') AS max_device_count FROM enriched WHERE status = 'ok' GROUP BY paper)"
 
 
 def _flags(spark, d):

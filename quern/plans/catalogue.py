@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import capacity_queries, stat_queries, text_queries
+from quern.plans import capacity_queries, source_queries, stat_queries, text_queries
 from quern.plans.standins import REGISTRY
 
-MODULES = (capacity_queries, stat_queries, text_queries)
+MODULES = (capacity_queries, source_queries, stat_queries, text_queries)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -30,3 +30,16 @@ def normalise(snapshot: DataFrame, taxonomy: dict[str, str]) -> DataFrame:
         F.try_to_timestamp(created, F.lit("d MMM yyyy HH:mm:ss")).cast("date").alias("submitted"), tx.id_year(F.col("id")).alias("year"), tx.id_month(F.col("id")).alias("month"), F.coalesce(F.size("versions"), F.lit(0)).alias("n_versions"), empty(F.col("license")).alias("license"), empty(F.col("doi")).alias("doi"), empty(F.col("journal-ref")).alias("journal_ref"),
     )
     return rows.join(F.broadcast(dim), "archive", "left")
+
+
+def audit(snapshot: DataFrame, papers: DataFrame) -> dict[str, DataFrame]:
+    """What a snapshot lost: ``bad`` rows without an id (one row), ``unmapped`` archives without a field
+    with their papers, and ``agreement`` (one row): shares with field and abstract, and how often the year
+    of the id is that of the first version, among papers with both."""
+    both = F.when(F.col("year").isNotNull() & F.col("submitted").isNotNull(), (F.col("year") == F.year("submitted")).cast("int"))
+    share = lambda c: F.avg(F.col(c).isNotNull().cast("int")).alias(f"{c}_share")
+    return {
+        "bad": snapshot.agg(F.count_if(F.coalesce("id", F.lit("")) == "").alias("bad")),
+        "unmapped": papers.where("field is null").groupBy("archive").agg(F.count("*").alias("n")),
+        "agreement": papers.agg(F.count("*").alias("n"), share("field"), share("abstract"), F.avg(both).alias("year_agreement")),
+    }

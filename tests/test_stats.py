@@ -77,6 +77,6 @@ def test_capacity_adds_what_is_known(spark):
         [("p", 1, 2.0, None, "STANDARD", 2001, 10.0, None, None, 4.0, None, 4.0), ("p", 2, 1.0, None, "SMALL", None, None, None, 1.0, None, None, None)],
         "paper string, model int, n_dev double, memory_gb double, segment string, release_year int, fp32 double, fp64 double, tensor double, vram_gb double, tdp double, vram_eff double",
     )
-    row = capacity.paper_capacity(models).first()
+    row = capacity.paper_capacity(models, "STANDARD", "SMALL").first()
     assert (row["reported_fp32"], row["reported_fp64"], row["reported_tensor"], row["reported_tdp"]) == (20.0, None, 1.0, None)
     assert row["spec_missing_fp64"] and not row["spec_missing_fp32"] and row["any_datacenter"] and row["any_consumer"]
