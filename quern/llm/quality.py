@@ -215,3 +215,24 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdicts of all ``documents``; see ``quality_report``."""
     return quality_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The measures, the two base rules and the five of the cascade over whole texts.
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+parts AS (
+  SELECT r, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+placed AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM parts),
+windows AS (
+  SELECT r, i, lead(word, 4) OVER o AS fifth, concat_ws(' ', word, lead(word) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS five FROM placed WINDOW o AS (PARTITION BY r ORDER BY i)),
+again AS (SELECT r, i FROM windows WHERE fifth IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, five) > 1),
+repeated AS (SELECT r, count(DISTINCT i + k) AS n FROM again, range(5) AS x(k) GROUP BY r),
+facts AS (
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS upper, length(t) - length(regexp_replace(t, '[a-z]', '', 'g')) AS lower,
+         coalesce(list_sum(list_transform(list_filter(w, lambda x: strlen(x) > 40), lambda x: strlen(x))), 0) AS long_bytes, coalesce(list_sum(list_transform(w, lambda x: strlen(x))), 0) AS all_bytes
+  FROM parts LEFT JOIN repeated USING (r)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM facts)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR upper / greatest(1, upper + lower)::DOUBLE > 0.3::DOUBLE OR word_chars NOT BETWEEN 2 * n_words AND 20 * n_words OR long_bytes / greatest(1, all_bytes)::DOUBLE > 0.3::DOUBLE) AS kept
+FROM judged"""

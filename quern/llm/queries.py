@@ -10,7 +10,7 @@ from quern.llm.byte_bpe import op8_byte_bpe
 from quern.llm.embedding_dedup import OP3_SQL, op3_embedding_dedup
 from quern.llm.line_dedup import op5_line_dedup
 from quern.llm.mixing import op2_mixing
-from quern.llm.quality import op9_quality_rules
+from quern.llm.quality import OP9_SQL, op9_quality_rules
 from quern.llm.sharding import OP1_SQL, op1_sharding
 from quern.llm.simhash import op10_simhash
 from quern.llm.token_files import op4_token_files
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op6_warc": OP6_SQL, "op7_tool_calls": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op6_warc": OP6_SQL, "op7_tool_calls": OP7_SQL, "op9_quality_rules": OP9_SQL}
