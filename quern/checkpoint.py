@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that driver and executors share: the same rows in the same
-    partitions however often it is read, safe against lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share.
 
-    Without such a folder a session on one machine gets a temporary one; on a cluster that is an error."""
-    context = df.sparkSession.sparkContext
+    Without one a session on one machine gets a temporary folder; on a cluster that is an error."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not context.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="quern-checkpoint-")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder: the same rows in the same partitions however often it is read,
+    safe against lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
+from quern.checkpoint import shared_folder
 from quern.functions.text import slug
 from quern.operators import aliases, encode, evaluation, matching, panels
 from quern.plans.standins import enriched, mentions, papers, query, specs, table, twin
 from quern.plans.text_queries import _PLANTED_SQL, _in_sql, _planted
 from quern.sources import html_tables
+from quern.streaming import ingest
 
 # ---- specification tables --------------------------------------------------------------------
 
@@ -140,3 +144,30 @@ def gold_spans(spark, d):
     e = table(spark, d, "events")
     label = F.array(F.array(F.col("user_id").cast("string"), (F.col("user_id") + 4).cast("string"), F.when(F.col("event_id") % 2 == 0, "Hardware-Device").otherwise("Software")))
     return e.select("event_id", F.inline(evaluation.gold_spans(label))).select("event_id", F.col("start").alias("s"), F.col("end").alias("e"))
+
+
+# ---- streams ---------------------------------------------------------------------------------
+
+
+@query("stream_ingest", "SELECT event_id, user_id, CAST(len(props) AS BIGINT) AS n FROM events WHERE user_id % 2 = 0")
+def stream_ingest(spark, d):
+    """New files of the event folder, taken twice: the second run finds nothing new."""
+    base, source = _stream_folder(spark), f"{d}/event[s].parquet"  # a pattern: a stream takes no single file
+    kind = spark.read.parquet(f"{d}/events.parquet").schema
+    keep = lambda df: df.where("user_id % 2 = 0").select("event_id", "user_id", F.length("props").cast("bigint").alias("n"))
+    for _ in range(2):
+        ingest.ingest_new(spark, source, kind, f"{base}/rows", f"{base}/state", keep)
+    return spark.read.parquet(f"{base}/rows")
+
+
+@query("stream_hourly", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, user_id % 10 AS part, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_hourly(spark, d):
+    base, kind = _stream_folder(spark), spark.read.parquet(f"{d}/events.parquet").schema
+    events = spark.readStream.schema(kind).parquet(f"{d}/event[s].parquet")
+    timed = events.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 10).alias("part"))
+    out = ingest.run_to_end(ingest.windowed_counts(timed, "ts", "part"), f"{base}/counts", f"{base}/state")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "part", "n")
+
+
+def _stream_folder(spark) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"

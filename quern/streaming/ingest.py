@@ -20,6 +20,13 @@ def ingest_new(spark: SparkSession, source: str, schema: str, target: str, check
     return spark.read.parquet(target).count()
 
 
+def run_to_end(result: DataFrame, target: str, checkpoint: str) -> DataFrame:
+    """Run an aggregated stream over what there is; every trigger replaces the table at ``target``."""
+    query = result.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    query.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(target)).start().awaitTermination()
+    return result.sparkSession.read.schema(result.schema).parquet(target)
+
+
 def windowed_counts(events: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Extension: counts per key and tumbling window, with late events up to the watermark."""
     return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
