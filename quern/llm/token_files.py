@@ -27,6 +27,10 @@ from quern.llm.storage import materialize, new_folder, small_batches
 END_ID = 2
 #: UTF-8 bytes of text in a shard, about.
 SHARD_BYTES = 8_000_000
+#: Ranges of ids that a table is cut into at most; the driver holds a sample of 100 keys for each.
+MOST_RANGES = 20_000
+#: Shards of one range are numbered within this many bits.
+RANGE_BITS = 24
 #: Parts of words whose ids a worker remembers, in each of two generations.
 REMEMBERED = 300_000
 #: Shards whose starts are summed by one task.
@@ -174,8 +178,9 @@ def write_token_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Encode every whole text, append ``end_id``, write shard files; returns their folder.
 
     Shards are ranges of ids, and one id in many rows fills as many shards as it needs; nulls come first,
-    and rows of one id in a shard follow a hash of the text.  A null text is empty and has the end id alone.  An empty table gives one
-    shard without documents.  The rows of a shard are one task's, about ``shard_bytes`` of text.
+    and rows of one id in a shard follow a hash of the text.  A null text is empty and has the end id alone.
+    An empty table gives one shard without documents.  A task has one range, of about ``shard_bytes`` of
+    text or, in tables of more than MOST_RANGES of these, as many shards as it needs one after the other.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-shards")
@@ -183,7 +188,7 @@ def write_token_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(spark)
     # The tie of the ranges must cost no text: they are sampled before they are dealt.
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.monotonically_increasing_id().alias("tie"))
-    ranges = slim.repartitionByRange(max(1, -(-total // shard_bytes)), "id", "tie").drop("tie").sortWithinPartitions("id", F.xxhash64("text"))
+    ranges = slim.repartitionByRange(max(1, min(MOST_RANGES, -(-total // shard_bytes))), "id", "tie").drop("tie").sortWithinPartitions("id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, keys, counts, parts = load_encoder(vocabulary), [], [], []
@@ -194,21 +199,33 @@ def write_token_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 keys.append(batch.column(0))
                 yield batch.column(1)
 
-        for texts in _by_bytes(texts_of()):
+        def written(shard: int) -> pa.RecordBatch:
+            ids = np.concatenate(parts, dtype=np.int32) if parts else np.empty(0, np.int32)
+            parts.clear()
+            table = pa.table({"id": pa.chunked_array(keys) if keys else pa.array([], pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
+            keys.clear()
+            counts.clear()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            data = repair.pack(repair.compress(ids, max(encoder.base, end_id + 1)), sink.getvalue().to_pybytes())
+            with whole_file(folder, f"shard-{shard:012d}.qrp") as stream:
+                stream.write(data)
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([len(data)], pa.int64())], names=["shard", "n_ids", "n_bytes"])
+
+        shard, size = TaskContext.get().partitionId() << RANGE_BITS, 0
+        first = shard
+        for texts in _by_bytes(texts_of(), shard_bytes * 3 // 2):
             for ids in encoder.encode(texts):
                 counts.append(len(ids) + 1)
                 parts += [ids, end]
-        shard = TaskContext.get().partitionId()
-        ids = np.concatenate(parts, dtype=np.int32) if parts else np.empty(0, np.int32)
-        parts.clear()
-        table = pa.table({"id": pa.chunked_array(keys) if keys else pa.array([], pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as writer:
-            writer.write_table(table)
-        data = repair.pack(repair.compress(ids, max(encoder.base, end_id + 1)), sink.getvalue().to_pybytes())
-        with whole_file(folder, f"shard-{shard:08d}.qrp") as stream:
-            stream.write(data)
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([len(data)], pa.int64())], names=["shard", "n_ids", "n_bytes"])
+            # A range holds about one shard where there are few; up to twice of that is no reason to cut.
+            size += texts.nbytes
+            if size >= 2 * shard_bytes:
+                yield written(shard)
+                shard, size = shard + 1, 0
+        if keys or shard == first:
+            yield written(shard)
 
     ranges.mapInArrow(run, "shard long, n_ids long, n_bytes long").agg(F.count("*")).collect()
     return folder

@@ -267,6 +267,22 @@ def test_token_files(spark):
     assert read[3] == [*library.encode(texts[3], add_special_tokens=False).ids, 2]
 
 
+def test_token_files_of_few_ranges(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "MOST_RANGES", 2)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(6)
+    texts = [words(rng, 60) for _ in range(1500)]
+    folder = token_files.write_token_shards(table(spark, texts), shard_bytes=4000)
+    got = sorted((r["id"], r["start"], r["n_tokens"]) for r in token_files.token_index(spark, folder).collect())
+    want, start = [], 0
+    for k, text in enumerate(texts):
+        want.append((k, start, len(library.encode(text, add_special_tokens=False).ids) + 1))
+        start += want[-1][2]
+    assert got == want and token_files.read_token_shards(spark, folder).select("shard").distinct().count() > token_files.MOST_RANGES
+
+
 def test_token_files_of_nothing(spark):
     assert token_files.token_index(spark, token_files.write_token_shards(table(spark, []))).count() == 0
     rows = [(None, "a b"), (None, "a b"), (4, None)]
