@@ -25,22 +25,23 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """Components of the graph with an edge for every row of ``edges``.
 
     Returns (node, component) for each node that has an edge to another node; ``component`` is the
     least node of its component.  Null ends and loops are ignored; an empty edge table gives an
     empty result.  ``max_rounds`` only guards against a defect: the contraction needs about
-    log2(longest path) rounds and an unfinished one raises.
+    log2(longest path) rounds and an unfinished one raises.  ``rows``: about how many edges there are,
+    where the table of each round should have no more files than they take (see ``write_table``).
     """
     spark = edges.sparkSession
     now = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v").distinct()
-    path = write_table(now, "cc")
+    path = write_table(now, "cc", rows=rows)
     schema = now.schema
     last = None
     for _ in range(max_rounds):
         now = _star(_star(spark.read.schema(schema).parquet(path), small=False), small=True)
-        following = write_table(now, "cc")
+        following = write_table(now, "cc", rows=rows)
         drop_folder(spark, path)
         path = following
         now = spark.read.schema(schema).parquet(path)

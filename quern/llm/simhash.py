@@ -110,10 +110,10 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def links(prints: DataFrame, max_bits: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def links(prints: DataFrame, max_bits: int = 3, block_rows: int = BLOCK_ROWS, few_files: bool = False) -> DataFrame:
     """Edges (a, b) between fingerprints (fp long, all different) of at most ``max_bits`` (up to 3)
     differing bits.  They connect what all links connect, but are few: at most two per fingerprint and
-    unit of work."""
+    unit of work.  ``few_files``: as many files of them as rows are sure to take, not one per task."""
     prints = materialize(prints.select("fp"), "simhash-prints")
     # The table is small, what is made of it is not: tasks by the rows that they will make.
     tasks = max(1, prints.count() * 2 * KEYS // SIGNATURES_PER_TASK)
@@ -140,7 +140,8 @@ def links(prints: DataFrame, max_bits: int = 3, block_rows: int = BLOCK_ROWS) ->
                 n = len(fps)
                 yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.nulls(n, pa.int64()), pa.array(np.full(n, key, np.int64))], names=["a", "b", "key"])
 
-    found = materialize(keyed.mapInArrow(compare, "a long, b long, key long"), "simhash-links")
+    # Rows are no more than signatures, whose tasks are so many files.
+    found = materialize(keyed.mapInArrow(compare, "a long, b long, key long"), "simhash-links", tasks * SIGNATURES_PER_TASK if few_files else None)
     frequent = found.where("key is not null").select("key", F.col("a").alias("fp"))
     edges = found.where("key is null").select("a", "b")
     if not frequent.isEmpty():
@@ -233,12 +234,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments of 32 bits are complete for at most 3 bits")
     marked = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
-    # One node per fingerprint.
-    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("least_id")), "simhash-groups")
-    found = components(links(nodes, max_bits), "a", "b").withColumnRenamed("node", "fp")
+    # One node per fingerprint. From here rows are narrow, and every task would leave a small file in each
+    # of the tables: their files follow the number of nodes.
+    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("least_id")), "simhash-groups", marked.count())
+    n = nodes.count()
+    found = components(links(nodes, max_bits, few_files=True), "a", "b", rows=n).withColumnRenamed("node", "fp")
     of_node = nodes.join(found, "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     least = of_node.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    table = materialize(of_node.join(least, "component").select("fp", "component_id"), "simhash-components")
+    table = materialize(of_node.join(least, "component").select("fp", "component_id"), "simhash-components", n)
     out = marked.join(table, "fp").select("id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
     return out.withColumnsRenamed({"id": id_col})
 

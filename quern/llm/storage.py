@@ -63,9 +63,19 @@ def unused(name: str, columns: list[str]) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write_table(df: DataFrame, label: str, *partition_by: str) -> str:
-    """Write ``df`` as Parquet into the shared folder and return the path."""
+#: Rows of a file of a table whose number of rows is known.
+ROWS_PER_FILE = 1_000_000
+
+
+def write_table(df: DataFrame, label: str, *partition_by: str, rows: int | None = None) -> str:
+    """Write ``df`` as Parquet into the shared folder and return the path.
+
+    Every partition that has rows writes a file.  For a table of narrow rows that many small partitions
+    make, ``rows`` says about how many there are: the work stays in its partitions, and one more shuffle
+    deals what they return to as many files as that takes, one per core at least."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.repartition(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE)))
     path, before = new_folder(spark, label), spark.conf.get(CLEANUP, None)
     writer = df.write.option("compression", "zstd")
     if partition_by:
@@ -78,10 +88,11 @@ def write_table(df: DataFrame, label: str, *partition_by: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a written table: same rows and schema, lineage cut, safe against lost executors."""
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """``df`` as a written table: same rows and schema, lineage cut, safe against lost executors.
+    ``rows`` as for ``write_table``."""
     small_batches(df.sparkSession)
-    schema, path = df.schema, write_table(df, label)
+    schema, path = df.schema, write_table(df, label, rows=rows)
     table = df.sparkSession.read.schema(schema).parquet(path)
     table.quern_folder = path
     return table

@@ -623,6 +623,31 @@ def test_simhash(spark, monkeypatch, block):
     assert {k: r["component_id"] for k, r in got.items()} == want
 
 
+def test_simhash_leaves_few_files(spark, monkeypatch):
+    # Many small partitions, as on a large cluster: the tables of the fingerprints have a file per core.
+    import glob
+
+    def files():
+        return {f for f in glob.glob(spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/quern-*/part-*")}
+
+    texts, before, written = near_texts(random.Random(9)), files(), []
+    monkeypatch.setattr(graph, "drop_folder", lambda spark, path: None)  # the rounds of the components stay
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(table(spark, texts)).collect()}
+        written = [f.split("/")[-2] for f in files() - before]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    prints = [brute_fingerprint(t) for t in texts]
+    assert got == groups_of([(a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3], range(len(texts)))
+    counts = {f: written.count(f) for f in written}
+    assert {f.split("-")[1] for f in counts} == {"simhash", "cc"} and max(counts.values()) <= spark.sparkContext.defaultParallelism
+
+
 def test_links_are_complete(spark):
     rng = random.Random(11)
     base = [rng.getrandbits(64) for _ in range(30)]
