@@ -9,7 +9,7 @@ from pyspark.sql import Window, functions as F
 from quern.checkpoint import shared_folder
 from quern.functions.text import slug
 from quern.operators import aliases, encode, evaluation, matching, panels
-from quern.plans.standins import enriched, mentions, papers, query, specs, table, twin
+from quern.plans.standins import enriched, mentions, observed, papers, query, specs, table, twin
 from quern.plans.text_queries import _PLANTED_SQL, _in_sql, _planted
 from quern.sources import html_tables
 from quern.streaming import ingest
@@ -102,7 +102,7 @@ def stack_share_by_year(spark, d):
 
 @query("adoption_after_release", twin("SELECT model, CAST(min(release_year) AS INTEGER) AS release_year, CAST(min(year) FILTER (WHERE cum >= 1) - min(release_year) AS INTEGER) AS lag1, CAST(min(year) FILTER (WHERE cum >= 10) - min(release_year) AS INTEGER) AS lag10, CAST(min(year) FILTER (WHERE cum >= 100) - min(release_year) AS INTEGER) AS lag100 FROM (SELECT model, release_year, year, sum(n) OVER (PARTITION BY model ORDER BY year) AS cum FROM (SELECT model, release_year, year, count(DISTINCT paper) AS n FROM enriched WHERE release_year IS NOT NULL GROUP BY 1, 2, 3)) GROUP BY model"))
 def adoption_after_release(spark, d):
-    yearly = enriched(spark, d).where("release_year is not null").groupBy("model", "release_year", "year").agg(F.countDistinct("paper").alias("n"))
+    yearly = observed(spark, d, ("year",), ("release_year",), ok=False).where("release_year is not null").groupBy("model", "release_year", "year").agg(F.count("*").alias("n"))
     cum = yearly.withColumn("cum", F.sum("n").over(Window.partitionBy("model").orderBy("year")))
     lag = lambda k: (F.min(F.when(F.col("cum") >= k, F.col("year"))) - F.min("release_year")).alias(f"lag{k}")
     return cum.groupBy("model").agg(F.min("release_year").alias("release_year"), *map(lag, (1, 10, 100)))

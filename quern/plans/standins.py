@@ -35,9 +35,21 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Bytes of a table's files whose rows meet in one task where they are dealt out by a key.
+BYTES_PER_TASK = 4 << 20
+
+
+def dealt(df: DataFrame, key: str, source: DataFrame) -> DataFrame:
+    """``df`` dealt out by ``key`` to as many tasks as the files of ``source`` take, so that what a task holds
+    stays the same however large they are; left to the planner where the cores would do."""
+    tasks = -(-int(str(source._jdf.queryExecution().analyzed().stats().sizeInBytes())) // BYTES_PER_TASK)
+    return df.repartition(tasks, key) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def papers(spark: SparkSession, d: str) -> DataFrame:
     """(paper, year, month, field, region_no, price, author)"""
     orders, customer, nation = (table(spark, d, t) for t in ("orders", "customer", "nation"))
+    orders = dealt(orders, "o_custkey", orders)
     people = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("field"), F.col("n_regionkey").alias("region_no"))
     return orders.join(people, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("paper"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), "field", "region_no", F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("author"))
 
@@ -72,6 +84,27 @@ def enriched(spark: SparkSession, d: str) -> DataFrame:
     return mentions(spark, d).join(papers(spark, d).select("paper", "year", "field"), "paper").join(specs(spark, d), "model", "left")
 
 
+def observed(spark: SparkSession, d: str, of_paper: tuple[str, ...], of_model: tuple[str, ...], ok: bool = True) -> DataFrame:
+    """Different (paper, model, of_paper, of_model) of the mentions, or of those that are ok, by model: pairs
+    become different where their paper is, so that nothing but pairs is dealt out by model."""
+    lines = table(spark, d, "lineitem")
+    said = mentions(spark, d).where("status = 'ok'") if ok else mentions(spark, d)
+    at_paper = lambda df: dealt(df, "paper", lines)
+    at_model = lambda df: dealt(df, "model", lines)
+    pairs = at_paper(said.select("paper", "model")).join(at_paper(papers(spark, d).select("paper", *of_paper)), "paper").distinct()
+    return at_model(pairs).join(at_model(specs(spark, d).select("model", *of_model)).distinct(), "model", "left")
+
+
+def observed_in_papers(spark: SparkSession, d: str, of_paper: tuple[str, ...], of_model: tuple[str, ...], ok: bool = True) -> DataFrame:
+    """Different (paper, of_paper, of_model) of the mentions, or of those that are ok, by paper."""
+    lines = table(spark, d, "lineitem")
+    said = mentions(spark, d).where("status = 'ok'") if ok else mentions(spark, d)
+    at_paper = lambda df: dealt(df, "paper", lines)
+    at_model = lambda df: dealt(df, "model", lines)
+    named = at_model(said.select("paper", "model")).join(at_model(specs(spark, d)), "model", "left").select("paper", *of_model)
+    return at_paper(named).join(at_paper(papers(spark, d).select("paper", *of_paper)), "paper").distinct()
+
+
 PRELUDE = """
 papers AS (
   SELECT o_orderkey AS paper, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, n_name AS field, n_regionkey AS region_no, o_totalprice AS price, o_custkey AS author

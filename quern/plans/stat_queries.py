@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from quern.functions import stats
-from quern.plans.standins import enriched, papers, query, specs, twin
+from quern.plans.standins import enriched, observed, observed_in_papers, papers, query, specs, twin
 
 _POS = "pos AS (SELECT year, field, region_no, CAST(floor(price) AS BIGINT) AS x FROM papers)"
 
@@ -57,7 +57,7 @@ _VN = "vn AS (SELECT year, vendor, count(DISTINCT paper) AS k FROM enriched GROU
 
 @query("hhi_entropy", twin("SELECT year, count(*) AS vendors, round(sum(s * s), 8) AS hhi, round(CASE WHEN count(*) > 1 THEN -sum(s * ln(s)) / ln(count(*)) ELSE 0 END, 8) AS entropy FROM (SELECT year, k / sum(k) OVER (PARTITION BY year) AS s FROM vn) GROUP BY year", _VN))
 def hhi_entropy(spark, d):
-    n = enriched(spark, d).groupBy("year", "vendor").agg(F.countDistinct("paper").alias("k"))
+    n = observed_in_papers(spark, d, ("year",), ("vendor",), ok=False).groupBy("year", "vendor").agg(F.count("*").alias("k"))
     return stats.concentration(n, ["year"], "vendor", "k").select("year", "vendors", F.round("hhi", 8).alias("hhi"), F.round("entropy", 8).alias("entropy"))
 
 
@@ -79,12 +79,13 @@ _OBS = "obs AS (SELECT DISTINCT e.paper, e.model, e.year, e.release_year, e.vend
 
 def _observations(spark, d):
     """Different pairs of paper and model, with year, field and release."""
-    return enriched(spark, d).where("status = 'ok'").select("paper", "model", "year", "release_year", "vendor", "field").distinct()
+    return observed(spark, d, ("year", "field"), ("release_year", "vendor"))
 
 
 @query("observation_table", twin("SELECT paper, model, year, release_year, count(*) OVER (PARTITION BY paper) AS n_models FROM obs", _OBS))
 def observation_table(spark, d):
-    return _observations(spark, d).select("paper", "model", "year", "release_year", F.count("*").over(Window.partitionBy("paper")).alias("n_models"))
+    o = observed_in_papers(spark, d, ("year", "field"), ("model", "release_year", "vendor"))
+    return o.select("paper", "model", "year", "release_year", F.count("*").over(Window.partitionBy("paper")).alias("n_models"))
 
 
 @query("support_rate", twin("SELECT model, count(*) AS papers, release_year, CASE WHEN release_year IS NOT NULL THEN 2001 - greatest(release_year, 1995) + 1 END AS exposure, round(count(*) / CASE WHEN release_year IS NOT NULL THEN 2001 - greatest(release_year, 1995) + 1 END, 6) AS rate FROM obs GROUP BY model, release_year", _OBS))
@@ -149,7 +150,11 @@ _RANKS = "ent AS (SELECT vendor, count(*) AS a, count(DISTINCT field) + count(DI
 
 
 def _ranks(spark, d):
-    ent = _observations(spark, d).groupBy("vendor").agg(F.count("*").alias("a"), (F.countDistinct("field") + F.countDistinct("model")).alias("b"))
+    # A model has all of its rows in one task: its first row of a vendor counts it, and fields are few.
+    per = _observations(spark, d).groupBy("vendor", "model", "field").agg(F.count("*").alias("n"))
+    first = (F.row_number().over(Window.partitionBy("model", "vendor").orderBy("field")) == 1) & F.col("model").isNotNull()
+    fields = per.withColumn("first", first.cast("int")).groupBy("vendor", "field").agg(F.sum("n").alias("n"), F.sum("first").alias("models"))
+    ent = fields.groupBy("vendor").agg(F.sum("n").alias("a"), (F.count("field") + F.sum("models")).alias("b"))
     return ent.select("vendor", stats.average_rank(F.col("a")).alias("ra"), stats.average_rank(F.col("b")).alias("rb"))
 
 
@@ -181,7 +186,7 @@ def frontier_lag_topics(spark, d):
 
 @query("topic_composition", twin("SELECT field AS topic, vendor, n, round(n / sum(n) OVER (PARTITION BY field), 6) AS share FROM (SELECT field, vendor, count(DISTINCT paper) AS n FROM obs GROUP BY 1, 2)", _OBS))
 def topic_composition(spark, d):
-    n = _observations(spark, d).groupBy(F.col("field").alias("topic"), "vendor").agg(F.countDistinct("paper").alias("n"))
+    n = observed_in_papers(spark, d, ("field",), ("vendor",)).groupBy(F.col("field").alias("topic"), "vendor").agg(F.count("*").alias("n"))
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("topic")), 6))
 
 

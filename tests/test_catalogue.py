@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quern.plans import catalogue
+from quern.plans import catalogue, standins
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -65,3 +65,16 @@ def test_flags_of_long_paragraphs(spark, tmp_path, name):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     got, want = catalogue.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(catalogue.oracles()[name]).df()
     assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
+
+
+DEALT = ("half_life", "observation_table", "rank_compare", "adoption_after_release", "hhi_entropy", "topic_composition")
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_what_meets_in_a_task_does_not_grow(spark, sql, monkeypatch, name):
+    """Rows that meet by a key are dealt to as many tasks as the files take, with the results of SQL."""
+    monkeypatch.setattr(standins, "BYTES_PER_TASK", (DATA / "lineitem.parquet").stat().st_size // 9)
+    made = catalogue.queries()[name](spark, str(DATA))
+    assert "hashpartitioning(paper" in (plan := made._jdf.queryExecution().executedPlan().toString()) and ", 10), REPARTITION_BY_NUM" in plan
+    want = sql.execute(catalogue.oracles()[name]).df()
+    assert rows(made.toPandas(), sorted(made.columns)) == rows(want, sorted(made.columns))
