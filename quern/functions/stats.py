@@ -6,6 +6,10 @@ over different values, not over rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -86,6 +90,101 @@ def half_life(yearly: DataFrame, by: str, order: str, value: str, least_rows: in
     return peak.groupBy(by).agg(F.max("peak").alias("peak"), F.min(crossed).alias("half")).withColumn("years", F.col("half") - F.col("peak"))
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def xxhash_int(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of one more int column, over the hash ``seed`` of those before it (42 at first)."""
+    h = (seed + _P5 + np.uint64(4)) ^ ((value.astype(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF)) * _P1)
+    return _mixed(_rotated(h, 23) * _P2 + _P3)
+
+
+def xxhash_long(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    h = (seed + _P5 + np.uint64(8)) ^ (_rotated(value.astype(np.int64).view(np.uint64) * _P2, 31) * _P1)
+    return _mixed(_rotated(h, 27) * _P1 + _P4)
+
+
+def _percentile(values: np.ndarray, share: float) -> float | None:
+    """Of ascending values, between the two next to the place as Spark's exact percentile does."""
+    if not len(values):
+        return None
+    place = (len(values) - 1) * share
+    low, high = int(np.floor(place)), int(np.ceil(place))
+    if low == high or values[low] == values[high]:
+        return float(values[low])
+    return float((high - place) * values[low] + (place - low) * values[high])
+
+
+#: Numbers of one array in drawing: replicates of this many series at a time.
+DRAWN_AT_ONCE = 1 << 18
+
+
+def half_life_intervals(yearly: DataFrame, by: str, order: str, value: str, replicates: int = 50, least_rows: int = 4) -> DataFrame:
+    """(by, low, high, uncensored): 95 % interval of ``half_life`` under Poisson noise (normal approximation) of
+    the values, over the replicates that have one.
+
+    ``by`` is a bigint, ``order`` an int; a null one hashes as nothing and stands first.  A series is one row and its replicates
+    are drawn where it lies: nothing but the series is shuffled, however many replicates there are.  The
+    draws are hashes of (by, order, replicate)."""
+    series = yearly.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("int").alias("o"), F.col(value).cast("bigint").alias("v")))).alias("s")).where(F.size("s") >= least_rows)
+    flat = series.select(F.col(by).cast("bigint").alias(by), F.col("s.o").alias("o"), F.col("s.v").alias("v"))
+
+    def of_length(keys: np.ndarray, no_key: np.ndarray, years: np.ndarray, no_year: np.ndarray, counts: np.ndarray) -> tuple[list, list, list]:
+        r = np.arange(1, replicates + 1)[None, :, None]
+        seed = np.full((1, 1, 1), 42, np.uint64)
+        by_key = lambda h: np.where(no_key[:, None, None], h, xxhash_long(keys[:, None, None], h))
+        by_year = lambda h: np.where(no_year[:, None, :], h, xxhash_int(years[:, None, :], h))
+        share = lambda h: ((h & np.uint64((1 << 40) - 1)).astype(np.float64) + 0.5) / float(1 << 40)
+        u = share(xxhash_int(r, by_year(by_key(seed))))
+        v = share(by_key(by_year(xxhash_int(r, seed))))
+        n = counts[:, None, :].astype(np.float64)
+        x = n + np.sqrt(n) * (np.sqrt(-2 * np.log(u)) * np.cos(2 * 3.141592653589793 * v))
+        whole = np.floor(x)
+        drawn = np.maximum(whole + (x - whole >= 0.5), 0)
+        smooth = drawn.copy()
+        smooth[:, :, 1:] += drawn[:, :, :-1]
+        smooth[:, :, :-1] += drawn[:, :, 1:]
+        at = smooth.argmax(axis=2)  # the first of the largest
+        top = smooth.max(axis=2, keepdims=True)
+        low = 2 * smooth <= top
+        crossed = np.zeros_like(low)
+        crossed[:, :, :-1] = low[:, :, :-1] & low[:, :, 1:] & (np.arange(years.shape[1] - 1) > at[:, :, None])
+        half = crossed.argmax(axis=2)
+        rows = np.arange(len(keys))[:, None]
+        lives = np.where(crossed.any(axis=2) & ~no_year[rows, at], years[rows, half] - years[rows, at], np.iinfo(np.int64).max)
+        lives.sort(axis=1)
+        found = (lives < np.iinfo(np.int64).max).sum(axis=1)
+        sides = [[_percentile(one[:n], q) for one, n in zip(lives, found, strict=True)] for q in (0.025, 0.975)]
+        return *sides, found.tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain = lambda x: (x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), x.is_null().to_numpy(zero_copy_only=False))
+            keys, no_key = plain(batch.column(0))
+            (years, no_year), (counts, _) = plain(batch.column(1).values), plain(batch.column(2).values)
+            starts = batch.column(1).offsets.to_numpy()
+            begins, lengths = starts[:-1], np.diff(starts)
+            for length in np.unique(lengths):
+                alike = np.flatnonzero(lengths == length)
+                step = max(1, DRAWN_AT_ONCE // (int(length) * replicates))
+                for part in (alike[i : i + step] for i in range(0, len(alike), step)):
+                    places = begins[part][:, None] + np.arange(length)
+                    low, high, found = of_length(keys[part], no_key[part], years[places], no_year[places], counts[places])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part)), pa.array(low, pa.float64()), pa.array(high, pa.float64()), pa.array(found, pa.int64())], names=[by, "low", "high", "uncensored"])
+
+    return flat.mapInArrow(run, f"{by} bigint, low double, high double, uncensored bigint")
+
+
 def average_rank(value: Column, by: list[str] | None = None) -> Column:
     """Descending rank from 1; ties share the mean of their places.  Over one table of entities."""
     w = Window.partitionBy(*(by or [F.lit(0)]))

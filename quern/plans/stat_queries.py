@@ -216,10 +216,4 @@ def gini_bootstrap(spark, d):
 def half_life_bootstrap(spark, d):
     """95 % interval of each model's half-life under Poisson noise of its yearly counts."""
     yearly = _observations(spark, d).groupBy("model", "year").agg(F.count("*").alias("n"))
-    drawn = yearly.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(50))))
-    u = (F.pmod(F.xxhash64("model", "year", "rep"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    v = (F.pmod(F.xxhash64("rep", "year", "model"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    noise = F.sqrt(-2 * F.ln(u)) * F.cos(2 * 3.141592653589793 * v)
-    jittered = drawn.withColumn("n", F.greatest(F.lit(0), F.round(F.col("n") + F.sqrt("n") * noise)).cast("bigint")).withColumn("key", F.struct("model", "rep"))
-    half = stats.half_life(jittered.select("key", "year", "n"), "key", "year", "n")
-    return half.groupBy(F.col("key.model").alias("model")).agg(F.percentile("years", F.lit(0.025)).alias("low"), F.percentile("years", F.lit(0.975)).alias("high"), F.count("years").alias("uncensored"))
+    return stats.half_life_intervals(yearly, "model", "year", "n")

@@ -3,6 +3,8 @@ from __future__ import annotations
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from quern.functions import stats
 from quern.operators import capacity
 
@@ -80,3 +82,20 @@ def test_capacity_adds_what_is_known(spark):
     row = capacity.paper_capacity(models, "STANDARD", "SMALL").first()
     assert (row["reported_fp32"], row["reported_fp64"], row["reported_tensor"], row["reported_tdp"]) == (20.0, None, 1.0, None)
     assert row["spec_missing_fp64"] and not row["spec_missing_fp32"] and row["any_datacenter"] and row["any_consumer"]
+
+
+def test_half_life_intervals(spark):
+    """Series in arrays against one row per replicate, with the draws of Spark's own hash."""
+    rows = [(m, y, (m * 37 + y * 11) % 40 + (60 if y == 1996 + m % 2 else 0)) for m in range(60) for y in range(1995, 1997 + m % 7)]
+    rows += [(None, y, 70 - 9 * (y - 1995)) for y in range(1995, 2001)] + [(7, None, 90), (9, None, 5)]
+    yearly = spark.createDataFrame(rows, "m bigint, y int, n bigint")
+    drawn = yearly.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(50))))
+    u = (F.pmod(F.xxhash64("m", "y", "rep"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    v = (F.pmod(F.xxhash64("rep", "y", "m"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    noise = F.sqrt(-2 * F.ln(u)) * F.cos(2 * 3.141592653589793 * v)
+    moved = drawn.select(F.struct("m", "rep").alias("key"), "y", F.greatest(F.lit(0), F.round(F.col("n") + F.sqrt("n") * noise)).cast("bigint").alias("n"))
+    want = stats.half_life(moved, "key", "y", "n").groupBy(F.col("key.m").alias("m")).agg(F.percentile("years", F.lit(0.025)).alias("low"), F.percentile("years", F.lit(0.975)).alias("high"), F.count("years").alias("uncensored"))
+    got = stats.half_life_intervals(yearly, "m", "y", "n")
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert any(r["uncensored"] for r in got.collect())
