@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from quern.functions.stats import nearest_quantile
 from quern.operators import capacity
-from quern.plans.standins import enriched, mentions, nearest_sql, papers, query, specs, table, twin, used_mentions
+from quern.plans.standins import dealt, enriched, mentions, nearest_sql, papers, query, specs, table, twin, used_mentions
 
 CAPS = f"caps AS (SELECT year, least(greatest(q, 1), 65536) AS cap FROM ({nearest_sql('used', 'year', 'device_count', 0.999, 'q')}))"
 WINSOR = CAPS + ", counted AS (SELECT u.*, CASE WHEN device_count IS NULL THEN 1.0::DOUBLE ELSE CAST(least(device_count, coalesce(cap, 65536), 65536) AS DOUBLE) END AS n_dev FROM used u LEFT JOIN caps USING (year))"
@@ -121,7 +121,11 @@ _FLAGS = "flags AS (SELECT paper, true AS accel_any, coalesce(bool_or(usage_cont
 
 
 def _flags(spark, d):
-    return capacity.paper_flags(enriched(spark, d))
+    # Specifications first: mentions then meet at their paper once, to be joined and to be counted.
+    lines = table(spark, d, "lineitem")
+    said = mentions(spark, d).where("status = 'ok'").select("paper", "model", "usage_context", "status", "device_count")
+    named = dealt(said, "model", lines).join(dealt(specs(spark, d).select("model", "release_year", "vendor"), "model", lines), "model", "left")
+    return capacity.paper_flags(dealt(named, "paper", lines).join(dealt(papers(spark, d).select("paper"), "paper", lines), "paper"))
 
 
 @query("paper_flags", twin("SELECT *, NOT model_specific AS generic_only FROM flags", _FLAGS))

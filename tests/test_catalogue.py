@@ -67,7 +67,7 @@ def test_flags_of_long_paragraphs(spark, tmp_path, name):
     assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
 
 
-DEALT = ("half_life", "observation_table", "rank_compare", "adoption_after_release", "hhi_entropy", "topic_composition")
+DEALT = ("half_life", "observation_table", "rank_compare", "adoption_after_release", "hhi_entropy", "topic_composition", "paper_flags")
 
 
 @pytest.mark.parametrize("name", DEALT)
