@@ -140,6 +140,14 @@ def test_repacked_shards_are_full(spark):
     assert [counts[s][0] for s in range(80)] == [2500] * 80 and all(counts[s][2] < counts[s + 1][1] for s in range(79))
 
 
+def test_shards_of_ties_do_not_depend_on_arrival(spark):
+    from quern.operators.repack import shard_rows
+
+    rows = spark.range(0, 1000, 1, 4).select((F.col("id") % 7).alias("k"), (F.xxhash64("id") % 50).alias("x"))
+    made = [shard_rows(df, ["k"], 90, ranges=2).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("rows")).collect() for df in (rows.coalesce(1), rows.orderBy(F.desc("x")).coalesce(1), rows.orderBy("x").coalesce(1))]
+    assert sorted(made[0]) == sorted(made[1]) == sorted(made[2])
+
+
 def test_versions_and_ledger(spark, tmp_path):
     corpus = get_corpus("arxiv")
     for v in ("0.9.0", "0.10.0"):
