@@ -16,9 +16,15 @@ from quern.streaming import ingest
 
 # ---- specification tables --------------------------------------------------------------------
 
+#: Pages that one task reads.
+PAGES_PER_TASK = 10_000
+
+
 def _spec_pages(spark, d):
     """One page per part with a table: name, rates in TFLOPS, memory in MB, power with a footnote."""
     p = table(spark, d, "part")
+    # A page takes far longer to read than the few bytes of its part in the file tell.
+    p = p.repartition(-(-p.count() // PAGES_PER_TASK) or 1, "p_partkey")
     head = "<h2>Parts</h2><h3>List</h3><table class='wikitable'><tr><th rowspan=\"2'\">Model</th><th colspan=\"2 \">Processing power (TFLOPS)</th><th>Memory size (MB)</th><th>TDP</th></tr><tr><th>Single</th><th>Tensor sparse</th><th></th><th></th></tr><tr><td>"
     row = F.concat(F.lit(head), F.concat(F.lit("Part "), "p_partkey", F.lit("</td><td>")), F.col("p_size"), F.lit(" / 0.5</td><td>9</td><td>"), F.col("p_size") * 1024, F.lit("</td><td>"))
     power = F.when(F.col("p_partkey") % 5 == 0, "TBA").otherwise(F.concat(F.col("p_size") * 10, F.lit(" [3]")))

@@ -15,6 +15,8 @@ from quern.functions.text import largest_number, strip
 UNKNOWN_CELL = r"(?i)^(nan|unknown|\?|—|–|-|n/a|tba|tbd)$"
 FOOTNOTE = r"\[[^\]]*\]"
 MOST_SPAN = 1000
+#: Pages whose rows leave together, and rows after which they leave earlier.
+PAGES_AT_ONCE, ROWS_AT_ONCE = 256, 1000
 
 
 def _span(value: str | None) -> int:
@@ -126,23 +128,35 @@ def table_rows(pages: DataFrame, key: str, html: str, css: str | None = None) ->
 
     ``css`` keeps tables of one class.  Section and heading are the last h2 and the last h3 or h4 before
     the table.  A head of several rows is joined by column.  A null page has no row; broken spans count
-    as one, tables left open end with the page.  One page at a time is in memory."""
+    as one, tables left open end with the page.  One page and about ROWS_AT_ONCE rows are in memory."""
     kind = pages.schema[key].dataType.simpleString()
     fields = (("table", pa.int32()), ("section", pa.string()), ("heading", pa.string()), ("header", pa.list_(pa.string())), ("row", pa.int32()), ("cells", pa.list_(pa.string())))
 
+    def made(batch: pa.RecordBatch, ats: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        keys = batch.column(0).take(pa.array(ats))
+        return pa.RecordBatch.from_arrays([keys, *[pa.array(c, f[1]) for c, f in zip(zip(*rows, strict=True), fields, strict=True)]], names=[key, *[f[0] for f in fields]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                text = batch.column(1)[at].as_py()
-                if text is None or "<table" not in text.lower():
-                    continue
-                reader = _Reader(css)
-                reader.feed(text)
-                reader.close()
-                rows = [(t, s, h, head, r, cells) for t, (s, h, head, body) in enumerate(reader.tables) for r, cells in enumerate(body)]
+            texts = batch.column(1)
+            for start in range(0, batch.num_rows, PAGES_AT_ONCE):
+                ats: list[int] = []
+                rows: list[tuple] = []
+                for at in range(start, min(start + PAGES_AT_ONCE, batch.num_rows)):
+                    text = texts[at].as_py()
+                    if text is None or "<table" not in text.lower():
+                        continue
+                    reader = _Reader(css)
+                    reader.feed(text)
+                    reader.close()
+                    before = len(rows)
+                    rows += [(t, s, h, head, r, cells) for t, (s, h, head, body) in enumerate(reader.tables) for r, cells in enumerate(body)]
+                    ats += [at] * (len(rows) - before)
+                    if len(rows) >= ROWS_AT_ONCE:
+                        yield made(batch, ats, rows)
+                        ats, rows = [], []
                 if rows:
-                    keys = batch.column(0).take(pa.array([at] * len(rows)))
-                    yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, f[1]) for c, f in zip(zip(*rows, strict=True), fields, strict=True)]], names=[key, *[f[0] for f in fields]])
+                    yield made(batch, ats, rows)
 
     return pages.select(key, html).mapInArrow(run, f"{key} {kind}, table int, section string, heading string, header array<string>, row int, cells array<string>")
 

@@ -201,3 +201,15 @@ def test_enriched_mentions_of_a_corpus(spark, tmp_path):
     population = spark.createDataFrame([(1, 2001, "f")], "corpusid long, year int, field string")
     got = panels.enriched(S2, rows, population, load_lexicon(tmp_path / "lex.yaml")).collect()
     assert [(r["corpusid"], r["canonical_model"], r["release_year"], r["year"]) for r in got] == [(1, "ax", 2017, 2001)]
+
+
+def test_pages_are_dealt_out_and_their_rows_leave_together(spark, monkeypatch):
+    from quern.plans import source_queries
+
+    monkeypatch.setattr(source_queries, "PAGES_PER_TASK", 30)
+    pages = source_queries._spec_pages(spark, "/root/testdata/sf0.001")
+    assert pages.rdd.getNumPartitions() == -(-pages.count() // 30) > 4
+    assert {r["p_partkey"] for r in html_tables.table_rows(pages, "p_partkey", "html", "wikitable").select("p_partkey").collect()} == {r["p_partkey"] for r in pages.select("p_partkey").collect()}
+    many = spark.range(0, 700, 1, 1).select("id", F.repeat(F.concat(F.lit("<table><tr><td>"), "id", F.lit("</td></tr></table>")), (F.col("id") % 9).cast("int")).alias("html"))
+    got = {r["id"]: (r["n"], r["cells"]) for r in html_tables.table_rows(many, "id", "html").groupBy("id").agg(F.count("*").alias("n"), F.collect_set(F.col("cells")[0]).alias("cells")).collect()}
+    assert got == {k: (k % 9, [str(k)]) for k in range(700) if k % 9}
