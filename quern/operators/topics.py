@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from itertools import pairwise
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
+
+from quern.checkpoint import checkpointed
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -54,22 +63,65 @@ def representatives(assigned: DataFrame, key: str, n: int = 5) -> DataFrame:
     return assigned.groupBy("topic_id").agg(F.count("*").alias("size")).join(reps, "topic_id")
 
 
+#: Bytes of documents whose terms meet in one task, tasks at most, and different terms that a worker holds.
+BYTES_PER_TASK, MOST_TASKS, TERMS_AT_ONCE = 16 << 20, 2000, 300_000
+
+
+def _term_counts(docs: DataFrame, stop: tuple[str, ...]) -> DataFrame:
+    """(topic, term, tf, df) of documents (topic, text in small letters): words and pairs of words, counted over
+    runs of documents; a term has a row per run."""
+    topic, ignored = docs.columns[0], frozenset(stop)
+    word = re.compile("[a-z]{2,}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict = {}
+        kind = None
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for name, (tf, df) in tables.items():
+                terms, counts = list(tf), list(tf.values())
+                for at in range(0, len(terms), 50_000):
+                    part = terms[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), kind), pa.array(part, pa.string()), pa.array(counts[at : at + 50_000], pa.int64()), pa.array([df[t] for t in part], pa.int64())], names=[topic, "term", "tf", "df"])
+            tables.clear()
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for at in range(batch.num_rows):
+                text = batch.column(1)[at].as_py()
+                if text is None:
+                    continue
+                words = word.findall(text)
+                if ignored:
+                    words = [w for w in words if w not in ignored]
+                words += [f"{a} {b}" for a, b in pairwise(words)]
+                name = batch.column(0)[at].as_py()
+                tf, df = tables.setdefault(name, (Counter(), Counter()))
+                tf.update(words)
+                df.update(set(words))
+                if sum(len(t) for t, _ in tables.values()) >= TERMS_AT_ONCE:
+                    yield from flushed()
+        yield from flushed()
+
+    return docs.mapInArrow(run, StructType([docs.schema[0], *StructType.fromDDL("term string, tf bigint, df bigint").fields]))
+
+
 def class_keywords(docs: DataFrame, topic: str, text: str, least_docs: int = 10, top: int = 10, stop: tuple[str, ...] = ()) -> DataFrame:
     """(topic, rank, term, score): class-based TF-IDF over words and pairs of words.
 
     Score: the count in the topic over all of its terms, times log(1 + mean terms per topic over the
     count in all topics).  Terms in fewer than ``least_docs`` documents go.
     """
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]{2,}"), F.lit(0)), lambda w: ~w.isin(*stop) if stop else F.lit(True))
-    listed = docs.select(topic, words.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    # Every term once for its count and, once per document, for the documents: both are combined before the shuffle.
-    marked = lambda terms, first: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(first).alias("first")))
-    every = F.concat("w", pairs)
-    terms = listed.select(topic, F.inline(F.concat(marked(every, 0), marked(F.array_distinct(every), 1))))
-    counted = terms.groupBy(topic, "term").agg(F.sum(1 - F.col("first")).alias("tf"), F.sum("first").alias("df"))
-    common = counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("f")).where(F.col("df") >= least_docs).select("term", "f")
-    counts = counted.select(topic, "term", "tf").join(common, "term")
+    counted = _term_counts(docs.select(topic, F.lower(text).alias("text")), stop)
+    # By term alone: what a term has in all topics is then known where its topics are added up.
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // BYTES_PER_TASK
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size, MOST_TASKS))
+    summed = counted.repartition(tasks, "term").groupBy(topic, "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    every = Window.partitionBy("term")
+    common = summed.withColumn("f", F.sum("tf").over(every)).withColumn("docs", F.sum("df").over(every)).where(F.col("docs") >= least_docs)
+    # Written once: the sizes, their mean and the scores read it.
+    counts = checkpointed(common.select(topic, "term", "tf", "f"))
     sizes = counts.groupBy(topic).agg(F.sum("tf").alias("all"))
     mean = sizes.agg(F.avg("all").alias("mean"))
     scored = counts.join(sizes, topic).join(F.broadcast(mean)).withColumn("score", F.col("tf") / F.col("all") * F.ln(1 + F.col("mean") / F.col("f")))

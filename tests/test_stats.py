@@ -99,3 +99,25 @@ def test_half_life_intervals(spark):
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
     assert any(r["uncensored"] for r in got.collect())
+
+
+def test_terms_are_counted_over_runs(spark, monkeypatch):
+    """Key words from counts that leave the workers in many runs, against plain counts."""
+    from collections import Counter
+
+    from quern.operators import topics
+
+    monkeypatch.setattr(topics, "TERMS_AT_ONCE", 40)
+    rng = random.Random(3)
+    rows = [(k % 3, " ".join(rng.choice(("Alpha", "beta", "gamma", "x", "delta", "eps")) for _ in range(rng.randint(0, 30)))) for k in range(120)] + [(1, None)]
+    frame = spark.createDataFrame(rows, "t int, text string").coalesce(1)
+    counted = topics._term_counts(frame.select("t", F.lower("text").alias("text")), ("gamma",))
+    tf, df = Counter(), Counter()
+    for t, text in rows:
+        words = [w for w in (text or "").lower().split() if len(w) > 1 and w != "gamma"]
+        terms = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        tf.update((t, w) for w in terms)
+        df.update((t, w) for w in set(terms))
+    assert counted.count() > len(tf)
+    summed = {(r["t"], r["term"]): (r["tf"], r["df"]) for r in counted.groupBy("t", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).collect()}
+    assert summed == {k: (tf[k], df[k]) for k in tf}
